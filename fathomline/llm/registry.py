@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, sql
-from fathomline.llm.frames import read_table
+from fathomline.llm import decontaminate, language_id, packing, sql
+from fathomline.llm.frames import fold, read_table
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,22 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.scan(docs, bench))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = language_id.train(docs, learn=F.coalesce(~held_out, F.lit(True)))
+    named = language_id.predict(docs, model)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

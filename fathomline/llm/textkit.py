@@ -91,6 +91,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each byte range."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """The words of some rows: hash, first and last byte, and for each row the range of its words."""
 
@@ -110,10 +118,7 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _powers(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUES[low] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = range_hashes(low, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
