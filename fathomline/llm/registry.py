@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, language_id, packing, sql
+from fathomline.llm import decontaminate, fingerprint, language_id, licenses, packing, sql, warc
 from fathomline.llm.frames import fold, read_table
 
 
@@ -15,6 +15,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.scan(docs, bench))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edited(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -27,12 +31,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_bundles(warc.archive(spark, read_table(spark, sf_dir, "pages")), payloads=False)
+    as_id = lambda c: F.when(c != "", c).cast("long")
+    return records.select(as_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id(F.col("refers_to")).alias("refers_to"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc": op7_warc,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": sql.DECONTAMINATION,
+    "op7_warc": sql.WARC,
 }
