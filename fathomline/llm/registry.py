@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, packing, quality, sql, warc
+from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, warc
 from fathomline.llm.frames import fold, read_table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.scan(docs, bench))
@@ -52,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_language_id": op5_language_id,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_benchmark_decontamination": sql.DECONTAMINATION,
     "op7_warc": sql.WARC,
 }

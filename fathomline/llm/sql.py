@@ -27,3 +27,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE.format("coalesce(text, '')")} AS w FROM documents),
+n AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+u AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM n GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS g FROM u),
+p AS (SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep
+      WHERE a.n * 4 >= b.n * 3 AND b.n * 4 >= a.n * 3 GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT rep, rep FROM u WHERE n > 0 UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+SELECT n.doc_id, CAST(len(n.s) AS BIGINT) AS n_shingles, coalesce(c.component, n.doc_id) AS component_id
+FROM n LEFT JOIN u ON n.s = u.s AND u.n > 0 LEFT JOIN c ON u.rep = c.x
+"""
