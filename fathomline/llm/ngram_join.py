@@ -12,7 +12,7 @@ its number of documents where that is high (heavy hitters of all documents' sign
 a first pass), else none; empty segments cost most. All documents of a band order
 signatures alike, cheapest first, and each emits its first D + 1: were none of two
 similar sets' shared signatures among those, more than D would differ. Where the
-band's signatures are hot, the first segments are merged into blocks that are worth two: a
+band's documents have too few cheap ones, the first segments are merged into blocks that are worth two: a
 block emits its subset and all its one-deletion neighbours, which also meet where one element
 differs, so each block saves two signatures; a band gets as many blocks as lower its
 measured cost. The smallest band is one such block: the set and its one-deletion neighbours.
@@ -72,7 +72,7 @@ class Scheme:
     hot_level: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
 
     def segments(self, band: int) -> int:
-        return max(64, 2 * BANDS[band])
+        return max(64, 8 * BANDS[band])
 
     def block_segments(self, band: int) -> int:
         """How many segments a block of this band merges."""
@@ -260,13 +260,13 @@ PROFILE = StructType([StructField(c, t) for c, t in (("kind", IntegerType()), ("
 
 
 def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """kind 0: each row's set size and hash; 1: counts of signatures that a task met often (high: signature, low: band); 2: signatures and documents of a band."""
+    """kind 0: each row's set size and hash; 1: counts of signatures that a task met often (high: signature, low: band); 2: signatures, documents and needed signatures of a band."""
     arrow = to_arrow_schema(PROFILE)
 
     def run(batches):
         seen: set = set()
         held, held_bands, size = [], [], 0
-        totals = np.zeros((len(BANDS) - 1, 2), np.int64)
+        totals = np.zeros((len(BANDS) - 1, 3), np.int64)
 
         def batch_of(kind, ids, n, high, low):
             as_long = lambda x: pa.array(np.asarray(x).astype(U64).view(np.int64))
@@ -291,6 +291,7 @@ def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                 bands = roles.band[role]
                 totals[:, 0] += np.bincount(bands, minlength=len(totals))
                 totals[:, 1] += np.bincount(roles.band, minlength=len(totals))
+                totals[:, 2] += np.bincount(roles.band, weights=roles.needed, minlength=len(totals)).astype(np.int64)
                 held.append(sig)
                 held_bands.append(bands)
                 size += len(sig)
@@ -299,7 +300,7 @@ def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                     held, held_bands, size = [], [], 0
         if size:
             yield flush()
-        yield batch_of(2, pa.array(np.arange(len(totals))), totals[:, 0], totals[:, 1], np.zeros(len(totals)))
+        yield batch_of(2, pa.array(np.arange(len(totals))), totals[:, 0], totals[:, 1], totals[:, 2])
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -307,20 +308,25 @@ def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
 def choose_blocks(profile: DataFrame, hot: list, scheme: Scheme) -> tuple[int, ...]:
     """For each band as many two-worth blocks as lower its cost: signatures emitted and documents met by them.
 
-    A plain signature costs 1 and the length of its list; a block costs its subset and its
-    deletions and saves two plain signatures.
+    Cold signatures come first, so only a band whose documents have fewer of them than they need
+    emits hot ones. A hot signature costs 1 and the length of its list; a block costs its subset and
+    its deletions and saves two hot signatures.
     """
-    totals = {r["doc_id"]: (r["sigs"], r["docs"]) for r in profile.filter("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("sigs"), F.sum("high").alias("docs")).collect()}
-    met = {}
+    by_band = profile.filter("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("sigs"), F.sum("high").alias("docs"), F.sum("low").alias("needed")).collect()
+    met, lists = {}, {}
     for r in hot:
-        met[r["band"]] = met.get(r["band"], 0) + r["n"] ** 2
-    out = []
-    for band in range(len(BANDS) - 1):
-        sigs, docs = totals.get(band, (0, 0))
-        mean_list = met.get(band, 0) / max(sigs, 1)
-        needed = int(scheme.differ(np.int64(BANDS[band]), scheme.longest(np.int64(BANDS[band])))) + 1
-        saves = 2 * (1 + mean_list) > 1 + 2 * BLOCK_ELEMENTS
-        out.append(min(BLOCKS_MOST, needed // 4) if band >= 3 and docs and saves else 0)
+        met[r["band"]] = met.get(r["band"], 0) + r["n"]
+        lists[r["band"]] = lists.get(r["band"], 0) + r["n"] ** 2
+    out = [0] * (len(BANDS) - 1)
+    for r in by_band:
+        band, occurrences = r["doc_id"], met.get(r["doc_id"], 0)
+        if band < 3 or not occurrences:
+            continue
+        lacking = (r["needed"] - (r["sigs"] - occurrences)) / max(r["docs"], 1)
+        pays = 2 * (1 + lists[band] / occurrences) > 1 + 2 * BLOCK_ELEMENTS
+        room = scheme.segments(band) // (2 * scheme.block_segments(band))  # half of the universe at most
+        if lacking > 0 and pays:
+            out[band] = min(BLOCKS_MOST, room, -int(-lacking // 2))
     return tuple(out)
 
 
@@ -374,11 +380,16 @@ def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-CANDIDATE = StructType([StructField("list", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("size", LongType())])
+CANDIDATE = StructType([StructField("key", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("size", LongType())])
+#: Bits of the map of segments in which a document differs from another that it first meets in a list.
+MAP_WORDS = 4
 
 
 def _met(packed: DataFrame, scheme: Scheme) -> DataFrame:
-    """From buckets: links (list null) of a signature's documents to its smallest, and lists of three or more (member in a)."""
+    """From buckets: links (key null) of a signature's documents to its smallest, and lists of three or more (member in a).
+
+    Of lists with the same members the one of the smallest key is kept.
+    """
     arrow = to_arrow_schema(CANDIDATE)
 
     def meet(rows):
@@ -403,6 +414,7 @@ def _met(packed: DataFrame, scheme: Scheme) -> DataFrame:
         count = count[count > 1]
         if not len(count):
             return None
+        first_key = keys[use][np.cumsum(count) - count]
         begin = np.cumsum(count) - count
         doc, n = ids[at], sizes[at]
         leader, leader_n = np.repeat(doc[begin], count), np.repeat(n[begin], count)
@@ -410,14 +422,14 @@ def _met(packed: DataFrame, scheme: Scheme) -> DataFrame:
         pairs = np.unique(np.stack([leader[near], doc[near]], axis=1), axis=0)
         long_ = count > 2
         name = np.add.reduceat(mix(doc.astype(U64)), begin)
-        _, once = np.unique(np.where(long_, name, U64(0)), return_index=True)
+        _, once = np.unique(np.where(long_, name, U64(0)), return_index=True)  # keys ascend, so the first is the smallest
         kept = np.zeros(len(count), bool)
         kept[once] = True
         kept &= long_
         member = np.repeat(kept, count)
         m, p = int(member.sum()), len(pairs)
         columns = [
-            pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(np.repeat(name[kept], count[kept]).view(np.int64))]),
+            pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(np.repeat(first_key[kept], count[kept]).view(np.int64))]),
             pa.array(np.concatenate([pairs[:, 0], doc[member]])),
             pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
             pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(n[member])]),
@@ -441,6 +453,50 @@ def _met(packed: DataFrame, scheme: Scheme) -> DataFrame:
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATE)
 
 
+OPEN = StructType([StructField(c, LongType()) for c in ("key", "doc_id", "size", "component", *(f"m{i}" for i in range(MAP_WORDS)))])
+
+
+def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """A row for each document and list, with a bit map of the segments of its cheaper signatures.
+
+    Where two documents share no cheaper signature than the list's, all segments in either map
+    differ, each by an element at least; so a pair whose joint map has more bits than similar sets may
+    differ by is met in a cheaper list, or isn't similar. Lists of blocks, whole sets and empty
+    segments have no such order, and their maps are empty.
+    """
+    arrow = to_arrow_schema(OPEN)
+
+    def run(batches):
+        for batch in batches:
+            ids, sizes, labels = (np.asarray(batch.column(i)) for i in range(3))
+            wanted, out = batch.column(3).to_pylist(), []
+            for a, b, sets, offsets in _sets(batch.column(4), k):
+                roles = Roles.of(np.diff(offsets), scheme)
+                role, segment, sig, _ = segment_signatures(sets, offsets, roles, scheme)
+                key = ((scheme.level(sig) << U64(60)) | (sig >> U64(4))).view(np.int64)
+                place: list[dict[int, list[int]]] = [{} for _ in range(b - a)]
+                ends = np.searchsorted(role, np.arange(len(roles.doc)), side="right")
+                for r, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                    if roles.band[r] == 0 or scheme.blocks[roles.band[r]]:
+                        continue  # with blocks a pair may differ there as well, and is met there
+                    doc = int(roles.doc[r])
+                    goal = set(wanted[a + doc])
+                    order = np.argsort(key[s:e].view(U64), kind="stable") + s
+                    bits = [0] * MAP_WORDS
+                    for i in order[: int(roles.needed[r])].tolist():
+                        if (own := int(key[i])) in goal:
+                            place[doc][own] = list(bits)
+                        bit = int(segment[i]) % (64 * MAP_WORDS)
+                        bits[bit >> 6] |= 1 << (bit & 63)
+                for i in range(a, b):
+                    for own in wanted[i]:
+                        out.append((own, ids[i], sizes[i], labels[i], *(place[i - a].get(own) or [0] * MAP_WORDS)))
+            columns = list(zip(*out)) or [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64) if n < 4 else np.array(c, U64).view(np.int64)) for n, c in enumerate(columns)], schema=arrow)
+
+    return members.select("doc_id", "size", "component", "keys", "text").mapInArrow(run, OPEN)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar, compared element by element."""
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -492,28 +548,30 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     same = solid.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     copies = solid.join(same.filter("rep < last"), ["high", "low", "n_shingles"]).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).filter("u <> v")
 
-    stars = found.filter("list IS NULL").select("a", "b").distinct()
-    lists = found.filter("list IS NOT NULL").select("list", F.col("a").alias("doc_id"), "size").distinct()
+    stars = found.filter("key IS NULL").select("a", "b").distinct()
+    lists = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size")
     involved = found.select("a").union(found.filter("b IS NOT NULL").select("b")).distinct().toDF("doc_id")
     texts = store.save(rows.join(involved, "doc_id", "left_semi"), "texts")
     linked = store.save(_verified(stars, texts, k, num, den), "links").union(copies)
     labels = store.save(components(spark, linked), "labels")
 
     # members of a list that are in different components may still be linked
-    marked = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    marked = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     marked = store.save(marked, "marked")
-    mixed = marked.groupBy("list").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("list")
-    open_ = marked.join(mixed, "list")
+    mixed = marked.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
+    open_ = marked.join(mixed, "key").groupBy("doc_id", "size", "component").agg(F.collect_list("key").alias("keys"))
+    open_ = store.save(_maps(open_.join(texts, "doc_id"), k, scheme), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    sized = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    across = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.component") < F.col("y.component")) & sized)
+    differ = sum((F.bit_count(F.col(f"x.m{i}").bitwiseOR(F.col(f"y.m{i}"))) for i in range(MAP_WORDS)), F.lit(0))
+    near = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num) & (differ * (den + num) <= (den - num) * (F.col("x.size") + F.col("y.size")))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
     more = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = store.save(more.join(stars, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         late = store.save(_verified(more, texts, k, num, den), "late")
         if late.limit(1).count():
             labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
-    store.drop("texts", "found", "marked", "more")
+    store.drop("texts", "found", "marked", "open", "more")
     named = labels.select(F.col("node").alias("doc_id"), "component").distinct()
     return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
