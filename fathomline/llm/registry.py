@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, warc
+from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, substring_dedup, warc
 from fathomline.llm.frames import fold, read_table
 
 
@@ -23,6 +23,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
