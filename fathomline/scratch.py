@@ -35,6 +35,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """``save``, then let Spark's cleaner delete the shuffle files of the finished job.
+
+        The cleaner acts when the driver's JVM collects garbage, which it may otherwise not do for a
+        long time; so the disk holds the files of one large step and not those of all.
+        """
+        table = self.save(df, name)
+        self.spark._jvm.System.gc()
+        return table
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
