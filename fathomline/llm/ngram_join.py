@@ -19,8 +19,8 @@ measured cost. The smallest band is one such block: the set and its one-deletion
 
 Signatures are packed into arrays by bucket, so a shuffle row is a task's share of a
 bucket. A bucket links the documents of a signature to the smallest of them (a star) and
-keeps longer lists. Links are verified exactly on the texts; then documents that share a list and are
-not yet in one component are compared as well, so no link between different texts
+keeps longer lists. Each document's first link is verified exactly on the texts; then documents that met
+and are not yet in one component are compared as well, so no link between different texts
 is lost and no group is expanded into pairs. Exact copies are one set: a task emits a set
 once, and copies are grouped by the hash of the whole set.
 
@@ -541,23 +541,28 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     scheme = Scheme(num, den, hot=sig[order], hot_level=levels[order])
     listed = [{"band": b, "n": c} for b, c in zip(hot["band"].to_pylist(), hot["n"].to_pylist())]
     scheme = Scheme(num, den, choose_blocks(profile, listed, scheme), scheme.hot, scheme.hot_level)
-    found = store.save(_met(_packed(rows, k, scheme, 4 * partitions(spark)), scheme), "found")
+    found = store.settle(_met(_packed(rows, k, scheme, 4 * partitions(spark)), scheme), "found")
 
     meta = profile.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
     solid = meta.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = solid.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = solid.join(same.filter("rep < last"), ["high", "low", "n_shingles"]).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).filter("u <> v")
-
-    stars = found.filter("key IS NULL").select("a", "b").distinct()
-    lists = found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size")
-    involved = found.select("a").union(found.filter("b IS NOT NULL").select("b")).distinct().toDF("doc_id")
-    texts = store.save(rows.join(involved, "doc_id", "left_semi"), "texts")
-    linked = store.save(_verified(stars, texts, k, num, den), "links").union(copies)
+    copies = store.save(solid.join(same.filter("rep < last"), ["high", "low", "n_shingles"]).select("rep", "doc_id").filter("rep <> doc_id").distinct(), "copies")
+
+    # from here on the smallest document of equal sets stands for them
+    as_rep = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("__r")), c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
+    stars = as_rep(as_rep(found.filter("key IS NULL").select("a", "b").distinct(), "a"), "b")
+    stars = store.save(stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    lists = as_rep(found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size"), "doc_id").distinct()
+    first = stars.groupBy("b").agg(F.min("a").alias("a"))
+    involved = stars.select("a").union(stars.select("b")).union(lists.select("doc_id")).distinct().toDF("doc_id")
+    texts = store.settle(rows.join(involved, "doc_id", "left_semi"), "texts")
+    linked = store.settle(_verified(first, texts, k, num, den), "links")
     labels = store.save(components(spark, linked), "labels")
+    label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
 
-    # members of a list that are in different components may still be linked
-    marked = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    marked = store.save(marked, "marked")
+    # pairs that met and aren't in one component yet may still be linked: the other stars, and members of a list
+    rest = label(label(stars.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    marked = store.save(label(lists, "doc_id", "component").select("key", "doc_id", "size", "component"), "marked")
     mixed = marked.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
     open_ = marked.join(mixed, "key").groupBy("doc_id", "size", "component").agg(F.collect_list("key").alias("keys"))
     open_ = store.save(_maps(open_.join(texts, "doc_id"), k, scheme), "open")
@@ -565,15 +570,15 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     differ = sum((F.bit_count(F.col(f"x.m{i}").bitwiseOR(F.col(f"y.m{i}"))) for i in range(MAP_WORDS)), F.lit(0))
     near = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num) & (differ * (den + num) <= (den - num) * (F.col("x.size") + F.col("y.size")))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
-    more = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    more = store.save(more.join(stars, ["a", "b"], "left_anti"), "more")
+    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(first, ["a", "b"], "left_anti")
+    more = store.settle(rest.union(across).distinct(), "more")
     if more.limit(1).count():
-        late = store.save(_verified(more, texts, k, num, den), "late")
-        if late.limit(1).count():
-            labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
-    store.drop("texts", "found", "marked", "open", "more")
-    named = labels.select(F.col("node").alias("doc_id"), "component").distinct()
-    return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        late = store.settle(_verified(more, texts, k, num, den), "late")
+        labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
+    store.drop("texts", "found", "stars", "marked", "open", "more")
+    named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.select(F.col("own").alias("doc_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

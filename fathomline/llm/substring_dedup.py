@@ -463,12 +463,12 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     store = Scratch(spark, "substring")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     buckets = 4 * partitions(spark)
-    seeded = store.save(_seeded(rows, buckets), "seeded")
+    seeded = store.settle(_seeded(rows, buckets), "seeded")
     anchors = _anchored(seeded, buckets).union(seeded.filter("kind = 1"))
-    chained = store.save(_chained(anchors), "chained")
+    chained = store.settle(_chained(anchors), "chained")
     copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCH)
     needed = chained.select("doc_id").union(chained.select("partner")).distinct()
-    texts = store.save(rows.join(needed, "doc_id", "left_semi"), "texts")
+    texts = store.settle(rows.join(needed, "doc_id", "left_semi"), "texts")
     stretches = _aligned(chained, texts).filter("doc_id <> partner").union(copies)
     found = store.save(_passages(stretches), "passages")
     store.drop("seeded", "chained", "texts")
