@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Gets the text column and its length, gives the arrays of the result columns.
 TextFunction = Callable[[pa.Array], list]
@@ -45,3 +46,20 @@ def add_struct(df: DataFrame, text: str, make: Callable[[], TextFunction], resul
     old = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
     new = F.struct(*[F.col(f"r{i}").alias(f.name) for i, f in enumerate(result.fields)]).alias(name)
     return made.select(*old, new), name
+
+
+def pack_texts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with its text as a Zstandard frame in column ``packed`` (null: null), for texts that cross the network to be compared."""
+    keep = [c for c in rows.columns if c != text]
+
+    def make():
+        packer = zstandard.ZstdCompressor(level=3)
+        return lambda column: [pa.array([None if t is None else packer.compress(t.encode()) for t in column.to_pylist()], pa.binary())]
+
+    return map_text(rows, text, make, StructType([StructField("packed", BinaryType())]), keep)
+
+
+def unpack_texts(column: pa.Array) -> pa.Array:
+    """The string column that ``pack_texts`` packed."""
+    unpacker = zstandard.ZstdDecompressor()
+    return pa.array([None if z is None else unpacker.decompress(z).decode() for z in column.to_pylist()], pa.large_string())

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from fathomline.llm.arrowmap import pack_texts, unpack_texts
 from fathomline.llm.frames import partitions
 from fathomline.llm.graph import components
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, shingle_sets, slices, text_bytes
@@ -470,7 +471,7 @@ def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
         for batch in batches:
             ids, sizes, labels = (np.asarray(batch.column(i)) for i in range(3))
             wanted, out = batch.column(3).to_pylist(), []
-            for a, b, sets, offsets in _sets(batch.column(4), k):
+            for a, b, sets, offsets in _sets(unpack_texts(batch.column(4)), k):
                 roles = Roles.of(np.diff(offsets), scheme)
                 role, segment, sig, _ = segment_signatures(sets, offsets, roles, scheme)
                 key = ((scheme.level(sig) << U64(60)) | (sig >> U64(4))).view(np.int64)
@@ -494,28 +495,27 @@ def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
             columns = list(zip(*out)) or [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64) if n < 4 else np.array(c, U64).view(np.int64)) for n, c in enumerate(columns)], schema=arrow)
 
-    return members.select("doc_id", "size", "component", "keys", "text").mapInArrow(run, OPEN)
+    return members.select("doc_id", "size", "component", "keys", "packed").mapInArrow(run, OPEN)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar, compared element by element."""
-    one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    one = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
+    two = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
     schema = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
     def run(batches):
-        last, held = None, None
+        last = held = held_packed = None
         for batch in batches:
             a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             ok = np.zeros(len(a), bool)
-            right = [s[o[i] : o[i + 1]] for f, t, s, o in _sets(batch.column(3), k) for i in range(t - f)]
-            for i, left_text in enumerate(batch.column(2)):
-                if a[i] != last or held is None:
-                    text = left_text.as_py()
-                    last, held, held_text = a[i], next(_sets(pa.array([text], pa.large_string()), k))[2], text
-                elif len(held_text) != len(text2 := left_text.as_py()) or held_text != text2:  # one id, two texts
-                    held, held_text = next(_sets(pa.array([text2], pa.large_string()), k))[2], text2
+            right = [s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(batch.column(3)), k) for i in range(t - f)]
+            for i, left in enumerate(batch.column(2)):
+                packed = left.as_py()
+                if a[i] != last or packed != held_packed:  # an id may have two texts
+                    last, held_packed = a[i], packed
+                    held = next(_sets(unpack_texts(pa.array([packed], pa.binary())), k))[2]
                 x, y = held, right[i]
                 if len(x) and len(y):
                     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
@@ -555,7 +555,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     lists = as_rep(found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size"), "doc_id").distinct()
     first = stars.groupBy("b").agg(F.min("a").alias("a"))
     involved = stars.select("a").union(stars.select("b")).union(lists.select("doc_id")).distinct().toDF("doc_id")
-    texts = store.settle(rows.join(involved, "doc_id", "left_semi"), "texts")
+    texts = store.settle(pack_texts(rows).join(involved, "doc_id", "left_semi"), "texts")
     linked = store.settle(_verified(first, texts, k, num, den), "links")
     labels = store.save(components(spark, linked), "labels")
     label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
@@ -563,6 +563,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     # pairs that met and aren't in one component yet may still be linked: the other stars, and members of a list
     rest = label(label(stars.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     marked = store.save(label(lists, "doc_id", "component").select("key", "doc_id", "size", "component"), "marked")
+    store.drop("found")
     mixed = marked.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
     open_ = marked.join(mixed, "key").groupBy("doc_id", "size", "component").agg(F.collect_list("key").alias("keys"))
     open_ = store.save(_maps(open_.join(texts, "doc_id"), k, scheme), "open")
@@ -575,7 +576,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     if more.limit(1).count():
         late = store.settle(_verified(more, texts, k, num, den), "late")
         labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
-    store.drop("texts", "found", "stars", "marked", "open", "more")
+    store.drop("texts", "stars", "marked", "open", "more")
     named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.select(F.col("own").alias("doc_id"), F.coalesce("component", "doc_id").alias("component_id"))
     return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", "component_id")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from fathomline.llm.arrowmap import add_struct
+from fathomline.llm.arrowmap import add_struct, pack_texts, unpack_texts
 from fathomline.llm.frames import partitions
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, slices, text_bytes, window_hashes
 from fathomline.scratch import Scratch
@@ -403,14 +403,14 @@ def _words(column) -> list[np.ndarray]:
 
 def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(STRETCH)
-    own = texts.select("doc_id", F.col("text").alias("own"))
-    other = texts.select(F.col("doc_id").alias("partner"), F.col("text").alias("other"))
+    own = texts.select("doc_id", F.col("packed").alias("own"))
+    other = texts.select(F.col("doc_id").alias("partner"), F.col("packed").alias("other"))
     joined = chained.join(own, "doc_id").join(other, "partner").select("doc_id", "partner", "xs", "ys", "ns", "own", "other")
 
     def run(batches):
         for batch in batches:
             rows = []
-            a, b = _words(batch.column(5)), _words(batch.column(6))
+            a, b = _words(unpack_texts(batch.column(5))), _words(unpack_texts(batch.column(6)))
             for i, (doc, partner, xs, ys, ns) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)))):
                 if xs[-1] + ns[-1] <= len(a[i]) and ys[-1] + ns[-1] <= len(b[i]):  # else an id with another text
                     rows += [(doc, partner, *s) for s in align(a[i].tolist(), b[i].tolist(), list(zip(xs, ys, ns)))]
@@ -468,7 +468,7 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     chained = store.settle(_chained(anchors), "chained")
     copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCH)
     needed = chained.select("doc_id").union(chained.select("partner")).distinct()
-    texts = store.settle(rows.join(needed, "doc_id", "left_semi"), "texts")
+    texts = store.settle(pack_texts(rows).join(needed, "doc_id", "left_semi"), "texts")
     stretches = _aligned(chained, texts).filter("doc_id <> partner").union(copies)
     found = store.save(_passages(stretches), "passages")
     store.drop("seeded", "chained", "texts")
