@@ -16,7 +16,8 @@ def finite(x: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x between 0 and 1; null stays null (``least`` alone would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def score(x: Column, representation: Column) -> Column:

@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that file names may not have, and the units of sizes.
 ILLEGAL = '[<>:"/\\\\|?*]'
@@ -41,7 +42,7 @@ def frame_index(name: Column, prefix: str = "frame") -> Column:
 
 def safe_name(name: Column) -> Column:
     """Illegal characters as single underscores, none at the ends, at most 200 characters with the extension kept."""
-    plain = F.trim(F.lit("_"), F.regexp_replace(F.regexp_replace(name, ILLEGAL, "_"), "_+", "_"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(name, ILLEGAL, "_"), "_+", "_"), F.lit("_"))
     extension = F.regexp_extract(plain, r"[^.](\.[^.]*)$", 1)
     stem = F.substring(plain, F.lit(1), F.lit(NAME_MOST) - F.length(extension))
     return F.when(F.length(plain) > NAME_MOST, F.concat(stem, extension)).otherwise(plain)
@@ -52,10 +53,10 @@ def output_name(stem: Column, layout: Column, resolution: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes with a unit: whole below 1024, else one decimal."""
-    out = F.format_string("%.1f TB", size / 1024.0**4)
+    """Bytes with a unit: whole below 1024, else one decimal, rounded half to even."""
+    out = F.format_string("%.1f TB", F.bround(size / 1024.0**4, 1))
     for i in range(len(SIZE_UNITS) - 2, 0, -1):
-        out = F.when(size < 1024 ** (i + 1), F.format_string(f"%.1f {SIZE_UNITS[i]}", size / 1024.0**i)).otherwise(out)
+        out = F.when(size < 1024 ** (i + 1), F.format_string(f"%.1f {SIZE_UNITS[i]}", F.bround(size / 1024.0**i, 1))).otherwise(out)
     return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(out)
 
 
@@ -97,7 +98,7 @@ def document_hash(columns: list[Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_hash(documents: pd.Series) -> pd.Series:
     """SHA-256 of JSON texts with sorted keys, no spaces and ASCII escapes; null where a text is no JSON."""
 
@@ -110,7 +111,7 @@ def canonical_hash(documents: pd.Series) -> pd.Series:
     return documents.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_sample_hash(content: pd.Series) -> pd.Series:
     """BLAKE2b-128 of a content's size and its first and last MiB."""
     mib = 1 << 20

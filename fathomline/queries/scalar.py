@@ -62,7 +62,7 @@ def p08(spark, sf):
     return table(spark, sf, "events").select("event_id", d.alias("disparity"), depth.lane_offset(d * 1920).alias("left_lanes"), depth.lane_offset(d * 1920, -1).alias("right_lanes"))
 
 
-@query("p09_metric_disparity", f"WITH {FRAMES_SQL}, d AS (SELECT clip_id, 0.8 / 0.9 * (63.0 / 1000.0) * (1.0 / value - 1.0 / 20.0) AS raw FROM f WHERE value > 0) SELECT clip_id, count(*) AS valid_count, count_if(abs(raw) > 0.002) AS clamped_count, round(sum(greatest(-0.002, least(0.002, raw)) * 0.9), 9) AS render_sum FROM d GROUP BY clip_id")
+@query("p09_metric_disparity", f"WITH {FRAMES_SQL}, d AS (SELECT clip_id, 0.8 / 0.9 * (63.0 / 1000.0) * (1.0 / value - 1.0 / 20.0) AS raw FROM f WHERE value > 0) SELECT clip_id, count(*) AS valid_count, CAST(count_if(abs(raw) > 0.002) AS BIGINT) AS clamped_count, round(sum(greatest(-0.002, least(0.002, raw)) * 0.9), 9) AS render_sum FROM d GROUP BY clip_id")
 def p09(spark, sf):
     raw = depth.metric_disparity(F.lit(1.0) / F.col("value"), 0.8, 63.0, 20.0, 0.9)
     d = frames(spark, sf).filter("value > 0").select("clip_id", raw.alias("raw"))
@@ -81,9 +81,9 @@ def p11(spark, sf):
 
 
 @query("p17_map_region", """WITH r AS (SELECT o_orderkey, o_orderkey * 37 % 1900 AS x, o_custkey * 53 % 1000 AS y, o_orderkey % 300 AS w, o_custkey % 200 AS h FROM orders),
-b AS (SELECT *, greatest(x, 96) AS ax, least(x + w, 1824) AS bx, greatest(y, 54) AS ay, least(y + h, 1026) AS by FROM r)
-SELECT o_orderkey, CASE WHEN ax < bx THEN CAST(greatest(0, least(floor((ax - 96) * 1280 / 1728.0::DOUBLE), 1280)) AS INTEGER) END AS x0, CASE WHEN ay < by THEN CAST(greatest(0, least(floor((ay - 54) * 720 / 972.0::DOUBLE), 720)) AS INTEGER) END AS y0,
-CASE WHEN ax < bx THEN CAST(greatest(0, least(ceil((bx - 96) * 1280 / 1728.0::DOUBLE), 1280)) AS INTEGER) END AS x1, CASE WHEN ay < by THEN CAST(greatest(0, least(ceil((by - 54) * 720 / 972.0::DOUBLE), 720)) AS INTEGER) END AS y1 FROM b""")
+b AS (SELECT *, greatest(x, 96) AS ax, least(x + w, 1824) AS bx, greatest(y, 54) AS ay, least(y + h, 1026) AS cy FROM r)
+SELECT o_orderkey, CASE WHEN ax < bx THEN CAST(greatest(0, least(floor((ax - 96) * 1280 / 1728.0::DOUBLE), 1280)) AS INTEGER) END AS x0, CASE WHEN ay < cy THEN CAST(greatest(0, least(floor((ay - 54) * 720 / 972.0::DOUBLE), 720)) AS INTEGER) END AS y0,
+CASE WHEN ax < bx THEN CAST(greatest(0, least(ceil((bx - 96) * 1280 / 1728.0::DOUBLE), 1280)) AS INTEGER) END AS x1, CASE WHEN ay < cy THEN CAST(greatest(0, least(ceil((cy - 54) * 720 / 972.0::DOUBLE), 720)) AS INTEGER) END AS y1 FROM b""")
 def p17(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * 37 % 1900 AS x", "o_custkey * 53 % 1000 AS y", "o_orderkey % 300 AS w", "o_custkey % 200 AS h")
     bounds = geometry.map_region(F.col("x"), F.col("y"), F.col("w"), F.col("h"), (96, 54, 1824, 1026), (1280, 720))

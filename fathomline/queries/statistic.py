@@ -71,14 +71,14 @@ def a08(spark, sf):
     return gated.select("shot", F.round("candidate_mean", 6).alias("candidate_mean"), F.round("candidate_std", 6).alias("candidate_std"), F.round("low_share", 9).alias("low_share"), F.round("high_share", 9).alias("high_share"), "fallback_reason", "mode")
 
 
-@query("a10_shot_scan", f"WITH {FRAMES_SQL}, c AS (SELECT clip_id, frame_idx // 8 AS shot, frame_idx, CASE WHEN event_id % 5 = 0 THEN 32768 ELSE event_id % 65536 END AS code FROM f), r AS (SELECT clip_id, shot, frame_idx, count(*) AS n, count_if(code = 32768) AS m, bool_and(code = 32768) AS flat FROM c GROUP BY ALL) SELECT clip_id, CAST(shot AS INTEGER) AS shot, CAST(sum(m) AS BIGINT) AS midpoints, count_if(flat) AS flat_frames, CAST(sum(n) AS BIGINT) AS pixels FROM r GROUP BY clip_id, shot")
+@query("a10_shot_scan", f"WITH {FRAMES_SQL}, c AS (SELECT clip_id, frame_idx // 8 AS shot, frame_idx, CASE WHEN event_id % 5 = 0 THEN 32768 ELSE event_id % 65536 END AS code FROM f), r AS (SELECT clip_id, shot, frame_idx, count(*) AS n, count_if(code = 32768) AS m, bool_and(code = 32768) AS flat FROM c GROUP BY ALL) SELECT clip_id, CAST(shot AS INTEGER) AS shot, CAST(sum(m) AS BIGINT) AS midpoints, CAST(count_if(flat) AS BIGINT) AS flat_frames, CAST(sum(n) AS BIGINT) AS pixels FROM r GROUP BY clip_id, shot")
 def a10(spark, sf):
     c = frames(spark, sf).select("clip_id", F.floor(F.col("frame_idx") / 8).cast("int").alias("shot"), "frame_idx", (F.col("event_id") % 5 == 0).alias("mid"))
     by_frame = c.groupBy("clip_id", "shot", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("mid").alias("m"), F.bool_and("mid").alias("flat"))
     return by_frame.groupBy("clip_id", "shot").agg(F.sum("m").alias("midpoints"), F.count_if("flat").alias("flat_frames"), F.sum("n").alias("pixels"))
 
 
-@query("a11_clamp_summary", f"WITH {FRAMES_SQL}, c AS (SELECT clip_id, frame_idx, greatest(0, value - 50) / 500 AS fr FROM f) SELECT clip_id, count_if(fr > 0) AS affected, round(avg(fr), 9) AS mean_fraction, max(fr) AS max_fraction, CAST(min(CASE WHEN fr > 0.05 THEN frame_idx END) AS INTEGER) AS first_over FROM c GROUP BY clip_id")
+@query("a11_clamp_summary", f"WITH {FRAMES_SQL}, c AS (SELECT clip_id, frame_idx, greatest(0, value - 50) / 500 AS fr FROM f) SELECT clip_id, CAST(count_if(fr > 0) AS BIGINT) AS affected, round(avg(fr), 9) AS mean_fraction, max(fr) AS max_fraction, CAST(min(CASE WHEN fr > 0.05 THEN frame_idx END) AS INTEGER) AS first_over FROM c GROUP BY clip_id")
 def a11(spark, sf):
     c = frames(spark, sf).withColumn("fr", F.greatest(F.lit(0.0), F.col("value") - 50) / 500)
     return c.groupBy("clip_id").agg(F.count_if(F.col("fr") > 0).alias("affected"), F.round(F.avg("fr"), 9).alias("mean_fraction"), F.max("fr").alias("max_fraction"), F.min(F.when(F.col("fr") > 0.05, F.col("frame_idx"))).cast("int").alias("first_over"))
@@ -94,7 +94,7 @@ def a12(spark, sf):
 _RUNS = "SELECT event_type AS backend, CAST(user_id % 7 AS VARCHAR) AS sequence, user_id % 3 AS seed, unnest(['baseline', 'candidate']) AS variant, value FROM events"
 
 
-@query("a13_l04_run_gates", f"WITH r AS ({_RUNS}), m AS (SELECT backend, sequence, seed, variant, avg(value) * CASE variant WHEN 'candidate' THEN 0.98 ELSE 1 END AS tgse, avg(value) / 1000 AS abs_rel, 1 - avg(value) / 1000 AS delta1 FROM r GROUP BY ALL), s AS (SELECT backend, sequence, variant, median(tgse) AS tgse, median(abs_rel) AS abs_rel, median(delta1) AS delta1 FROM m GROUP BY ALL), b AS (SELECT backend, median(tgse) FILTER (variant = 'baseline') AS bt, median(tgse) FILTER (variant = 'candidate') AS ct, median(abs_rel) FILTER (variant = 'baseline') AS ba, median(abs_rel) FILTER (variant = 'candidate') AS ca, median(delta1) FILTER (variant = 'baseline') AS bd, median(delta1) FILTER (variant = 'candidate') AS cd FROM s GROUP BY backend) SELECT backend, round(bt, 6) AS baseline_tgse, round(ct, 6) AS candidate_tgse, round(ca, 8) AS candidate_abs_rel, round(cd, 8) AS candidate_delta1, ct <= 0.99 * bt AND ca <= 1.02 * ba AND cd >= bd - 0.02 AS passed FROM b")
+@query("a13_l04_run_gates", f"WITH r AS ({_RUNS}), m AS (SELECT backend, sequence, seed, variant, avg(value) * CASE variant WHEN 'candidate' THEN 0.98 ELSE 1 END AS tgse, avg(value) / 1000 AS abs_rel, 1 - avg(value) / 1000 AS delta1 FROM r GROUP BY backend, sequence, seed, variant), s AS (SELECT backend, sequence, variant, median(tgse) AS tgse, median(abs_rel) AS abs_rel, median(delta1) AS delta1 FROM m GROUP BY ALL), b AS (SELECT backend, median(tgse) FILTER (variant = 'baseline') AS bt, median(tgse) FILTER (variant = 'candidate') AS ct, median(abs_rel) FILTER (variant = 'baseline') AS ba, median(abs_rel) FILTER (variant = 'candidate') AS ca, median(delta1) FILTER (variant = 'baseline') AS bd, median(delta1) FILTER (variant = 'candidate') AS cd FROM s GROUP BY backend) SELECT backend, round(bt, 6) AS baseline_tgse, round(ct, 6) AS candidate_tgse, round(ca, 8) AS candidate_abs_rel, round(cd, 8) AS candidate_delta1, ct <= 0.99 * bt AND ca <= 1.02 * ba AND cd >= bd - 0.02 AS passed FROM b")
 def a13(spark, sf):
     r = table(spark, sf, "events").select(F.col("event_type").alias("backend"), (F.col("user_id") % 7).cast("string").alias("sequence"), (F.col("user_id") % 3).cast("int").alias("seed"), F.explode(F.array(F.lit("baseline"), F.lit("candidate"))).alias("variant"), "value")
     m = F.avg("value")
@@ -147,7 +147,7 @@ def a22(spark, sf):
     return e.groupBy("event_type").agg(F.round(F.avg(F.when(inside, F.col("e"))), 7).alias("mae_inside"), F.round(F.avg(F.when(~inside, F.col("e"))), 7).alias("mae_outside"), F.round(F.percentile("e", 0.95), 7).alias("p95"), F.round(F.median("value"), 7).alias("median_latency"), F.round(1000 / F.median("value"), 7).alias("fps"))
 
 
-@query("a24_code_metrics", "WITH c AS (SELECT l_returnflag, l_linestatus, CAST(round_even(l_quantity / 50 * 65535, 0) AS BIGINT) AS a, CAST(round_even(least(1, l_quantity / 50 + l_tax / 10) * 65535, 0) AS BIGINT) AS b FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(a / 65535.0), 8) AS source_mean, round(avg(b / 65535.0), 8) AS output_mean, round(stddev_pop(b / 65535.0), 7) AS output_std, round(corr(a, b), 7) AS correlation, count_if(b = 65535) AS at_end, round(avg(b / 65535.0) - avg(a / 65535.0), 8) AS drift FROM c GROUP BY ALL")
+@query("a24_code_metrics", "WITH c AS (SELECT l_returnflag, l_linestatus, CAST(round_even(l_quantity / 50 * 65535, 0) AS BIGINT) AS a, CAST(round_even(least(1, l_quantity / 50 + l_tax / 10) * 65535, 0) AS BIGINT) AS b FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(a / 65535.0), 8) AS source_mean, round(avg(b / 65535.0), 8) AS output_mean, round(stddev_pop(b / 65535.0), 7) AS output_std, round(corr(a, b), 7) AS correlation, CAST(count_if(b = 65535) AS BIGINT) AS at_end, round(avg(b / 65535.0) - avg(a / 65535.0), 8) AS drift FROM c GROUP BY ALL")
 def a24(spark, sf):
     from fathomline.functions.depth import decode, encode
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def encoder_frame(line: Column, total: Column) -> Column:
     """The frame number of a ``frame= N`` line, at most the total; null for other lines."""
     n = F.regexp_extract(line, r"frame=\s*([0-9]+)", 1).try_cast("long")
-    return F.least(n, total.cast("long"))
+    return F.when(n.isNotNull(), F.least(n, total.cast("long")))
 
 
 def event_counts(events: DataFrame, time: str, by: list[str], window: str = "1 day", late: str = "2 days") -> DataFrame:
