@@ -20,7 +20,7 @@ measured cost. The smallest band is one such block: the set and its one-deletion
 Signatures are packed into arrays by bucket, so a shuffle row is a task's share of a
 bucket. A bucket links the documents of a signature to the smallest of them (a star) and
 keeps longer lists. Each document's first link is verified exactly on the texts; then documents that met
-and are not yet in one component are compared as well, so no link between different texts
+and are not yet in one component are compared as well (those that bit maps of their sets don't rule out), so no link between different texts
 is lost and no group is expanded into pairs. Exact copies are one set: a task emits a set
 once, and copies are grouped by the hash of the whole set.
 
@@ -498,6 +498,37 @@ def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     return members.select("doc_id", "size", "component", "keys", "packed").mapInArrow(run, OPEN)
 
 
+#: Longs of the bit map of a whole set that late pairs are sieved by.
+SIEVE_WORDS = 32
+SIEVE = StructType([StructField("doc_id", LongType())] + [StructField(f"w{i}", LongType()) for i in range(SIEVE_WORDS)])
+
+
+def _set_maps(texts: DataFrame, k: int) -> DataFrame:
+    """A bit map of each document's set, each shingle hashed to one bit."""
+    arrow = to_arrow_schema(SIEVE)
+
+    def run(batches):
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, SIEVE_WORDS), U64)
+            for a, b, sets, offsets in _sets(unpack_texts(batch.column(1)), k):
+                row = np.repeat(np.arange(a, b), np.diff(offsets))
+                bit = (mix(sets) % U64(64 * SIEVE_WORDS)).astype(np.int64)
+                np.bitwise_or.at(maps, (row, bit >> 6), U64(1) << (bit & 63).astype(U64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(SIEVE_WORDS))], schema=arrow)
+
+    return texts.select("doc_id", "packed").mapInArrow(run, SIEVE)
+
+
+def _sieved(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs that may be similar: every bit in which two maps differ is an element in which the sets do."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    maps = _set_maps(texts.join(wanted, "doc_id", "left_semi"), k).join(sizes, "doc_id")
+    side = lambda c: maps.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(SIEVE_WORDS)])
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIEVE_WORDS)), F.lit(0))
+    return joined.filter(differ * (den + num) <= (den - num) * (F.col("size_a") + F.col("size_b"))).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets are similar, compared element by element."""
     one = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
@@ -572,11 +603,12 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     near = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num) & (differ * (den + num) <= (den - num) * (F.col("x.size") + F.col("y.size")))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
     across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(first, ["a", "b"], "left_anti")
-    more = store.settle(rest.union(across).distinct(), "more")
+    met = store.settle(rest.union(across).distinct(), "met")
+    more = store.settle(_sieved(met, texts, solid.select("doc_id", F.col("n_shingles").alias("size")).distinct(), k, num, den), "more")
     if more.limit(1).count():
         late = store.settle(_verified(more, texts, k, num, den), "late")
         labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
-    store.drop("texts", "stars", "marked", "open", "more")
+    store.drop("texts", "stars", "marked", "open", "met", "more")
     named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.select(F.col("own").alias("doc_id"), F.coalesce("component", "doc_id").alias("component_id"))
     return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
