@@ -287,13 +287,11 @@ def _count_until(ends: list[int], y: int) -> int:
     return bisect_right(ends, y)
 
 
-CHAIN = StructType([StructField(c, LongType()) for c in ("doc_id", "partner")] + [StructField(c, ArrayType(IntegerType())) for c in ("xs", "ys", "ns")])
-#: A chain of fewer words can't be part of a passage's evidence: two seeds that touch.
-LEAST_CHAIN = K + 1
+CHAIN = StructType([StructField(c, LongType()) for c in ("doc_id", "partner")] + [StructField(c, ArrayType(ArrayType(IntegerType()))) for c in ("xs", "ys", "ns")])
 
 
 def _chained(anchors: DataFrame) -> DataFrame:
-    """Chains of every document that could hold a passage: its seeds' stretches, with what seeding leaves out at the ends, are long enough."""
+    """A row for each document and partner with the chains in stretches that, with what seeding leaves out at the ends, are long enough for a passage."""
     arrow = to_arrow_schema(CHAIN)
     margin = 2 * (WINDOW - 1)
 
@@ -306,16 +304,18 @@ def _chained(anchors: DataFrame) -> DataFrame:
         rows = []
 
         def close(d):
-            spans = sorted((c[0][0], c[-1][0] + c[-1][2]) for _, c in by_doc[d])
-            longest, until, start = 0, None, None
-            for s, e in spans:
-                if until is None or s > until + margin:
-                    start, until = s, e
-                until = max(until, e)
-                longest = max(longest, until - start)
-            if longest + margin >= LEAST_WORDS:
-                rows.extend((d, p, *map(list, zip(*c))) for p, c in by_doc[d])
-            del by_doc[d]
+            spans = sorted((c[0][0], c[-1][0] + c[-1][2], p, c) for p, c in by_doc.pop(d))
+            kept, group, until = defaultdict(list), [], None
+            for span in [*spans, None]:
+                if group and (span is None or span[0] > until + margin):
+                    if until - group[0][0] + margin >= LEAST_WORDS:
+                        for _, _, p, c in group:
+                            kept[p].append(c)
+                    group, until = [], None
+                if span is not None:
+                    group.append(span)
+                    until = max(until or 0, span[1])
+            rows.extend((d, p, *([[r[k] for r in c] for c in cs] for k in range(3))) for p, cs in kept.items())
 
         last = None
         for s, e in zip(cut.tolist(), np.append(cut[1:], len(doc)).tolist()):
@@ -412,8 +412,11 @@ def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
             rows = []
             a, b = _words(unpack_texts(batch.column(5))), _words(unpack_texts(batch.column(6)))
             for i, (doc, partner, xs, ys, ns) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)))):
-                if xs[-1] + ns[-1] <= len(a[i]) and ys[-1] + ns[-1] <= len(b[i]):  # else an id with another text
-                    rows += [(doc, partner, *s) for s in align(a[i].tolist(), b[i].tolist(), list(zip(xs, ys, ns)))]
+                own_words, other_words = a[i].tolist(), b[i].tolist()
+                for chain in zip(xs, ys, ns):
+                    runs = list(zip(*chain))
+                    if runs[-1][0] + runs[-1][2] <= len(own_words) and runs[-1][1] + runs[-1][2] <= len(other_words):  # else an id with another text
+                        rows += [(doc, partner, *s) for s in align(own_words, other_words, runs)]
             columns = list(zip(*rows)) or [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
 

@@ -110,15 +110,15 @@ def test_archive(spark, tmp_path):
 
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use</div>
-<main><article><header><h1>Title &eacute; {0}</h1></header><p>First <b>bold</b>  text &amp; more {0}<p>Second <script>x("<p>")</script>part<form>mail</form><aside>side</aside>
-<ul><li>one<li>two {0}</ul><div class="post-comments"><p>bad</p></div></article></main><div id="sidebar">zz</div><footer>f</footer>"""
+<main><article><header><h1>Title &eacute; {0}</h1></header><p>First <b>bold</b>  text &amp; more {0}<p>Second <script>x("<p>")</script>part {0}<form>mail</form><aside>side</aside>
+<ul><li>one {0}<li>two {0}</ul><div class="post-comments"><p>bad</p></div></article></main><div id="sidebar">zz</div><footer>f</footer>"""
 
 
 def test_html_text(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(6)]
     rows += [(20, "http://other.example/", "<p>plain &lt;text&gt;<br>line<div class=ad>buy</div>"), (21, None, None), (22, "x", ""), (23, "http://h.example/z", "<nav>only</nav>"), (0, "http://h.example/0", PAGE.format(0))]
     got = {r.page_id: r for r in ht.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3].text == "Title é 3\nFirst bold text & more 3\nSecond part\none\ntwo 3" and got[3].n_chars == len(got[3].text)
+    assert got[3].text == "Title é 3\nFirst bold text & more 3\nSecond part 3\none 3\ntwo 3" and got[3].n_chars == len(got[3].text)
     assert got[20].text == "plain <text>\nline"
     assert [got[i].text for i in (21, 22, 23)] == ["", "", ""]
     assert ht.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
