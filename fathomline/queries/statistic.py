@@ -91,12 +91,12 @@ def a12(spark, sf):
     return out.select("clip_id", F.round("tgse", 5).alias("tgse"), F.round("abs_rel", 8).alias("abs_rel"), F.round("delta1", 8).alias("delta1"))
 
 
-_RUNS = "SELECT event_type AS backend, CAST(user_id % 7 AS VARCHAR) AS sequence, user_id % 3 AS seed, unnest(['baseline', 'candidate']) AS variant, value FROM events"
+_RUNS = "SELECT event_type AS backend, CAST(user_id % 7 AS VARCHAR) AS sequence, event_id % 3 AS seed, unnest(['baseline', 'candidate']) AS variant, value FROM events"
 
 
 @query("a13_l04_run_gates", f"WITH r AS ({_RUNS}), m AS (SELECT backend, sequence, seed, variant, avg(value) * CASE variant WHEN 'candidate' THEN 0.98 ELSE 1 END AS tgse, avg(value) / 1000 AS abs_rel, 1 - avg(value) / 1000 AS delta1 FROM r GROUP BY backend, sequence, seed, variant), s AS (SELECT backend, sequence, variant, median(tgse) AS tgse, median(abs_rel) AS abs_rel, median(delta1) AS delta1 FROM m GROUP BY ALL), b AS (SELECT backend, median(tgse) FILTER (variant = 'baseline') AS bt, median(tgse) FILTER (variant = 'candidate') AS ct, median(abs_rel) FILTER (variant = 'baseline') AS ba, median(abs_rel) FILTER (variant = 'candidate') AS ca, median(delta1) FILTER (variant = 'baseline') AS bd, median(delta1) FILTER (variant = 'candidate') AS cd FROM s GROUP BY backend) SELECT backend, round(bt, 6) AS baseline_tgse, round(ct, 6) AS candidate_tgse, round(ca, 8) AS candidate_abs_rel, round(cd, 8) AS candidate_delta1, ct <= 0.99 * bt AND ca <= 1.02 * ba AND cd >= bd - 0.02 AS passed FROM b")
 def a13(spark, sf):
-    r = table(spark, sf, "events").select(F.col("event_type").alias("backend"), (F.col("user_id") % 7).cast("string").alias("sequence"), (F.col("user_id") % 3).cast("int").alias("seed"), F.explode(F.array(F.lit("baseline"), F.lit("candidate"))).alias("variant"), "value")
+    r = table(spark, sf, "events").select(F.col("event_type").alias("backend"), (F.col("user_id") % 7).cast("string").alias("sequence"), (F.col("event_id") % 3).cast("int").alias("seed"), F.explode(F.array(F.lit("baseline"), F.lit("candidate"))).alias("variant"), "value")
     m = F.avg("value")
     runs = r.groupBy("backend", "sequence", "seed", "variant").agg((m * F.when(F.col("variant") == "candidate", 0.98).otherwise(1.0)).alias("tgse"), (m / 1000).alias("abs_rel"), (1 - m / 1000).alias("delta1"))
     out = st.run_gates(runs, [0, 1, 2])
