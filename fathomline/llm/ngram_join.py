@@ -547,16 +547,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 if a[i] != last or packed != held_packed:  # an id may have two texts
                     last, held_packed = a[i], packed
                     held = next(_sets(unpack_texts(pa.array([packed], pa.binary())), k))[2]
-                x, y = held, right[i]
-                if len(x) and len(y):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    shared = int((x[at] == y).sum())
-                    ok[i] = den * shared >= num * (len(x) + len(y) - shared)
+                ok[i] = _similar(held, right[i], num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["u", "v"])
 
     return joined.mapInArrow(run, schema).distinct()
 
 
+#: Documents of one block of a cluster of pairs.
+BLOCK_DOCS = 64
+
+
+def _verified_in_blocks(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """As ``_verified``, for pairs that crowd in clusters: a text crosses the network once for each block that its own is paired with, not once a pair."""
+    cluster = components(spark, pairs)
+    docs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    docs = docs.join(cluster.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = docs.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = docs.join(sizes, "component").select("doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS)).alias("block"))
+    side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("block").alias(f"b{c}"))
+    keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64("ca", F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
+    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
+    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "packed").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
+    dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        now, held = None, {}
+        for batch in batches:
+            u, v = [], []
+            sets = iter([s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(batch.column(3)), k) for i in range(t - f)])
+            for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets):
+                if key != now:
+                    now, held = key, {}
+                if b is None:  # an id may have two texts
+                    held.setdefault(a, []).append(own)
+                elif any(_similar(x, y, num, den) for x in held[a] for y in held[b]):
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return den * shared >= num * (len(x) + len(y) - shared)
+
+
 def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     store = Scratch(spark, "ngram-join")
@@ -606,7 +645,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     met = store.settle(rest.union(across).distinct(), "met")
     more = store.settle(_sieved(met, texts, solid.select("doc_id", F.col("n_shingles").alias("size")).distinct(), k, num, den), "more")
     if more.limit(1).count():
-        late = store.settle(_verified(more, texts, k, num, den), "late")
+        late = store.settle(_verified_in_blocks(spark, more, texts, k, num, den), "late")
         labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
     store.drop("texts", "stars", "marked", "open", "met", "more")
     named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
