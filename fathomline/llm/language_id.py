@@ -35,6 +35,8 @@ BUCKETS = 1 << 15
 DIM = 16
 #: The bounded sample of labelled rows that training and calibration read.
 SAMPLE_ROWS = 3000
+#: Of a sampled text no more than this is learned from.
+SAMPLE_CHARS = 20_000
 PASSAGE_BYTES = 300
 #: Passages of a sampled text that one epoch trains on.
 PASSAGES = 4
@@ -152,8 +154,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
 def labelled_sample(docs: DataFrame, learn, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled rows for which ``learn`` holds, those of the smallest hash of id and text."""
     t, g = F.col(f"`{text}`"), F.col(f"`{lang}`")
-    picked = docs.filter(learn & t.isNotNull() & g.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"), F.substring(t, 1, 20_000).alias("t"), g.alias("g"))
-    return [(r["t"], r["g"]) for r in picked.orderBy("h", "t", "g").limit(rows).collect()]
+    every = docs.filter(learn & t.isNotNull() & g.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"), t.alias("t"), g.alias("g"))
+    # hashes are ordered alone, so that no task sends texts that aren't picked
+    picked = every.select("h").distinct().orderBy("h").limit(rows)
+    chosen = every.join(F.broadcast(picked), "h").select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "g")  # the limit bounds it
+    return [(r["t"], r["g"]) for r in chosen.dropDuplicates(["h", "g"]).collect()]
 
 
 def train(docs: DataFrame, learn=None, rows: int = SAMPLE_ROWS, **columns: str) -> Model | None:
