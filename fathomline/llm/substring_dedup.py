@@ -388,7 +388,8 @@ def align(a: list, b: list, chain: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
-STRETCH = StructType([StructField(c, LongType()) for c in ("doc_id", "partner", "start", "end", "partner_start", "matches", "columns")])
+#: A document's stretches against one partner.
+STRETCHES = StructType([StructField("doc_id", LongType()), StructField("stretches", ArrayType(StructType([StructField(c, LongType()) for c in ("start", "end", "partner", "partner_start", "matches", "columns")])))])
 
 
 def _words(column) -> list[np.ndarray]:
@@ -402,27 +403,29 @@ def _words(column) -> list[np.ndarray]:
 
 
 def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
-    arrow = to_arrow_schema(STRETCH)
+    arrow = to_arrow_schema(STRETCHES)
     own = texts.select("doc_id", F.col("packed").alias("own"))
     other = texts.select(F.col("doc_id").alias("partner"), F.col("packed").alias("other"))
-    joined = chained.join(own, "doc_id").join(other, "partner").select("doc_id", "partner", "xs", "ys", "ns", "own", "other")
+    joined = chained.filter("doc_id <> partner").join(own, "doc_id").join(other, "partner").select("doc_id", "partner", "xs", "ys", "ns", "own", "other")
 
     def run(batches):
         for batch in batches:
-            rows = []
+            found = []
             a, b = _words(unpack_texts(batch.column(5))), _words(unpack_texts(batch.column(6)))
-            for i, (doc, partner, xs, ys, ns) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)))):
+            for i, (partner, xs, ys, ns) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)))):
                 own_words, other_words = a[i].tolist(), b[i].tolist()
+                mine = []
                 for chain in zip(xs, ys, ns):
                     runs = list(zip(*chain))
                     if runs[-1][0] + runs[-1][2] <= len(own_words) and runs[-1][1] + runs[-1][2] <= len(other_words):  # else an id with another text
-                        rows += [(doc, partner, *s) for s in align(own_words, other_words, runs)]
-            columns = list(zip(*rows)) or [[] for _ in arrow]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+                        mine += [dict(zip(_FIELDS, (start, end, partner, at, matches, columns))) for start, end, at, matches, columns in align(own_words, other_words, runs)]
+                found.append(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow.field(1).type)], schema=arrow)
 
-    return joined.mapInArrow(run, STRETCH)
+    return joined.mapInArrow(run, STRETCHES)
 
 
+_FIELDS = ("start", "end", "partner", "partner_start", "matches", "columns")
 PASSAGE = StructType(
     [StructField(c, LongType()) for c in ("doc_id", "start_word", "end_word", "partner_id", "partner_start")] + [StructField("partners", ArrayType(LongType())), StructField("identity", DoubleType())]
 )
@@ -448,7 +451,7 @@ def _passages(stretches: DataFrame) -> DataFrame:
         return F.when(touch, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
 
     item = "array<struct<start:bigint,end:bigint,partner:bigint,partner_start:bigint,best_words:bigint,partners:array<bigint>,matches:bigint,columns:bigint>>"
-    grouped = stretches.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "partner", "partner_start", "matches", "columns"))).alias("all"))
+    grouped = stretches.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("stretches")))).alias("all"))
     joined = grouped.select("doc_id", F.explode(F.aggregate("all", F.array().cast(item), step)).alias("p"))
     return joined.filter(f"p.end - p.start >= {LEAST_WORDS} AND p.matches >= {IDENTITY} * p.columns").select(
         "doc_id",
@@ -469,10 +472,10 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     seeded = store.settle(_seeded(rows, buckets), "seeded")
     anchors = _anchored(seeded, buckets).union(seeded.filter("kind = 1"))
     chained = store.settle(_chained(anchors), "chained")
-    copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCH)
+    copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCHES)
     needed = chained.select("doc_id").union(chained.select("partner")).distinct()
     texts = store.settle(pack_texts(rows).join(needed, "doc_id", "left_semi"), "texts")
-    stretches = _aligned(chained, texts).filter("doc_id <> partner").union(copies)
+    stretches = _aligned(chained, texts).union(copies)
     found = store.save(_passages(stretches), "passages")
     store.drop("seeded", "chained", "texts")
     return found
@@ -480,13 +483,13 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
 
 def _copies(batches):
     """Whole copies as stretches; of two equal documents the one of the larger id repeats the other."""
-    arrow = to_arrow_schema(STRETCH)
+    arrow = to_arrow_schema(STRETCHES)
     for batch in batches:
         for row in zip(*(batch.column(i) for i in range(2, 5))):
             doc, first, n = (np.frombuffer(x.as_buffer(), np.int64) for x in row)
             late, early = np.maximum(doc, first), np.minimum(doc, first)
-            zero = np.zeros(len(doc), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (late, early, zero, n, zero, n, n)], schema=arrow)
+            whole = [[dict(zip(_FIELDS, (0, k, e, 0, k, k)))] for k, e in zip(n.tolist(), early.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(whole, arrow.field(1).type)], schema=arrow)
 
 
 CUT = StructType([StructField("text", StringType())])
