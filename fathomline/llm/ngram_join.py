@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from fathomline.llm.arrowmap import pack_texts, unpack_texts
+from fathomline.llm.arrowmap import map_text, pack_texts, unpack_texts
 from fathomline.llm.frames import partitions
 from fathomline.llm.graph import components
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, shingle_sets, slices, text_bytes
@@ -498,35 +498,37 @@ def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     return members.select("doc_id", "size", "component", "keys", "packed").mapInArrow(run, OPEN)
 
 
-#: Longs of the bit map of a whole set that late pairs are sieved by.
-SIEVE_WORDS = 32
-SIEVE = StructType([StructField("doc_id", LongType())] + [StructField(f"w{i}", LongType()) for i in range(SIEVE_WORDS)])
+#: Bits for each shingle of a set's bit map, of a power of two in all.
+SIEVE_BITS = 4
 
 
 def _set_maps(texts: DataFrame, k: int) -> DataFrame:
-    """A bit map of each document's set, each shingle hashed to one bit."""
-    arrow = to_arrow_schema(SIEVE)
+    """doc_id and payload: the size of the set and a bit map in which each shingle is hashed to one bit."""
 
-    def run(batches):
-        for batch in batches:
-            maps = np.zeros((batch.num_rows, SIEVE_WORDS), U64)
-            for a, b, sets, offsets in _sets(unpack_texts(batch.column(1)), k):
-                row = np.repeat(np.arange(a, b), np.diff(offsets))
-                bit = (mix(sets) % U64(64 * SIEVE_WORDS)).astype(np.int64)
-                np.bitwise_or.at(maps, (row, bit >> 6), U64(1) << (bit & 63).astype(U64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(SIEVE_WORDS))], schema=arrow)
+    def make():
+        def apply(column):
+            out = []
+            for _, _, sets, offsets in _sets(unpack_texts(column), k):
+                spread = mix(sets)
+                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    bits = np.zeros(1 << max(6, (SIEVE_BITS * (e - s) - 1).bit_length()), np.uint8)
+                    bits[(spread[s:e] & U64(len(bits) - 1)).astype(np.int64)] = 1
+                    out.append(np.int64(e - s).tobytes() + np.packbits(bits).tobytes())
+            return [pa.array(out, pa.binary())]
+
+        return apply
 
-    return texts.select("doc_id", "packed").mapInArrow(run, SIEVE)
+    return map_text(texts, "packed", make, StructType([StructField("payload", BinaryType())]), ["doc_id"])
 
 
-def _sieved(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs that may be similar: every bit in which two maps differ is an element in which the sets do."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    maps = _set_maps(texts.join(wanted, "doc_id", "left_semi"), k).join(sizes, "doc_id")
-    side = lambda c: maps.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(SIEVE_WORDS)])
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIEVE_WORDS)), F.lit(0))
-    return joined.filter(differ * (den + num) <= (den - num) * (F.col("size_a") + F.col("size_b"))).select("a", "b").distinct()
+def _may_be_similar(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], scheme: Scheme) -> bool:
+    """Every bit in which two maps differ is an element in which the sets do. The larger map is folded to the smaller."""
+    (n, a), (m, b) = x, y
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= int(scheme.differ(np.int64(n), np.int64(m)))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -541,7 +543,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         for batch in batches:
             a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             ok = np.zeros(len(a), bool)
-            right = [s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(batch.column(3)), k) for i in range(t - f)]
+            right = _read_sets(batch.column(3), k)
             for i, left in enumerate(batch.column(2)):
                 packed = left.as_py()
                 if a[i] != last or packed != held_packed:  # an id may have two texts
@@ -557,8 +559,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 BLOCK_DOCS = 64
 
 
-def _verified_in_blocks(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """As ``_verified``, for pairs that crowd in clusters: a text crosses the network once for each block that its own is paired with, not once a pair."""
+def _in_blocks(spark: SparkSession, pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
+    """The pairs (a, b) for which ``holds`` of what ``read`` makes of a batch of payloads.
+
+    Pairs that met crowd in clusters. A cluster's documents are dealt into blocks, and a payload
+    crosses the network once for each block that its own is paired with, not once a pair.
+    """
     cluster = components(spark, pairs)
     docs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     docs = docs.join(cluster.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -566,26 +572,34 @@ def _verified_in_blocks(spark: SparkSession, pairs: DataFrame, texts: DataFrame,
     blocks = docs.join(sizes, "component").select("doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS)).alias("block"))
     side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("block").alias(f"b{c}"))
     keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64("ca", F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
-    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
-    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "packed").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
+    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
+    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "payload").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
     dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
     def run(batches):
         now, held = None, {}
         for batch in batches:
             u, v = [], []
-            sets = iter([s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(batch.column(3)), k) for i in range(t - f)])
-            for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets):
+            for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), read(batch.column(3))):
                 if key != now:
                     now, held = key, {}
                 if b is None:  # an id may have two texts
                     held.setdefault(a, []).append(own)
-                elif any(_similar(x, y, num, den) for x in held[a] for y in held[b]):
+                elif any(holds(x, y) for x in held[a] for y in held[b]):
                     u.append(a)
                     v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _read_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    return [s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(column), k) for i in range(t - f)]
+
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+def _read_maps(column: pa.Array) -> list:
+    raws = column.to_pylist()
+    return [None if r is None else (int(np.frombuffer(r, np.int64, 1)[0]), np.frombuffer(r, np.uint8, -1, 8)) for r in raws]
 
 
 def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -643,9 +657,10 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
     across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(first, ["a", "b"], "left_anti")
     met = store.settle(rest.union(across).distinct(), "met")
-    more = store.settle(_sieved(met, texts, solid.select("doc_id", F.col("n_shingles").alias("size")).distinct(), k, num, den), "more")
+    plain = Scheme(num, den)
+    more = store.settle(_in_blocks(spark, met, _set_maps(texts, k), _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
     if more.limit(1).count():
-        late = store.settle(_verified_in_blocks(spark, more, texts, k, num, den), "late")
+        late = store.settle(_in_blocks(spark, more, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, num, den)), "late")
         labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
     store.drop("texts", "stars", "marked", "open", "met", "more")
     named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
