@@ -179,6 +179,8 @@ EDITED = [
     StructField("near_edited", DoubleType()),
     StructField("near_next", DoubleType()),
 ]
+#: Ranges of ids at most; their cuts are literals of the plan. Beyond them ranges grow, and rows still stream through a task.
+RANGES_MOST = 2000
 #: Rows whose fingerprints are made together.
 GROUP_ROWS = 256
 
@@ -198,7 +200,7 @@ def with_edited(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # null ids come last
-    n = partitions(spark)
+    n = min(partitions(spark), RANGES_MOST)
     cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []))
     chunk = F.lit(0)
     for cut in cuts if len(cuts) < 64 else []:
@@ -213,7 +215,6 @@ def with_edited(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
         return spark.createDataFrame([], StructType([rows.schema[0], *EDITED]))
     before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    is_head = F.lit(False)
     by_chunk = F.create_map(*[F.lit(x) for c, h in heads for x in (c, h)])
     is_head = F.col("doc_id").eqNullSafe(by_chunk[F.col("chunk")])
     halo = placed.filter(is_head).groupBy("chunk").agg(F.min("text").alias("text")).select(by_chunk[F.col("chunk")].alias("doc_id"), "text", to[F.col("chunk")].alias("chunk"), F.lit(1).alias("halo"))

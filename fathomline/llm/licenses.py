@@ -22,7 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from fathomline.llm.arrowmap import map_text
