@@ -555,26 +555,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return joined.mapInArrow(run, schema).distinct()
 
 
-#: Documents of one block of a cluster of pairs.
+#: Documents of one block of a group of pairs.
 BLOCK_DOCS = 64
 
 
-def _in_blocks(spark: SparkSession, pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
+def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
     """The pairs (a, b) for which ``holds`` of what ``read`` makes of a batch of payloads.
 
-    Pairs that met crowd in clusters. A cluster's documents are dealt into blocks, and a payload
+    Pairs that met crowd in groups: most documents of a list have the list's smallest one as their smallest
+    partner. Documents of one smallest partner are dealt into blocks, and a payload
     crosses the network once for each block that its own is paired with, not once a pair.
     """
-    cluster = components(spark, pairs)
-    docs = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    docs = docs.join(cluster.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = docs.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = docs.join(sizes, "component").select("doc_id", "component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS)).alias("block"))
-    side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("block").alias(f"b{c}"))
-    keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64("ca", F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    docs = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("group"))
+    sizes = docs.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    blocks = docs.join(sizes, "group").select("doc_id", F.xxhash64("group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))).alias("block"))
+    side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}"))
+    keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
     members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
     rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "payload").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
-    dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
+    dealt = rows.repartition(partitions(pairs.sparkSession), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
     def run(batches):
         now, held = None, {}
@@ -658,9 +658,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(first, ["a", "b"], "left_anti")
     met = store.settle(rest.union(across).distinct(), "met")
     plain = Scheme(num, den)
-    more = store.settle(_in_blocks(spark, met, _set_maps(texts, k), _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
+    more = store.settle(_in_blocks(met, _set_maps(texts, k), _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
     if more.limit(1).count():
-        late = store.settle(_in_blocks(spark, more, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, num, den)), "late")
+        late = store.settle(_in_blocks(more, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, num, den)), "late")
         labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
     store.drop("texts", "stars", "marked", "open", "met", "more")
     named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
