@@ -14,8 +14,8 @@ words agree, and gaps are aligned by edit distance. A document's aligned stretch
 (against any earlier documents) that touch or overlap are one passage; those of ``LEAST_WORDS`` words or
 more, at ``IDENTITY`` or more, are returned. The first document keeps its passage.
 
-Exact copies are found by the hash of their words first; one document of each such group
-in a task is seeded, and the rest repeat it as a whole.
+Exact copies are found by the hash of their words first; the smallest id of each such group
+in a task is seeded, in whatever order they are read, and the rest repeat it as a whole.
 
 Defined cases: null and empty texts, and those of fewer words than a passage, have none; a null
 doc_id has none; repeated rows of one doc_id are one document, which doesn't repeat itself; repeats
@@ -113,13 +113,16 @@ def _seeded(rows: DataFrame, buckets: int) -> DataFrame:
     arrow = to_arrow_schema(PACKED)
 
     def run(batches):
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[tuple[int, int], int] = {}  # the group of each text
+        smallest: list[int] = []  # of each group: its smallest id, and the flush that its seeds go with
+        flushed: list[int] = []
         held: list[list[np.ndarray]] = [[], [], []]
         copies: list[tuple[int, int, int]] = []
-        size = 0
+        size = flushes = 0
 
         def flush():
-            doc, pos, key = (np.concatenate(x) for x in held)
+            member, pos, key = (np.concatenate(x) for x in held)
+            doc = np.array(smallest, np.int64)[member]
             order, group, begin = leaders(doc, pos, key)
             doc, pos, key = doc[order], pos[order], key[order]
             often = np.bincount(group, minlength=len(begin))[group] > LOCAL_MOST
@@ -144,26 +147,34 @@ def _seeded(rows: DataFrame, buckets: int) -> DataFrame:
                 salted = mix(words.hash + place.astype(U64) * U64(0x9E3779B97F4A7C15))
                 high, low = row_sums(salted, words.first), row_sums(mix(salted), words.first)
                 fresh = np.zeros(b - a, bool)
+                groups = np.zeros(b - a, np.int64)
                 for i in np.flatnonzero(valid[a:b] & (counts >= K)).tolist():
-                    whole = int(high[i]), int(low[i])
                     doc = int(ids[a + i])
-                    if whole not in seen:
-                        seen[whole] = doc
+                    group = groups[i] = seen.setdefault((int(high[i]), int(low[i])), len(smallest))
+                    if group == len(smallest):
+                        smallest.append(doc)
+                        flushed.append(flushes)
                         fresh[i] = True
-                    elif seen[whole] != doc and counts[i] >= LEAST_WORDS:
-                        copies.append((doc, seen[whole], int(counts[i])))
+                    elif doc != smallest[group]:
+                        if counts[i] >= LEAST_WORDS:
+                            copies.append((max(doc, smallest[group]), group, int(counts[i])))
+                        if doc < smallest[group]:  # equal texts have equal seeds: those held are of the smaller id from now on
+                            smallest[group] = doc
+                            fresh[i] = flushed[group] != flushes
+                            flushed[group] = flushes
                 row, pos, key = seeds(words)
                 use = fresh[row]
-                for to, x in zip(held, (ids[a:b][row[use]], pos[use], key[use])):
+                for to, x in zip(held, (groups[row[use]], pos[use], key[use])):
                     to.append(x)
                 size += int(use.sum())
                 if size >= HELD:
                     yield from flush()
-                    held, size = [[], [], []], 0
+                    held, size, flushes = [[], [], []], 0, flushes + 1
         if size:
             yield from flush()
         if copies:
             table = np.array(copies, np.int64)
+            table[:, 1] = np.array(smallest, np.int64)[table[:, 1]]
             yield _rows_by_bucket(2, np.zeros(len(table), np.int32), [table[:, 0], table[:, 1], table[:, 2]], arrow)
 
     return rows.mapInArrow(run, PACKED)

@@ -187,3 +187,22 @@ def test_fenwick(n):
         best[at] = max(best[at], value)
         until = int(rng.integers(0, n + 1))
         assert tree.most(until) == max(best[:until], default=(-1e18, -1))
+
+
+def found_in(spark, rows, parts):
+    """The passages of ``rows``, whose partitions are filled in their order."""
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    return sorted((r.doc_id, r.start_word, r.end_word, r.partner_id) for r in sd.repeats(spark, df).collect())
+
+
+@pytest.mark.parametrize("held", [1 << 21, 1])
+def test_copies_out_of_order(spark, monkeypatch, held):
+    """The smallest copy is seeded, also where larger ones are read, or handed on, before it."""
+    monkeypatch.setattr(sd, "HELD", held)
+    monkeypatch.setattr(sd, "slices", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    rng = random.Random(6)
+    old, new = words(rng, 60), words(rng, 60)
+    copy = " ".join(old + words(rng, 30) + new)
+    rows = [(9, copy), (8, copy), (7, " ".join(words(rng, 20) + new)), (5, copy), (6, copy), (5, copy), (3, " ".join(words(rng, 25) + old))]
+    got = found_in(spark, rows, 1)
+    assert got == [(5, 0, 60, 3), (6, 0, 150, 5), (7, 20, 80, 5), (8, 0, 150, 5), (9, 0, 150, 5)]
