@@ -1,7 +1,7 @@
 """Repeated passages across documents by collinear chaining of shared seeds.
 
 Seeds are k-mers of words, thinned to the minimizers of windows of ``WINDOW`` k-mers, so any
-``K + WINDOW - 1`` equal words share a seed. Seeds are packed by bucket as in a join; every
+``K + WINDOW - 1`` equal words share a seed; a long run of one word has seeds of its own. Seeds are packed by bucket as in a join; every
 occurrence is anchored to the seed's first document (smallest id), so a passage of n documents makes n - 1
 anchors for each seed and not all pairs. A task that holds a seed very often anchors those
 occurrences itself and sends on the first alone.
@@ -52,7 +52,7 @@ LOCAL_MOST = 64
 
 
 def seeds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word in the row and hash of each minimizer; a run of one k-mer is one seed."""
+    """Row, word in the row and hash of each minimizer; a run of one k-mer is one seed, with more of other keys if it is long."""
     counts = words.counts()
     every = window_hashes(words.hash, K)
     rows = np.repeat(np.arange(len(counts)), counts)[: len(every)]
@@ -78,7 +78,32 @@ def seeds(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
     chosen &= ~same
-    return r[chosen], place[index][chosen], h[chosen]
+    row, at, key = r[chosen], place[index][chosen], h[chosen]
+    begins = np.flatnonzero(~same)
+    length = np.diff(np.append(begins, len(h)))
+    long = np.flatnonzero(length > WINDOW)
+    if not len(long):
+        return row, at, key
+    more = [(b, *_run_seeds(n + K - 1)) for b, n in zip(begins[long].tolist(), length[long].tolist())]
+    of = np.repeat([b for b, _, _ in more], [len(p) for _, p, _ in more])
+    extra = mix(h[of] ^ mix(np.concatenate([k for _, _, k in more])))
+    return np.concatenate([row, r[of]]), np.concatenate([at, place[index][of] + np.concatenate([p for _, p, _ in more])]), np.concatenate([key, extra])
+
+
+def _run_seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and kinds of the further seeds of a run of one word ``n`` times, which lie at most WINDOW apart.
+
+    The k-th from the run's start and the k-th from its end meet in all runs that are long enough to have them; so anchors cover
+    what two runs share, seen from either end. A run as long as a passage is cut into pieces of that length, which meet those of any other.
+    """
+    near = np.arange(0, min(n, LEAST_WORDS) - K + 1, WINDOW)
+    at, kind = [near, n - K - near], [near + 1, near + 1001]
+    if n >= LEAST_WORDS:
+        inside = np.append(np.arange(0, LEAST_WORDS - K, WINDOW), LEAST_WORDS - K)
+        pieces = np.append(np.arange(0, n - LEAST_WORDS, LEAST_WORDS), n - LEAST_WORDS)
+        at.append((pieces[:, None] + inside).ravel())
+        kind.append(np.tile(inside + 2001, len(pieces)))
+    return np.concatenate(at), np.concatenate(kind).astype(U64)
 
 
 def leaders(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

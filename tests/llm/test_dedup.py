@@ -206,3 +206,26 @@ def test_copies_out_of_order(spark, monkeypatch, held):
     rows = [(9, copy), (8, copy), (7, " ".join(words(rng, 20) + new)), (5, copy), (6, copy), (5, copy), (3, " ".join(words(rng, 25) + old))]
     got = found_in(spark, rows, 1)
     assert got == [(5, 0, 60, 3), (6, 0, 150, 5), (7, 20, 80, 5), (8, 0, 150, 5), (9, 0, 150, 5)]
+
+
+def test_runs_of_one_word(spark):
+    """Runs of one word count with their whole length, alone, inside a passage, and against shorter and longer ones."""
+    rng = random.Random(7)
+    run, left, right, odd = ["-"] * 60, words(rng, 10), words(rng, 10), words(rng, 8)
+    texts = {
+        1: words(rng, 20) + ["-"] * 20 + words(rng, 20),
+        2: words(rng, 30) + run + words(rng, 30),
+        3: words(rng, 15) + run + words(rng, 15),
+        4: run,
+        5: words(rng, 12) + run * 5 + words(rng, 12),
+        6: words(rng, 15) + left + ["="] * 30 + right + words(rng, 15),
+        7: words(rng, 5) + left + ["="] * 30 + right + words(rng, 5),
+        8: words(rng, 15) + ["+"] * 42 + odd + words(rng, 15),
+        9: words(rng, 15) + ["+"] * 45 + odd + words(rng, 15),
+        10: words(rng, 20) + ["_"] * 60,
+        11: words(rng, 20) + ["_"] * 20,
+    }
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    for parts in (1, 2, 11):
+        got = {(d, s, e) for d, s, e, _ in found_in(spark, rows[::-1], parts)}
+        assert got == {(3, 15, 75), (4, 0, 60), (5, 12, 312), (7, 5, 55), (9, 15, 68)}, parts  # 9: the run from its start and from its end, which overlap
