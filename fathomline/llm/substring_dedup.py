@@ -4,7 +4,7 @@ Seeds are k-mers of words, thinned to the minimizers of windows of ``WINDOW`` k-
 ``K + WINDOW - 1`` equal words share a seed; a long run of one word has seeds of its own. Seeds are packed by bucket as in a join; every
 occurrence is anchored to the seed's first document (smallest id), so a passage of n documents makes n - 1
 anchors for each seed and not all pairs. A task that holds a seed very often anchors those
-occurrences itself and sends on the first alone.
+occurrences itself and sends on those of its own first document alone.
 
 Anchors come together by document. For each (document, earlier document) equal diagonals are
 joined into runs, and runs are chained: the best chain that ends in a run is found by a prefix maximum in
@@ -47,7 +47,7 @@ GAP_COST = 0.15
 #: Words between two runs that alignment still looks into.
 ALIGN_MOST = 64
 HELD = 1 << 21
-#: Occurrences of one seed that a task sends on; with more it anchors them itself.
+#: Occurrences of one seed that a task sends on; with more it anchors them itself, but for those of the seed's first document in the task.
 LOCAL_MOST = 64
 
 
@@ -155,7 +155,7 @@ def _seeded(rows: DataFrame, buckets: int) -> DataFrame:
             anchor = often & (doc != doc[first])
             if (out := _rows_by_bucket(1, _doc_bucket(doc[anchor], buckets), [doc[anchor], pos[anchor].astype(np.int32), doc[first[anchor]], pos[first[anchor]].astype(np.int32)], arrow)) is not None:
                 yield out
-            send = ~often | (np.arange(len(doc)) == first)
+            send = ~often | (doc == doc[first])
             doc, pos, key = doc[send], pos[send], key[send]
             if (out := _rows_by_bucket(0, (key % U64(buckets)).astype(np.int32), [doc, pos.astype(np.int32), key], arrow)) is not None:
                 yield out

@@ -229,3 +229,15 @@ def test_runs_of_one_word(spark):
     for parts in (1, 2, 11):
         got = {(d, s, e) for d, s, e, _ in found_in(spark, rows[::-1], parts)}
         assert got == {(3, 15, 75), (4, 0, 60), (5, 12, 312), (7, 5, 55), (9, 15, 68)}, parts  # 9: the run from its start and from its end, which overlap
+
+
+def test_a_very_common_passage_twice_in_a_document(spark, monkeypatch):
+    """The smallest document of a task that holds a hot passage repeats the earlier document at each of its places."""
+    monkeypatch.setattr(sd, "LOCAL_MOST", 2)
+    rng = random.Random(9)
+    passage = words(rng, 70)
+    rows = [(1, words(rng, 25) + passage), (2, words(rng, 200)), (3, words(rng, 200)), (4, words(rng, 200))]
+    rows += [(5, words(rng, 20) + passage + words(rng, 40) + passage + words(rng, 40) + passage)]
+    rows += [(i, words(rng, 25) + passage + words(rng, 30) + passage) for i in (6, 7, 8)]
+    got = {(d, s, e) for d, s, e, _ in found_in(spark, [(i, " ".join(t)) for i, t in rows], 2)}
+    assert got == {(5, 20, 90), (5, 130, 200), (5, 240, 310)} | {(i, s, s + 70) for i in (6, 7, 8) for s in (25, 125)}
