@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its subwords, the byte n-grams of
 ``ORDERS`` over its lower-cased UTF-8 bytes, hashed into ``BUCKETS`` rows; a linear softmax
 reads that mean. Embeddings and softmax are trained together in numpy by
-stochastic gradient descent on passages of a bounded sample of labelled rows.
-A temperature and a rejection threshold are then fitted on labelled rows that
-training left out, so that the score is a calibrated probability.
+stochastic gradient descent on passages of a bounded sample of labelled rows, drawn by hash from
+anywhere in their texts by the tasks that read them. A temperature and a rejection threshold are
+then fitted on the whole texts of sampled rows that training left out, so that the score is a
+calibrated probability.
 
 Since the softmax is linear, embeddings times weights is one table of bucket by
 language; a prediction is the mean of that table's rows over all subwords of the whole
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from fathomline.llm.arrowmap import add_struct, map_text
 from fathomline.llm.textkit import slices, text_bytes
@@ -35,8 +36,6 @@ BUCKETS = 1 << 15
 DIM = 16
 #: The bounded sample of labelled rows that training and calibration read.
 SAMPLE_ROWS = 3000
-#: Of a sampled text no more than this is learned from.
-SAMPLE_CHARS = 20_000
 PASSAGE_BYTES = 300
 #: Passages of a sampled text that one epoch trains on.
 PASSAGES = 4
@@ -97,29 +96,24 @@ class Model:
         return odds / odds.sum(axis=1, keepdims=True)
 
 
-def _passages(text: str) -> list[bytes]:
+def _passages(text: str, seed: int) -> list[bytes]:
+    """At most ``PASSAGES`` of the passages of a text, from anywhere in it."""
     raw = text.encode("utf-8", "replace")
-    return [raw[i : i + PASSAGE_BYTES] for i in range(0, len(raw), PASSAGE_BYTES)]
+    n = -(-len(raw) // PASSAGE_BYTES)
+    drawn = np.random.Generator(np.random.PCG64(seed & (1 << 64) - 1)).choice(n, min(n, PASSAGES), replace=False)
+    return [raw[i * PASSAGE_BYTES : (i + 1) * PASSAGE_BYTES] for i in drawn.tolist()]
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
-    """Train on (text, language) pairs; every fifth pair is kept for calibration."""
-    rows = sorted((t, g) for t, g in rows if t and g and _LETTER.search(t))
-    if not rows:
-        return None
-    languages = tuple(sorted({g for _, g in rows}))
+def fit(rows: list[tuple[list[bytes], str]], languages: tuple[str, ...], seed: int = 5) -> np.ndarray:
+    """The table of bucket by language, trained on (passages, language) pairs."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    order = rng.permutation(len(rows))
-    held = {int(i) for i in order[: len(rows) // 5]}
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(languages)), np.float32)
     items = []
-    for i, (t, g) in enumerate(rows):
-        if i not in held:
-            pieces = _passages(t)
-            for j in rng.permutation(len(pieces))[:PASSAGES]:
-                if grams := subwords(np.frombuffer(pieces[j], np.uint8)):
-                    items.append((np.concatenate(grams), languages.index(g)))
+    for pieces, g in rows:
+        for piece in pieces:
+            if grams := subwords(np.frombuffer(piece, np.uint8)):
+                items.append((np.concatenate(grams), languages.index(g)))
     steps, step = max(1, EPOCHS * len(items)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(items)):
@@ -134,13 +128,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             back = out @ p
             out -= rate * np.outer(mean, p)
             np.subtract.at(emb, grams, (rate / len(grams)) * back)
-    table = np.ascontiguousarray(emb @ out, np.float32)
-    model = Model(languages, table, 1.0, 0.0)
-    kept = [rows[i] for i in sorted(held)] or rows
-    raws = [t.encode("utf-8", "replace") for t, _ in kept]
-    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
-    means = model.means(np.frombuffer(b"".join(raws), np.uint8), offsets)
-    labels = np.array([languages.index(g) for _, g in kept])
+    return np.ascontiguousarray(emb @ out, np.float32)
+
+
+def calibrate(languages: tuple[str, ...], table: np.ndarray, means: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with the temperature and threshold that suit these means of whole texts."""
     at = np.arange(len(labels))
     losses = {t: -np.log(np.maximum(Model(languages, table, t, 0).probabilities(means)[at, labels], 1e-9)).mean() for t in np.geomspace(0.25, 16, 25)}
     temperature = float(min(losses, key=losses.get))
@@ -151,18 +143,54 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     return Model(languages, table, temperature, threshold)
 
 
-def labelled_sample(docs: DataFrame, learn, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows for which ``learn`` holds, those of the smallest hash of id and text."""
+def _drawer():
+    def apply(column):
+        hashes, texts = column.field(0).to_pylist(), column.field(1).to_pylist()
+        return [pa.array([_passages(t, h) if _LETTER.search(t) else [] for h, t in zip(hashes, texts)], pa.list_(pa.binary()))]
+
+    return apply
+
+
+def _averager(model: Model):
+    def make():
+        def apply(column):
+            data, offsets = text_bytes(column)
+            out = []
+            for a, b in slices(offsets):
+                base = offsets[a]
+                out += model.means(data[base : offsets[b]], offsets[a : b + 1] - base).tolist()
+            return [pa.array(out, pa.list_(pa.float64()))]
+
+        return apply
+
+    return make
+
+
+def train(docs: DataFrame, learn=None, rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
+    """Learn from at most ``rows`` labelled rows for which ``learn`` holds, those of the smallest hash of id and text; every fifth is kept for calibration."""
     t, g = F.col(f"`{text}`"), F.col(f"`{lang}`")
-    every = docs.filter(learn & t.isNotNull() & g.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"), t.alias("t"), g.alias("g"))
+    every = docs.filter((F.lit(True) if learn is None else learn) & t.isNotNull() & g.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"), t.alias("t"), g.alias("g"))
     # hashes are ordered alone, so that no task sends texts that aren't picked
-    picked = every.select("h").distinct().orderBy("h").limit(rows)
-    chosen = every.join(F.broadcast(picked), "h").select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "g")  # the limit bounds it
-    return [(r["t"], r["g"]) for r in chosen.dropDuplicates(["h", "g"]).collect()]
+    picked = [r["h"] for r in every.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not picked:
+        return None
 
+    def of(hashes: list[int]) -> DataFrame:
+        return every.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hashes], "h long")), "h")
 
-def train(docs: DataFrame, learn=None, rows: int = SAMPLE_ROWS, **columns: str) -> Model | None:
-    return fit(labelled_sample(docs, F.lit(True) if learn is None else learn, rows=rows, **columns))
+    drawn = map_text(of(picked).select("h", "g", F.struct("h", "t").alias("ht")), "ht", lambda: _drawer(), StructType([StructField("pieces", ArrayType(BinaryType()))]), ["h", "g"])
+    pieces = {(r["h"], r["g"]): [bytes(p) for p in r["pieces"]] for r in drawn.dropDuplicates(["h", "g"]).collect() if r["pieces"] and r["g"]}
+    if not pieces:
+        return None
+    languages = tuple(sorted({g for _, g in pieces}))
+    held = set(picked[4::5])
+    if not any(h in held for h, _ in pieces):
+        held = set()
+    table = fit([(p, g) for (h, g), p in sorted(pieces.items()) if h not in held] or [(p, g) for (_, g), p in sorted(pieces.items())], languages)
+    kept = sorted(k for k in pieces if not held or k[0] in held)
+    whole = map_text(of(sorted({h for h, _ in kept})), "t", _averager(Model(languages, table, 1.0, 0.0)), StructType([StructField("means", ArrayType(DoubleType()))]), ["h", "g"])
+    means = {(r["h"], r["g"]): r["means"] for r in whole.dropDuplicates(["h", "g"]).collect()}
+    return calibrate(languages, table, np.array([means[k] for k in kept]), np.array([languages.index(g) for _, g in kept]))
 
 
 def _namer(model: Model | None):

@@ -203,3 +203,13 @@ def test_quality_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, None), (2, 1)], "doc_id long, quality int")
     scores = [r.score for r in q.classify(docs, q.train(docs, labels)).orderBy("doc_id").collect()]
     assert all(0 <= s <= 1 for s in scores) and scores[1] == scores[2] and scores[3] == scores[4]
+
+
+def test_language_id_learns_from_whole_texts(spark):
+    """What tells languages apart comes late in long texts, after more than 20,000 characters that all share."""
+    late = {"en": "the cat sat on that mat and ", "de": "der hund und die katze sind "}
+    rows = [(i, "0 1 x 2 3 " * 2100 + late[g] * 3000, g) for i, g in enumerate(["en", "de"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = li.train(df)
+    got = li.predict(df, model, keep=("doc_id", "lang")).collect()
+    assert all(r.lang_pred == r.lang and r.score > 0.9 and not r.rejected for r in got)
