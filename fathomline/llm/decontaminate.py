@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from fathomline.llm.arrowmap import add_struct, map_text
-from fathomline.llm.textkit import ALNUM_WORDS, Words, slices, text_bytes, window_hashes
+from fathomline.llm.textkit import ALNUM_WORDS, SEPARATOR_BYTE, Words, slices, text_bytes, window_hashes
 
 NGRAM = 10
 #: Windows in one broadcast; with their words about 100 bytes each.
@@ -37,7 +37,7 @@ _SIEVE_BITS = 20
 def item_words(text: str | None) -> list[bytes]:
     """The words of one text, as the scan sees them."""
     raw = (text or "").encode("utf-8", "replace")
-    return [w for w in raw.translate(bytes(ALNUM_WORDS)).split(b"\0") if w]
+    return [w for w in raw.translate(bytes(ALNUM_WORDS)).split(SEPARATOR_BYTE) if w]
 
 
 def item_windows(items, n: int) -> dict[bytes, set[str]]:
@@ -79,7 +79,7 @@ class WindowSet:
             maybe = maybe[maybe + size <= words.first[row + 1]]
             for i in maybe.tolist():
                 text = bytes(data[words.start[i] : words.end[i + size - 1]]).translate(bytes(ALNUM_WORDS))
-                window = b" ".join(w for w in text.split(b"\0") if w)
+                window = b" ".join(w for w in text.split(SEPARATOR_BYTE) if w)
                 if window in self.items:
                     found.append((i, size, window))
         return words, found

@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from fathomline.llm.arrowmap import map_text
 from fathomline.llm.decontaminate import item_words
-from fathomline.llm.textkit import ALNUM_WORDS, U64, Words, slices, text_bytes, window_hashes
+from fathomline.llm.textkit import ALNUM_WORDS, SEPARATOR_BYTE, U64, Words, slices, text_bytes, window_hashes
 
 #: The base phrases and their labels.
 PHRASES = {
@@ -176,7 +176,7 @@ class Scanner:
             if last - i < LEAD:
                 continue
             text = bytes(data[words.start[i] : words.end[last - 1]]).translate(bytes(ALNUM_WORDS))
-            near_words = [w for w in text.split(b"\0") if w]
+            near_words = [w for w in text.split(SEPARATOR_BYTE) if w]
             lead, place = tuple(near_words[:LEAD]), i - int(words.first[row])
             for phrase, label in self.phrases.get(lead, ()):
                 if near_words[: len(phrase)] == phrase:

@@ -1,28 +1,34 @@
-"""Exact Jaccard join of documents' word shingles by partitioning the universe.
-
-Two sets of sizes r and s with Jaccard likeness J >= t differ in at most
-D(r, s) = floor((1 - t) / (1 + t) * (r + s)) elements. Sizes are dealt into bands (``BANDS``
-starts; a band also takes the longer partners of its sizes). In a band the universe of
-shingle hashes is cut into segments, and a set's part in a segment is signed by a hash of
-its elements. If two sets differ in at most D elements, at most D segments differ, so
-they agree in all but D segments (pigeonhole).
-
-Which signatures a document emits is allocated by cost. The cost of a signature is
-its number of documents where that is high (heavy hitters of all documents' signatures, counted in
-a first pass), else none; empty segments cost most. All documents of a band order
-signatures alike, cheapest first, and each emits its first D + 1: were none of two
-similar sets' shared signatures among those, more than D would differ. Where the
-band's documents have too few cheap ones, the first segments are merged into blocks that are worth two: a
-block emits its subset and all its one-deletion neighbours, which also meet where one element
-differs, so each block saves two signatures; a band gets as many blocks as lower its
-measured cost. The smallest band is one such block: the set and its one-deletion neighbours.
-
-Signatures are packed into arrays by bucket, so a shuffle row is a task's share of a
-bucket. A bucket links the documents of a signature to the smallest of them (a star) and
-keeps longer lists. Each document's first link is verified exactly on the texts; then documents that met
-and are not yet in one component are compared as well (those that bit maps of their sets don't rule out), so no link between different texts
-is lost and no group is expanded into pairs. Exact copies are one set: a task emits a set
-once, and copies are grouped by the hash of the whole set.
+"""Exact Jaccard join of documents' word shingles by partitioning the universe of shingles.
+
+The universe of shingle hashes is cut into segments by the band of a set's size, and a set signs its
+subset of each segment. Sets of sizes r and s with likeness J >= t share at least
+c(r, s) = ceil(t / (1 + t) * (r + s)) elements (pigeonhole): they agree in one of any r - c + 1 of the segments of one side.
+
+* The band of up to ``SMALL_MOST`` shingles has one segment, the whole universe: similar sets are equal there or one
+  is the other and one element more, so a set signs its subset and all its one-deletion neighbours.
+* In the bands above a segment is one hash value and its subset one shingle. Coarser segments can't tell which of the two sides
+  differs and need floor((1 - t) / (1 + t) * (r + s)) + 1 signatures: a third more, which met in lists of
+  far less similar documents.
+
+Which segments a set signs is allocated by cost. The cost of a signature is its number of documents where that is high
+(heavy hitters of all documents' signatures, counted in a first pass), else none. All documents order signatures alike,
+cheapest first, and each signs its first n - c + 1, with c for its smallest partner. In which place a document has a
+signature says more: the cheaper ones before it are in none of the documents that it first meets there. So a signature
+in place p of a set of size n only counts for partners of up to ``reach`` = (1 + t) / t * (n - p) - n elements, and two documents of
+a list can be similar by it if each is within the other's reach.
+
+Pairs are never listed. Within a list the documents' [size, reach] are intervals, and one sweep by size links
+each document to one that it may be similar to, so that these links connect all that may be similar (``sweep``). The same sweep,
+in each map task, holds documents back whose partners another one of the task has as well; so a task sends on a few documents of
+a list that is very long. The links' connected components are groups: every similar pair lies in one.
+
+Each document's first link is verified exactly on the texts, which joins most of a group. In groups that still have several
+components, documents outside of the largest one are compared with the rest of the group, by bit maps of their sets, in blocks; the bits in which two maps
+differ are a lower bound of the elements in which their sets do. The pairs that pass are verified on the texts. So no link between different texts
+is lost, but for those that join what is joined already.
+
+Exact copies are one set: a task signs a set once, for the first document that it meets, and its other copies are linked to that one;
+tasks' first documents of a set are linked by the hash (128 bits) of the whole set.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links to nothing and
 is its own component; fewer than ``k`` words are one shingle; rows with one doc_id are one
@@ -49,36 +55,27 @@ from fathomline.scratch import Scratch
 SHINGLE = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
-#: Smallest size of each band; a factor of 4 keeps most sizes in one band only.
-BANDS = (1, 5, 20, 80, 320, 1280, 5120, 20480, 81920, 327680, 1310720, 1 << 40)
-#: Signatures that a task counts or packs at once.
+#: Sets of up to this size are one segment.
+SMALL_MOST = 5
+#: Signatures that a task counts or packs at once, and those that a bucket holds on average at most.
 HELD = 1 << 21
+BUCKET_KEYS = 1 << 21
 #: Heavy hitters: counted from this many in a task's share on; listed from HOT_LEAST in all; HOT_MOST are kept for ordering.
 LOCAL_LEAST, HOT_LEAST, HOT_MOST = 3, 16, 1 << 18
-#: Elements that a two-worth block holds at least, on average.
-BLOCK_ELEMENTS = 16
-BLOCKS_MOST = 8
 _COLD = 0
-_EMPTY = 15
+#: Sizes and reaches are below this.
+_SPAN = 1 << 32
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments of each band, the blocks that the allocation gave it, and the costs of hot signatures."""
+    """The threshold, and the costs of hot signatures."""
 
     num: int = NUM
     den: int = DEN
-    blocks: tuple[int, ...] = (0,) * (len(BANDS) - 1)
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     hot_level: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
 
-    def segments(self, band: int) -> int:
-        return max(64, 8 * BANDS[band])
-
-    def block_segments(self, band: int) -> int:
-        """How many segments a block of this band merges."""
-        return -(-BLOCK_ELEMENTS * self.segments(band) // BANDS[band])
-
     def differ(self, r: np.ndarray, s: np.ndarray) -> np.ndarray:
         """The most elements in which similar sets of these sizes differ: U - I with den * I >= num * U."""
         return (self.den - self.num) * (r + s) // (self.den + self.num)
@@ -87,6 +84,18 @@ class Scheme:
         """The largest size of a set similar to one of size r."""
         return self.den * r // self.num
 
+    def shortest(self, r: np.ndarray) -> np.ndarray:
+        return -(-self.num * r // self.den)
+
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """Signatures that a set of size n emits to meet a similar one of any size."""
+        shared = -(-self.num * (n + self.shortest(n)) // (self.num + self.den))
+        return n - shared + 1
+
+    def reach(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The largest set that one of size n can be similar to if it shares nothing before this place."""
+        return np.clip((self.num + self.den) * (n - place) // self.num - n, 0, _SPAN - 1)
+
     def level(self, sig: np.ndarray) -> np.ndarray:
         """0 for cold signatures, else 1 to 14 by their count."""
         if not len(self.hot):
@@ -95,31 +104,6 @@ class Scheme:
         return np.where(self.hot[at] == sig, self.hot_level[at], U64(_COLD))
 
 
-def _salt(band: np.ndarray, what: int) -> np.ndarray:
-    return mix(np.asarray(band, U64) * U64(64) + U64(what + 1))
-
-
-@dataclass
-class Roles:
-    """Documents in their bands: each in its own, and again in the band below if a shorter partner can be there."""
-
-    doc: np.ndarray
-    band: np.ndarray
-    needed: np.ndarray
-
-    @classmethod
-    def of(cls, sizes: np.ndarray, scheme: Scheme) -> "Roles":
-        starts = np.array(BANDS)
-        docs = np.flatnonzero(sizes > 0)
-        n = sizes[docs]
-        own = np.searchsorted(starts, n, side="right") - 1
-        need_own = scheme.differ(n, scheme.longest(n)) + 1
-        shortest = -(-scheme.num * n // scheme.den)
-        lower = (own > 0) & (shortest < starts[own])
-        need_lower = scheme.differ(n, starts[own] - 1) + 1
-        return cls(np.concatenate([docs, docs[lower]]), np.concatenate([own, own[lower] - 1]), np.concatenate([need_own, need_lower[lower]]))
-
-
 def _expand(offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The elements of these documents one after another: their indexes, and n + 1 offsets."""
     size = (offsets[1:] - offsets[:-1])[docs]
@@ -128,102 +112,65 @@ def _expand(offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(offsets[:-1][docs] - out[:-1], size) + np.arange(out[-1]), out
 
 
-def segment_signatures(sets: np.ndarray, offsets: np.ndarray, roles: Roles, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each role and non-empty segment: role, segment, signature, and the sum of the elements' hashes."""
-    index, role_offs = _expand(offsets, roles.doc)
-    role = np.repeat(np.arange(len(roles.doc)), np.diff(role_offs))
-    many = np.array([scheme.segments(b) for b in range(len(BANDS) - 1)], np.int64)[roles.band]
-    values = sets[index]
-    segment = ((values >> U64(32)) * many[role].astype(U64) >> U64(32)).astype(np.int64)
-    begins = np.empty(len(index), bool)
-    begins[:1] = True
-    begins[1:] = (role[1:] != role[:-1]) | (segment[1:] != segment[:-1])
-    at = np.flatnonzero(begins)
-    sums = np.add.reduceat(mix(values), at) if len(at) else np.zeros(0, U64)
-    role, segment = role[at], segment[at]
-    return role, segment, mix(sums ^ _salt(roles.band[role], 0)), sums
-
-
-def allocate(sets: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures that each document emits: document and key. Keys begin with the cost."""
-    roles = Roles.of(np.diff(offsets), scheme)
-    out_doc, out_key = [], []
-    whole = roles.band == 0
-    _whole_sets(sets, offsets, Roles(roles.doc[whole], roles.band[whole], roles.needed[whole]), out_doc, out_key)
-    roles = Roles(roles.doc[~whole], roles.band[~whole], roles.needed[~whole])
-    if len(roles.doc):
-        role, segment, sig, _ = segment_signatures(sets, offsets, roles, scheme)
-        blocks = np.array(scheme.blocks)[roles.band]
-        merged = np.array([scheme.block_segments(b) for b in range(len(BANDS) - 1)])[roles.band]
-        plain = segment >= (blocks * merged)[role]
-        if not plain.all():
-            _block_sets(sets, offsets, roles, blocks, merged, scheme, out_doc, out_key)
-        role, segment, sig = role[plain], segment[plain], sig[plain]
-        needed = roles.needed - 2 * blocks
-        keys = (scheme.level(sig) << U64(60)) | (sig >> U64(4))
-        counts = np.bincount(role, minlength=len(roles.doc))
-        ends = np.cumsum(counts)
-        starts = ends - counts
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            keys[a:b].sort()
-        rank = np.arange(len(keys)) - starts[role]
-        chosen = rank < needed[role]
-        out_doc.append(roles.doc[role[chosen]])
-        out_key.append(keys[chosen])
-        # too few non-empty segments: empty ones, in their order
-        for r in np.flatnonzero(counts < needed).tolist():
-            first = int(blocks[r] * merged[r])
-            taken = set(segment[role == r].tolist())
-            missing = int(needed[r] - counts[r])
-            free = [s for s in range(first, scheme.segments(int(roles.band[r]))) if s not in taken][:missing]
-            empty = mix(np.array(free, U64) ^ _salt(roles.band[r : r + 1], 1))
-            out_doc.append(np.full(len(free), roles.doc[r]))
-            out_key.append((U64(_EMPTY) << U64(60)) | (empty >> U64(4)))
-    if not out_doc:
+def signatures(sets: np.ndarray) -> np.ndarray:
+    """The signature of each one-element segment."""
+    return mix(sets)
+
+
+def allocate(sets: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures that each document emits: document, key and place. Keys begin with the cost."""
+    sizes = np.diff(offsets)
+    small = np.flatnonzero((sizes > 0) & (scheme.shortest(sizes) <= SMALL_MOST))
+    doc, key = _whole_sets(sets, offsets, small)
+    large = np.flatnonzero(sizes > SMALL_MOST)
+    if not len(large):
+        return doc, key, np.zeros(len(doc), np.int64)
+    values, offs = _take(sets, offsets, large)
+    sig = signatures(values)
+    keys = (scheme.level(sig) << U64(60)) | (sig >> U64(4))
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+        keys[a:b].sort()
+    owner = np.repeat(np.arange(len(large)), np.diff(offs))
+    place = np.arange(len(keys)) - offs[owner]
+    chosen = place < scheme.needed(sizes[large])[owner]
+    return np.concatenate([doc, large[owner[chosen]]]), np.concatenate([key, keys[chosen]]), np.concatenate([np.zeros(len(doc), np.int64), place[chosen]])
+
+
+def _whole_sets(sets: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and key of each whole set, and of it less one element where it has more than three."""
+    if not len(docs):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(out_doc), np.concatenate(out_key)
+    values, offs = _take(sets, offsets, docs)
+    owner = np.repeat(np.arange(len(docs)), np.diff(offs))
+    hashed = mix(values ^ U64(0x5851F42D4C957F2D))
+    sums = row_sums(hashed, offs)
+    deep = np.diff(offs)[owner] > 3
+    who = np.concatenate([np.arange(len(docs)), owner[deep]])
+    return docs[who], mix(np.concatenate([sums, sums[owner[deep]] - hashed[deep]])) >> U64(4)
 
 
-def _neighbours(values: np.ndarray, owner: np.ndarray, groups: int, salt: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Group and signature of each group's subset, and of it less one element where it has more than ``least``."""
-    hashed = mix(values)
-    counts = np.bincount(owner, minlength=groups)
-    offs = np.concatenate(([0], np.cumsum(counts)))
-    sums = row_sums(hashed, offs)
-    deep = counts[owner] > least
-    who = np.concatenate([np.arange(groups), owner[deep]])
-    return who, mix(np.concatenate([sums, sums[owner[deep]] - hashed[deep]]) ^ salt[who])
-
-
-def _whole_sets(sets, offsets, roles: Roles, out_doc: list, out_key: list) -> None:
-    """The smallest band: similar sets are equal or one is the other and one element more."""
-    size = (offsets[1:] - offsets[:-1])[roles.doc]
-    keep = size >= 3  # below that only equal sets are similar
-    doc = roles.doc[keep]
-    if len(doc):
-        index, offs = _expand(offsets, doc)
-        owner = np.repeat(np.arange(len(doc)), np.diff(offs))
-        who, sig = _neighbours(sets[index], owner, len(doc), _salt(np.zeros(len(doc), np.int64), 2), 3)
-        out_doc.append(doc[who])
-        out_key.append(sig >> U64(4))
-
-
-def _block_sets(sets, offsets, roles: Roles, blocks, merged, scheme: Scheme, out_doc: list, out_key: list) -> None:
-    index, offs = _expand(offsets, roles.doc)
-    role = np.repeat(np.arange(len(roles.doc)), np.diff(offs))
-    many = np.array([scheme.segments(b) for b in range(len(BANDS) - 1)], np.int64)[roles.band]
-    values = sets[index]
-    block = ((values >> U64(32)) * many[role].astype(U64) >> U64(32)).astype(np.int64) // merged[role]
-    inside = block < blocks[role]
-    # every block of every role, empty ones too
-    base = np.concatenate(([0], np.cumsum(blocks)))
-    owner = base[role[inside]] + block[inside]
-    group_role = np.repeat(np.arange(len(roles.doc)), blocks)
-    number = np.arange(base[-1]) - base[group_role]
-    salt = _salt(roles.band[group_role], 3) + mix(number.astype(U64) + U64(1))
-    who, sig = _neighbours(values[inside], owner, int(base[-1]), salt, 0)
-    out_doc.append(roles.doc[group_role[who]])
-    out_key.append(sig >> U64(4))
+def sweep(group: np.ndarray, n: np.ndarray, reach: np.ndarray, cover: bool = False) -> np.ndarray:
+    """For entries sorted by (list, size): one that each may be similar to and that comes before it, or -1.
+
+    An entry that reaches its own size is the interval [n, reach]; two of these may be similar if they meet. One that
+    doesn't may be similar to intervals that hold [reach, n] and to nothing else; all of those meet one another. So a link
+    to the interval that reaches farthest, of those that begin early enough, connects all there are. With ``cover`` only a link to an
+    entry that has all the partners of this one counts: an interval that holds it, or any at all if it is no interval.
+    """
+    m = len(n)
+    if not m:
+        return np.zeros(0, np.int64)
+    own = np.arange(m)
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    number = np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))
+    high = number * _SPAN + reach
+    top = np.maximum.accumulate(high)
+    holder = np.maximum.accumulate(np.where(high == top, own, 0))
+    interval = reach >= n
+    last = np.where(interval, own - 1, np.searchsorted(number * _SPAN + n, high, side="right") - 1)
+    to = holder[np.maximum(last, 0)]
+    found = (last >= begin[number]) & (reach[to] >= (np.where(interval, reach, n) if cover else n))
+    return np.where(found, to, -1)
 
 
 # ---- passes over the documents -----------------------------------------------------
@@ -242,14 +189,16 @@ def _set_hashes(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return row_sums(mix(sets), offsets), row_sums(mix(sets + U64(0x9E3779B97F4A7C15)), offsets)
 
 
-def _fresh(seen: set, high: np.ndarray, low: np.ndarray, sizes: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Rows whose set the task meets first."""
-    out = []
+def _fresh(seen: dict, high: np.ndarray, low: np.ndarray, sizes: np.ndarray, ids: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose set the task meets first, and for each row the id that its set was first met with."""
+    out, reps = [], ids.copy()
     for i, key in enumerate(zip(high.tolist(), low.tolist())):
-        if sizes[i] and usable[i] and key not in seen:
-            seen.add(key)
-            out.append(i)
-    return np.array(out, np.int64)
+        if sizes[i] and usable[i]:
+            if key not in seen:
+                seen[key] = int(ids[i])
+                out.append(i)
+            reps[i] = seen[key]
+    return np.array(out, np.int64), reps
 
 
 def _take(sets: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,249 +206,171 @@ def _take(sets: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return sets[index], offs
 
 
-PROFILE = StructType([StructField(c, t) for c, t in (("kind", IntegerType()), ("doc_id", LongType()), ("n", LongType()), ("high", LongType()), ("low", LongType()))])
+PROFILE = StructType([StructField("kind", IntegerType())] + [StructField(c, LongType()) for c in ("doc_id", "n", "high", "low", "rep")])
 
 
 def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """kind 0: each row's set size and hash; 1: counts of signatures that a task met often (high: signature, low: band); 2: signatures, documents and needed signatures of a band."""
+    """kind 0: each row's set size and hash, and its task's first document of that set; 1: counts of signatures that a task met often (high); 2: signatures that a task will emit (n)."""
     arrow = to_arrow_schema(PROFILE)
 
     def run(batches):
-        seen: set = set()
-        held, held_bands, size = [], [], 0
-        totals = np.zeros((len(BANDS) - 1, 3), np.int64)
+        seen: dict = {}
+        held, size, total = [], 0, 0
 
-        def batch_of(kind, ids, n, high, low):
-            as_long = lambda x: pa.array(np.asarray(x).astype(U64).view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(np.asarray(n, np.int64)), as_long(high), as_long(low)], schema=arrow)
+        def batch_of(kind, n, high, low=None, ids=None, reps=None):
+            as_long = lambda x: pa.nulls(len(n), pa.int64()) if x is None else pa.array(x.view(np.int64))
+            missing = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), missing if ids is None else ids, pa.array(np.asarray(n, np.int64)), as_long(high), as_long(low), missing if reps is None else reps], schema=arrow)
 
         def flush():
-            sig, at, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-            often = n >= LOCAL_LEAST
-            return batch_of(1, pa.nulls(int(often.sum()), pa.int64()), n[often], sig[often], np.concatenate(held_bands)[at[often]])
+            sig, n = np.unique(np.concatenate(held), return_counts=True)
+            return batch_of(1, n[n >= LOCAL_LEAST], sig[n >= LOCAL_LEAST])
 
         for batch in batches:
             ids = batch.column(0)
             valid = np.asarray(ids.is_valid())
+            plain = np.asarray(ids.fill_null(0))
             for a, b, sets, offsets in _sets(batch.column(1), k):
                 sizes = np.diff(offsets)
                 high, low = _set_hashes(sets, offsets)
-                yield batch_of(0, ids.slice(a, b - a), sizes, high, low)
-                rows = _fresh(seen, high, low, sizes, valid[a:b])
-                own, offs = _take(sets, offsets, rows)
-                roles = Roles.of(np.diff(offs), scheme)
-                role, _, sig, _ = segment_signatures(own, offs, roles, scheme)
-                bands = roles.band[role]
-                totals[:, 0] += np.bincount(bands, minlength=len(totals))
-                totals[:, 1] += np.bincount(roles.band, minlength=len(totals))
-                totals[:, 2] += np.bincount(roles.band, weights=roles.needed, minlength=len(totals)).astype(np.int64)
-                held.append(sig)
-                held_bands.append(bands)
-                size += len(sig)
+                rows, reps = _fresh(seen, high, low, sizes, plain[a:b], valid[a:b])
+                yield batch_of(0, sizes, high, low, ids.slice(a, b - a), pa.array(reps, mask=~valid[a:b]))
+                large = rows[sizes[rows] > SMALL_MOST]
+                total += int(scheme.needed(sizes[large]).sum()) + (SMALL_MOST + 2) * (len(rows) - len(large))
+                held.append(signatures(_take(sets, offsets, large)[0]))
+                size += len(held[-1])
                 if size >= HELD:
                     yield flush()
-                    held, held_bands, size = [], [], 0
+                    held, size = [], 0
         if size:
             yield flush()
-        yield batch_of(2, pa.array(np.arange(len(totals))), totals[:, 0], totals[:, 1], totals[:, 2])
+        yield batch_of(2, [total], None)
 
     return docs.mapInArrow(run, PROFILE)
 
 
-def choose_blocks(profile: DataFrame, hot: list, scheme: Scheme) -> tuple[int, ...]:
-    """For each band as many two-worth blocks as lower its cost: signatures emitted and documents met by them.
+PACKED = StructType([StructField("bucket", IntegerType())] + [StructField(c, BinaryType()) for c in ("keys", "ids", "sizes", "places", "a", "b")])
+
+
+def _thin(values: np.ndarray) -> bytes:
+    """Whole numbers as differences to the smallest, in as few bytes each as hold the largest."""
+    low = int(values.min()) if len(values) else 0
+    spread = int(values.max()) - low if len(values) else 0
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if spread <= np.iinfo(t).max)
+    return np.array([low, np.dtype(kind).itemsize], np.int64).tobytes() + (values - low).astype(kind).tobytes()
 
-    Cold signatures come first, so only a band whose documents have fewer of them than they need
-    emits hot ones. A hot signature costs 1 and the length of its list; a block costs its subset and
-    its deletions and saves two hot signatures.
-    """
-    by_band = profile.filter("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("sigs"), F.sum("high").alias("docs"), F.sum("low").alias("needed")).collect()
-    met, lists = {}, {}
-    for r in hot:
-        met[r["band"]] = met.get(r["band"], 0) + r["n"]
-        lists[r["band"]] = lists.get(r["band"], 0) + r["n"] ** 2
-    out = [0] * (len(BANDS) - 1)
-    for r in by_band:
-        band, occurrences = r["doc_id"], met.get(r["doc_id"], 0)
-        if band < 3 or not occurrences:
-            continue
-        lacking = (r["needed"] - (r["sigs"] - occurrences)) / max(r["docs"], 1)
-        pays = 2 * (1 + lists[band] / occurrences) > 1 + 2 * BLOCK_ELEMENTS
-        room = scheme.segments(band) // (2 * scheme.block_segments(band))  # half of the universe at most
-        if lacking > 0 and pays:
-            out[band] = min(BLOCKS_MOST, room, -int(-lacking // 2))
-    return tuple(out)
-
-
-PACKED = StructType([StructField("bucket", IntegerType()), StructField("docs", BinaryType()), StructField("sizes", BinaryType()), StructField("keys", BinaryType()), StructField("at", BinaryType())])
+
+def _thick(raw: pa.Buffer) -> np.ndarray:
+    low, width = np.frombuffer(raw, np.int64, 2)
+    return np.frombuffer(raw, f"u{width}", -1, 16).astype(np.int64) + low
 
 
 def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """Signatures of each task by bucket: documents, their set sizes, keys, and which document each key is of."""
+    """Signatures of each task by bucket (keys, documents, their set sizes, places), and links (a, b) found in the task."""
     arrow = to_arrow_schema(PACKED)
 
     def run(batches):
-        seen: set = set()
+        seen: dict = {}
         held: list[list[np.ndarray]] = [[], [], [], []]
-        size = total_docs = 0
+        size = 0
 
         def flush():
-            ids, sizes, keys, at = (np.concatenate(x) for x in held)
+            keys, ids, sizes, places = (np.concatenate(x) for x in held)
+            hot = np.flatnonzero(keys >> U64(60))
+            hot = hot[np.lexsort((sizes[hot], keys[hot]))]
+            to = sweep(keys[hot], sizes[hot], scheme.reach(sizes[hot], places[hot]), cover=True)
+            a, b = ids[hot[to >= 0]], ids[hot[to[to >= 0]]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+            send = np.ones(len(keys), bool)
+            send[hot[to >= 0]] = False
+            keys, ids, sizes, places = keys[send], ids[send], sizes[send], places[send]
             bucket = ((keys & U64(0xFFFFFFFF)) * U64(buckets) >> U64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, at = keys[order], at[order]
-            ends = np.searchsorted(bucket[order], np.arange(buckets), side="right")
-            rows = [[], [], [], [], []]
-            for b, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-                if e > s:
-                    use, where = np.unique(at[s:e], return_inverse=True)
-                    for to, value in zip(rows, (b, ids[use].tobytes(), sizes[use].astype(np.int32).tobytes(), keys[s:e].tobytes(), where.astype(np.uint32).tobytes())):
-                        to.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, arrow)], schema=arrow)
+            names, begin = np.unique(bucket[order], return_index=True)
+            ends = np.append(begin[1:], len(order)).tolist()
+            cuts = [order[s:e] for s, e in zip(begin.tolist(), ends)]
+            n = len(cuts)
+            cut = [pa.array([keys[c].tobytes() for c in cuts], pa.binary())] + [pa.array([_thin(x[c]) for c in cuts], pa.binary()) for x in (ids, sizes, places)]
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names), *cut, none, none], schema=arrow)
+            if len(pairs):
+                none = pa.nulls(1, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([int(pairs[0, 0] % buckets)], pa.int32()), none, none, none, none, *(pa.array([pairs[:, i].tobytes()], pa.binary()) for i in (0, 1))], schema=arrow)
 
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
             ids = np.asarray(batch.column(0).fill_null(0))
             for a, b, sets, offsets in _sets(batch.column(1), k):
                 sizes = np.diff(offsets)
-                rows = _fresh(seen, *_set_hashes(sets, offsets), sizes, valid[a:b])
+                rows, _ = _fresh(seen, *_set_hashes(sets, offsets), sizes, ids[a:b], valid[a:b])
                 if not len(rows):
                     continue
-                doc, key = allocate(*_take(sets, offsets, rows), scheme)
-                held[0].append(ids[a:b][rows])
-                held[1].append(sizes[rows])
-                held[2].append(key)
-                held[3].append(doc + total_docs)
-                total_docs += len(rows)
+                doc, key, place = allocate(*_take(sets, offsets, rows), scheme)
+                for to, x in zip(held, (key, ids[a:b][rows][doc], sizes[rows][doc], place)):
+                    to.append(x)
                 size += len(key)
                 if size >= HELD:
-                    yield flush()
-                    held, size, total_docs = [[], [], [], []], 0, 0
+                    yield from flush()
+                    held, size = [[], [], [], []], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return docs.mapInArrow(run, PACKED)
 
 
-CANDIDATE = StructType([StructField("key", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("size", LongType())])
-#: Bits of the map of segments in which a document differs from another that it first meets in a list.
-MAP_WORDS = 4
+PAIR = "a long, b long"
 
 
-def _met(packed: DataFrame, scheme: Scheme) -> DataFrame:
-    """From buckets: links (key null) of a signature's documents to its smallest, and lists of three or more (member in a).
+def links_of(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Pairs (smaller id, larger id) that connect all documents that may be similar by these signatures, and each list's documents to its smallest where they may be similar to that."""
+    order = np.lexsort((ids, sizes, keys))
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    count = np.diff(np.append(begin, len(keys)))
+    order, keys = order[np.repeat(count > 1, count)], keys[np.repeat(count > 1, count)]
+    if not len(keys):
+        return np.zeros((0, 2), np.int64)
+    ids, n, reach = ids[order], sizes[order], scheme.reach(sizes[order], places[order])
+    to = sweep(keys, n, reach)
+    linked = np.flatnonzero(to >= 0)
+    count = count[count > 1]
+    number = np.repeat(np.arange(len(count)), count)
+    by_id = np.lexsort((ids, number))
+    leader = by_id[np.cumsum(count) - count][number]
+    near = np.flatnonzero((n <= reach[leader]) & (n[leader] <= reach))
+    x, y = np.concatenate([ids[linked], ids[near]]), np.concatenate([ids[to[linked]], ids[leader[near]]])
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
 
-    Of lists with the same members the one of the smallest key is kept.
-    """
-    arrow = to_arrow_schema(CANDIDATE)
+
+def _met(packed: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
+    """The links of each bucket."""
 
     def meet(rows):
-        ids, sizes, keys, at, base = [], [], [], [], 0
-        for r in rows:
-            ids.append(np.frombuffer(r[1], np.int64))
-            sizes.append(np.frombuffer(r[2], np.int32).astype(np.int64))
-            keys.append(np.frombuffer(r[3], U64))
-            at.append(np.frombuffer(r[4], np.uint32).astype(np.int64) + base)
-            base += len(ids[-1])
-        ids, sizes, keys, at = (np.concatenate(x) for x in (ids, sizes, keys, at))
-        order = np.lexsort((ids[at], keys))
-        keys, at = keys[order], at[order]
-        # a document may sign twice alike (a deletion and a subset)
-        same = np.zeros(len(keys), bool)
-        same[1:] = (keys[1:] == keys[:-1]) & (ids[at[1:]] == ids[at[:-1]])
-        keys, at = keys[~same], at[~same]
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        count = np.diff(np.append(begin, len(keys)))
-        use = np.repeat(count > 1, count)
-        at = at[use]
-        count = count[count > 1]
-        if not len(count):
-            return None
-        first_key = keys[use][np.cumsum(count) - count]
-        begin = np.cumsum(count) - count
-        doc, n = ids[at], sizes[at]
-        leader, leader_n = np.repeat(doc[begin], count), np.repeat(n[begin], count)
-        near = (doc != leader) & (scheme.longest(np.minimum(n, leader_n)) >= np.maximum(n, leader_n))
-        pairs = np.unique(np.stack([leader[near], doc[near]], axis=1), axis=0)
-        long_ = count > 2
-        name = np.add.reduceat(mix(doc.astype(U64)), begin)
-        _, once = np.unique(np.where(long_, name, U64(0)), return_index=True)  # keys ascend, so the first is the smallest
-        kept = np.zeros(len(count), bool)
-        kept[once] = True
-        kept &= long_
-        member = np.repeat(kept, count)
-        m, p = int(member.sum()), len(pairs)
-        columns = [
-            pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(np.repeat(first_key[kept], count[kept]).view(np.int64))]),
-            pa.array(np.concatenate([pairs[:, 0], doc[member]])),
-            pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(n[member])]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+        lists = [r for r in rows if r[1].is_valid]
+        pairs = [np.stack([np.frombuffer(r[5].as_buffer(), np.int64), np.frombuffer(r[6].as_buffer(), np.int64)], axis=1) for r in rows if r[5].is_valid]
+        if lists:
+            columns = [np.concatenate([np.frombuffer(r[1].as_buffer(), U64) for r in lists])] + [np.concatenate([_thick(r[i].as_buffer()) for r in lists]) for i in (2, 3, 4)]
+            pairs.append(links_of(*columns, scheme))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     def run(batches):
         bucket, rows = None, []
         for batch in batches:
-            for r in zip(*(batch.column(i) for i in range(5))):
+            for r in zip(*(batch.column(i) for i in range(7))):
                 if rows and r[0].as_py() != bucket:
-                    if (out := meet(rows)) is not None:
-                        yield out
+                    yield meet(rows)
                     rows = []
                 bucket = r[0].as_py()
-                rows.append((None, *(x.as_buffer() for x in r[1:])))
-        if rows and (out := meet(rows)) is not None:
-            yield out
-
-    n = partitions(packed.sparkSession)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATE)
+                rows.append(r)
+        if rows:
+            yield meet(rows)
 
-
-OPEN = StructType([StructField(c, LongType()) for c in ("key", "doc_id", "size", "component", *(f"m{i}" for i in range(MAP_WORDS)))])
-
-
-def _maps(members: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """A row for each document and list, with a bit map of the segments of its cheaper signatures.
-
-    Where two documents share no cheaper signature than the list's, all segments in either map
-    differ, each by an element at least; so a pair whose joint map has more bits than similar sets may
-    differ by is met in a cheaper list, or isn't similar. Lists of blocks, whole sets and empty
-    segments have no such order, and their maps are empty.
-    """
-    arrow = to_arrow_schema(OPEN)
-
-    def run(batches):
-        for batch in batches:
-            ids, sizes, labels = (np.asarray(batch.column(i)) for i in range(3))
-            wanted, out = batch.column(3).to_pylist(), []
-            for a, b, sets, offsets in _sets(unpack_texts(batch.column(4)), k):
-                roles = Roles.of(np.diff(offsets), scheme)
-                role, segment, sig, _ = segment_signatures(sets, offsets, roles, scheme)
-                key = ((scheme.level(sig) << U64(60)) | (sig >> U64(4))).view(np.int64)
-                place: list[dict[int, list[int]]] = [{} for _ in range(b - a)]
-                ends = np.searchsorted(role, np.arange(len(roles.doc)), side="right")
-                for r, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-                    if roles.band[r] == 0 or scheme.blocks[roles.band[r]]:
-                        continue  # with blocks a pair may differ there as well, and is met there
-                    doc = int(roles.doc[r])
-                    goal = set(wanted[a + doc])
-                    order = np.argsort(key[s:e].view(U64), kind="stable") + s
-                    bits = [0] * MAP_WORDS
-                    for i in order[: int(roles.needed[r])].tolist():
-                        if (own := int(key[i])) in goal:
-                            place[doc][own] = list(bits)
-                        bit = int(segment[i]) % (64 * MAP_WORDS)
-                        bits[bit >> 6] |= 1 << (bit & 63)
-                for i in range(a, b):
-                    for own in wanted[i]:
-                        out.append((own, ids[i], sizes[i], labels[i], *(place[i - a].get(own) or [0] * MAP_WORDS)))
-            columns = list(zip(*out)) or [[] for _ in arrow]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64) if n < 4 else np.array(c, U64).view(np.int64)) for n, c in enumerate(columns)], schema=arrow)
-
-    return members.select("doc_id", "size", "component", "keys", "packed").mapInArrow(run, OPEN)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PAIR)
 
 
 #: Bits for each shingle of a set's bit map, of a power of two in all.
-SIEVE_BITS = 4
+SIEVE_BITS = 8
 
 
 def _set_maps(texts: DataFrame, k: int) -> DataFrame:
@@ -511,7 +382,7 @@ def _set_maps(texts: DataFrame, k: int) -> DataFrame:
             for _, _, sets, offsets in _sets(unpack_texts(column), k):
                 spread = mix(sets)
                 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    bits = np.zeros(1 << max(6, (SIEVE_BITS * (e - s) - 1).bit_length()), np.uint8)
+                    bits = np.zeros(1 << max(6, (SIEVE_BITS * int(e - s) - 1).bit_length()), np.uint8)
                     bits[(spread[s:e] & U64(len(bits) - 1)).astype(np.int64)] = 1
                     out.append(np.int64(e - s).tobytes() + np.packbits(bits).tobytes())
             return [pa.array(out, pa.binary())]
@@ -521,46 +392,112 @@ def _set_maps(texts: DataFrame, k: int) -> DataFrame:
     return map_text(texts, "packed", make, StructType([StructField("payload", BinaryType())]), ["doc_id"])
 
 
-def _may_be_similar(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], scheme: Scheme) -> bool:
-    """Every bit in which two maps differ is an element in which the sets do. The larger map is folded to the smaller."""
-    (n, a), (m, b) = x, y
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum()) <= int(scheme.differ(np.int64(n), np.int64(m)))
+#: Documents that are looked up at once in a group, and those that pass by.
+BLOCK_QUERIES, CHUNK_DOCS = 1024, 8192
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar, compared element by element."""
-    one = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b"))
-    two = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a"))
-    joined = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
-    schema = StructType([StructField("u", LongType()), StructField("v", LongType())])
+def _compared(nodes: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs (a, b) of different components in one group whose sets may be similar by their bit maps.
+
+    ``nodes`` has node, component (the group) and label (the component so far). In each group the documents outside of its largest
+    component are queries, dealt into blocks; the whole group passes by each block, in chunks. Of two queries the one of the
+    earlier block, and in a block the smaller, looks for the other.
+    """
+    by_label = nodes.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = by_label.groupBy("component").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    sized = main.select("component", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK_QUERIES).alias("blocks"), F.ceil(F.col("all") / CHUNK_DOCS).alias("chunks"))
+    mixed = nodes.join(sized, "component").join(maps.withColumnRenamed("doc_id", "node"), "node")
+    asks = F.col("label") != F.col("main")
+    block = F.when(asks, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.col("blocks") - 1)
+    chunk = F.pmod(F.xxhash64("label", "node"), "chunks")
+    common = ["node", "label", "payload"]
+    row = lambda df, role, b, c: df.select(F.xxhash64("component", b, c).alias("key"), F.lit(role).alias("role"), *common)
+    queries = mixed.filter(asks).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    passing = mixed.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), block)))
+    same = asks & (F.col("b") == block)
+    rows = row(queries, 0, block, "c").union(passing.select(F.xxhash64("component", "b", chunk).alias("key"), F.when(same, 2).otherwise(1).alias("role"), *common))
+    dealt = rows.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "role")
 
     def run(batches):
-        last = held = held_packed = None
+        now, queries = None, None
         for batch in batches:
-            a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            ok = np.zeros(len(a), bool)
-            right = _read_sets(batch.column(3), k)
-            for i, left in enumerate(batch.column(2)):
-                packed = left.as_py()
-                if a[i] != last or packed != held_packed:  # an id may have two texts
-                    last, held_packed = a[i], packed
-                    held = next(_sets(unpack_texts(pa.array([packed], pa.binary())), k))[2]
-                ok[i] = _similar(held, right[i], num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["u", "v"])
+            u, v = [], []
+            keys, roles, ids, labels = (batch.column(i).to_pylist() for i in range(4))
+            for key, role, node, label, raw in zip(keys, roles, ids, labels, batch.column(4)):
+                if key != now:
+                    now, queries = key, _Queries(scheme)
+                size, bits = _read_map(raw.as_buffer())
+                if role == 0:
+                    queries.add(node, label, size, bits)
+                    continue
+                for other in queries.near(node, label, size, bits, role == 2):
+                    u.append(min(node, other))
+                    v.append(max(node, other))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
 
-    return joined.mapInArrow(run, schema).distinct()
+    return dealt.mapInArrow(run, PAIR).distinct()
+
+
+def _read_map(raw: pa.Buffer) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(raw, np.int64, 1)[0]), np.frombuffer(raw, U64, -1, 8)
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A map, or rows of maps, as one of this width: bits that fall together are joined."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+class _Queries:
+    """Documents of a block by the width of their maps, sorted by size once they are looked up."""
+
+    def __init__(self, scheme: Scheme):
+        self.scheme, self.rows, self.tables = scheme, [], None
+
+    def add(self, node: int, label: int, size: int, bits: np.ndarray) -> None:
+        self.rows.append((size, node, label, bits.copy()))
+
+    def _build(self) -> None:
+        by_width: dict[int, list] = {}
+        for r in self.rows:
+            by_width.setdefault(len(r[3]), []).append(r)
+        self.tables = []
+        for width, rows in sorted(by_width.items()):
+            rows.sort(key=lambda r: r[:2])
+            self.tables.append((width, *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.stack([r[3] for r in rows]), {}))
+
+    def near(self, node: int, label: int, size: int, bits: np.ndarray, ordered: bool) -> list[int]:
+        """Queries of other labels that may be similar to this set; with ``ordered`` those of smaller ids alone."""
+        if self.tables is None:
+            self._build()
+        low, high = int(self.scheme.shortest(size)), int(self.scheme.longest(size))
+        out: list[int] = []
+        for width, sizes, nodes, labels, maps, narrow in self.tables:
+            a, b = np.searchsorted(sizes, low), np.searchsorted(sizes, high, side="right")
+            if a == b:
+                continue
+            pick = np.flatnonzero((labels[a:b] != label) & ((nodes[a:b] < node) if ordered else True)) + a
+            if not len(pick):
+                continue
+            if len(bits) < width:
+                if len(bits) not in narrow:
+                    narrow[len(bits)] = _folded(maps, len(bits))
+                maps = narrow[len(bits)]
+            apart = np.bitwise_count(maps[pick] ^ _folded(bits, width)).sum(axis=1, dtype=np.int64)
+            out += nodes[pick[apart <= self.scheme.differ(sizes[pick], size)]].tolist()
+        return out
 
 
 #: Documents of one block of a group of pairs.
 BLOCK_DOCS = 64
+#: Rows of texts that are unpacked at once.
+READ_ROWS = 64
 
 
-def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
-    """The pairs (a, b) for which ``holds`` of what ``read`` makes of a batch of payloads.
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets are similar, compared element by element.
 
     Pairs that met crowd in groups: most documents of a list have the list's smallest one as their smallest
     partner. Documents of one smallest partner are dealt into blocks, and a payload
@@ -572,36 +509,33 @@ def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
     blocks = docs.join(sizes, "group").select("doc_id", F.xxhash64("group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))).alias("block"))
     side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}"))
     keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
-    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
-    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "payload").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
+    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(texts.select(F.col("doc_id").alias("a"), "packed"), "a")
+    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "packed").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
     dealt = rows.repartition(partitions(pairs.sparkSession), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
     def run(batches):
         now, held = None, {}
-        for batch in batches:
-            u, v = [], []
-            for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), read(batch.column(3))):
-                if key != now:
-                    now, held = key, {}
-                if b is None:  # an id may have two texts
-                    held.setdefault(a, []).append(own)
-                elif any(holds(x, y) for x in held[a] for y in held[b]):
-                    u.append(a)
-                    v.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for whole in batches:
+            for at in range(0, whole.num_rows, READ_ROWS):
+                batch = whole.slice(at, READ_ROWS)
+                u, v = [], []
+                for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _read_sets(batch.column(3), k)):
+                    if key != now:
+                        now, held = key, {}
+                    if b is None:  # an id may have two texts
+                        held.setdefault(a, []).append(own)
+                    elif any(_similar(x, y, num, den) for x in held.get(a, ()) for y in held.get(b, ())):
+                        u.append(a)
+                        v.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, PAIR).distinct()
 
 
 def _read_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(column), k) for i in range(t - f)]
 
 
-def _read_maps(column: pa.Array) -> list:
-    raws = column.to_pylist()
-    return [None if r is None else (int(np.frombuffer(r, np.int64, 1)[0]), np.frombuffer(r, np.uint8, -1, 8)) for r in raws]
-
-
 def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if not len(x) or not len(y):
         return False
@@ -612,60 +546,48 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    store = Scratch(spark, "ngram-join")
+    store, plain = Scratch(spark, "ngram-join"), Scheme(num, den)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    if (den - num) * 9 // (den + num) > 1:
-        raise ValueError("the smallest band holds sets that differ in one element at most; thresholds below 0.67 need other bands")
-    profile = store.save(_profile(rows, k, Scheme(num, den)), "profile")
-    counted = profile.filter("kind = 1").groupBy(F.col("high").alias("sig"), F.col("low").alias("band")).agg(F.sum("n").alias("n"))
+    if plain.differ(SMALL_MOST, plain.longest(SMALL_MOST)) > 1:
+        raise ValueError("the smallest band holds sets that differ in one element at most; lower thresholds need a smaller one")
+    profile = store.save(_profile(rows, k, plain), "profile")
+    counted = profile.filter("kind = 1").groupBy(F.col("high").alias("sig")).agg(F.sum("n").alias("n"))
     hot = counted.filter(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "sig").limit(HOT_MOST).toArrow()  # a fixed bound
     sig, n = np.asarray(hot["sig"]).view(U64), np.asarray(hot["n"])
     order = np.argsort(sig)
-    levels = np.minimum(14, np.log2(np.maximum(n, 2)).astype(np.int64)).astype(U64)
-    scheme = Scheme(num, den, hot=sig[order], hot_level=levels[order])
-    listed = [{"band": b, "n": c} for b, c in zip(hot["band"].to_pylist(), hot["n"].to_pylist())]
-    scheme = Scheme(num, den, choose_blocks(profile, listed, scheme), scheme.hot, scheme.hot_level)
-    found = store.settle(_met(_packed(rows, k, scheme, 4 * partitions(spark)), scheme), "found")
-
-    meta = profile.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
-    solid = meta.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = solid.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = store.save(solid.join(same.filter("rep < last"), ["high", "low", "n_shingles"]).select("rep", "doc_id").filter("rep <> doc_id").distinct(), "copies")
-
-    # from here on the smallest document of equal sets stands for them
-    as_rep = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("__r")), c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
-    stars = as_rep(as_rep(found.filter("key IS NULL").select("a", "b").distinct(), "a"), "b")
-    stars = store.save(stars.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    lists = as_rep(found.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size"), "doc_id").distinct()
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    involved = stars.select("a").union(stars.select("b")).union(lists.select("doc_id")).distinct().toDF("doc_id")
-    texts = store.settle(pack_texts(rows).join(involved, "doc_id", "left_semi"), "texts")
-    linked = store.settle(_verified(first, texts, k, num, den), "links")
-    labels = store.save(components(spark, linked), "labels")
-    label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-
-    # pairs that met and aren't in one component yet may still be linked: the other stars, and members of a list
-    rest = label(label(stars.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    marked = store.save(label(lists, "doc_id", "component").select("key", "doc_id", "size", "component"), "marked")
-    store.drop("found")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    open_ = marked.join(mixed, "key").groupBy("doc_id", "size", "component").agg(F.collect_list("key").alias("keys"))
-    open_ = store.save(_maps(open_.join(texts, "doc_id"), k, scheme), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.m{i}").bitwiseOR(F.col(f"y.m{i}"))) for i in range(MAP_WORDS)), F.lit(0))
-    near = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num) & (differ * (den + num) <= (den - num) * (F.col("x.size") + F.col("y.size")))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
-    across = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).join(first, ["a", "b"], "left_anti")
-    met = store.settle(rest.union(across).distinct(), "met")
-    plain = Scheme(num, den)
-    more = store.settle(_in_blocks(met, _set_maps(texts, k), _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
-    if more.limit(1).count():
-        late = store.settle(_in_blocks(more, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, num, den)), "late")
-        labels = store.save(components(spark, labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)), "final")
-    store.drop("texts", "stars", "marked", "open", "met", "more")
-    named = as_rep(meta.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("own", F.col("doc_id")), "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select(F.col("own").alias("doc_id"), F.coalesce("component", "doc_id").alias("component_id"))
-    return meta.join(named, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
+    scheme = Scheme(num, den, sig[order], np.minimum(14, np.log2(np.maximum(n, 2)).astype(np.int64)).astype(U64)[order])
+    emitted = profile.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+    parts = max(partitions(spark), -(-emitted // (4 * BUCKET_KEYS)))
+    met = store.settle(_met(_packed(rows, k, scheme, 4 * parts), scheme, parts), "met")
+
+    # equal sets of several tasks: the smallest of their first documents stands for them
+    meta = profile.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "high", "low", "rep")
+    firsts = meta.filter("doc_id = rep AND n_shingles > 0").select("high", "low", "n_shingles", "rep").distinct()
+    equal = firsts.groupBy("high", "low", "n_shingles").agg(F.min("rep").alias("least"), F.max("rep").alias("last")).filter("least < last")
+    stand_in = store.save(firsts.join(equal, ["high", "low", "n_shingles"]).filter("rep <> least").select(F.col("rep").alias("doc_id"), "least").distinct(), "equal")
+    standing = lambda df, c: df.join(stand_in.select(F.col("doc_id").alias(c), "least"), c, "left").withColumn(c, F.coalesce("least", c)).drop("least")
+    links = standing(standing(met, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = store.save(links, "links")
+    store.drop("met")
+    groups = components(spark, links)
+    nodes = groups.union(groups.select("component", "component").distinct())
+    texts = pack_texts(rows).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"])
+    texts = store.settle(texts, "texts")
+    first = links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    similar = store.settle(_verified(first, texts, k, num, den), "similar")
+
+    # what a group's first links left apart
+    labels = components(spark, similar)
+    labelled = store.save(nodes.join(labels.select("node", F.col("component").alias("label")), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "labelled")
+    open_ = labelled.groupBy("component").agg(F.min("label").alias("c1"), F.max("label").alias("c2")).filter("c1 <> c2").select("component")
+    apart = labelled.join(open_, "component", "left_semi").select(F.col("node").alias("doc_id"))
+    more = store.settle(_compared(labelled, _set_maps(texts.join(apart, "doc_id", "left_semi"), k), plain).join(first, ["a", "b"], "left_anti"), "more")
+    late = store.settle(_verified(more, texts, k, num, den), "late")
+
+    copies = meta.filter("doc_id <> rep AND n_shingles > 0").select("doc_id", "rep")
+    final = components(spark, similar.union(late).union(stand_in).union(copies))
+    store.drop("links", "texts", "labelled", "more")
+    return meta.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Vectorised work on the text columns of Arrow batches.
 
 A text column is read as one byte array with offsets. Words are found by a
-256-entry byte table (0: separator, else the byte to hash, A-Z lower-cased), and
+256-entry byte table (``SEPARATOR``, which no UTF-8 text holds, else the byte to hash, A-Z lower-cased), and
 each gets a 64-bit hash by prefix sums of a polynomial, so that the cost of a word
 is a few numpy operations on its bytes. Equal words have equal hashes; where a
 result hangs on equality, callers compare the words again.
@@ -30,11 +30,15 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 SHINGLE_MULT = _random_u64(12, 64) | U64(1)
 
 
+#: What a table has for a byte between words.
+SEPARATOR = 0xFF
+SEPARATOR_BYTE = bytes([SEPARATOR])
+
+
 def _byte_table(separators: Iterator[int]) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
-    table[0] = 1
     table[65:91] += 32
-    table[list(separators)] = 0
+    table[list(separators)] = SEPARATOR
     return table
 
 
@@ -109,7 +113,7 @@ class Words:
         rows = offsets[:-1][offsets[:-1] < offsets[1:]]
         low = table[data]
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = low != 0
+        inside[1:-1] = low != SEPARATOR
         begins = inside[1:-1] & ~inside[:-2]
         begins[rows] = inside[rows + 1]
         ends = inside[1:-1] & ~inside[2:]

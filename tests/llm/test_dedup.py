@@ -66,28 +66,88 @@ def test_join_equals_brute_force(spark):
     assert joined(nj.join(spark, spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
 
 
-def test_join_with_hot_signatures_and_blocks(spark, monkeypatch):
-    """Lowered limits make every signature hot, so that costs order them and bands get blocks."""
-    monkeypatch.setattr(nj, "LOCAL_LEAST", 1)
-    monkeypatch.setattr(nj, "HOT_LEAST", 1)
-    monkeypatch.setattr(nj, "choose_blocks", lambda *a: (0, 0, 0, 2, 2) + (0,) * (len(nj.BANDS) - 6))
+def test_join_with_hot_signatures_and_small_blocks(spark, monkeypatch):
+    """Lowered limits make every signature hot, so that tasks hold documents back, and deal groups out in many blocks and chunks."""
+    for name, value in {"LOCAL_LEAST": 1, "HOT_LEAST": 1, "HELD": 500, "BLOCK_QUERIES": 2, "CHUNK_DOCS": 5, "BLOCK_DOCS": 3, "READ_ROWS": 2}.items():
+        monkeypatch.setattr(nj, name, value)
     rows = corpus()
     assert joined(nj.join(spark, spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)
 
 
+def near_copies(n, seed):
+    """Copies of one text whose edits bring many pairs just below and just above the threshold."""
+    rng = random.Random(seed)
+    base, rows = words(rng, 120), []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(len(copy))] = f"y{rng.randrange(10**6)}"
+        rows.append((i * 7 % 1009, " ".join(copy[rng.randrange(0, 12) :]), "x", None))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_join_of_a_large_group(spark, monkeypatch, parts):
+    """A hot group, most of whose pairs aren't similar, and documents that share two thirds of their words."""
+    monkeypatch.setattr(nj, "BLOCK_QUERIES", 50)
+    rng = random.Random(12)
+    passage = words(rng, 100)
+    rows = near_copies(300, 5) + [(2000 + i, " ".join(passage + words(rng, rng.randrange(20, 55))), "x", None) for i in range(200)]
+    assert joined(nj.join(spark, spark.createDataFrame(rows, SCHEMA).repartition(parts))) == brute(rows)
+
+
+def similar_sets(rng):
+    n = int(rng.integers(3, 200))
+    a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)]))
+    inter = len(np.intersect1d(a, b))
+    return a, b, len(b) > 0 and 100 * inter >= 75 * (len(a) + len(b) - inter)
+
+
 def test_signatures_meet_for_every_similar_pair():
+    """Similar sets share a signature, and each is within the other's reach in the first that they share."""
     rng = np.random.default_rng(1)
-    for blocks in (0, 1):
-        scheme = nj.Scheme(blocks=(0, 0, 0) + (blocks,) * (len(nj.BANDS) - 4))
+    for hot in (0, 40):
         for _ in range(300):
-            n = int(rng.integers(3, 200))
-            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 6)), dtype=np.uint64)]))
-            inter = len(np.intersect1d(a, b))
-            if not len(b) or 100 * inter < 75 * (len(a) + len(b) - inter) or inter == len(a) == len(b):
+            a, b, similar = similar_sets(rng)
+            if not similar:
                 continue
-            doc, key = nj.allocate(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scheme)
-            assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), (len(a), len(b), inter)
+            known = np.unique(nj.signatures(a)[:hot])
+            scheme = nj.Scheme(hot=known, hot_level=np.full(len(known), 5, np.uint64))
+            doc, key, place = nj.allocate(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scheme)
+            one, two = ({k: p for k, p in zip(key[doc == d].tolist(), place[doc == d].tolist())} for d in (0, 1))
+            first = min(set(one) & set(two))
+            assert scheme.reach(np.int64(len(a)), one[first]) >= len(b) and scheme.reach(np.int64(len(b)), two[first]) >= len(a)
+
+
+@pytest.mark.parametrize("cover", [False, True])
+def test_sweep_connects_what_may_be_similar(cover):
+    """Links are pairs within each other's reach and connect all such pairs; without the held back entries as well."""
+    rng, scheme = np.random.default_rng(3), nj.Scheme()
+    for _ in range(400):
+        m = int(rng.integers(1, 40))
+        group, n = rng.integers(0, 3, m), rng.integers(20, 80, m)
+        place = (n * rng.random(m) * 0.4).astype(np.int64)
+        order = np.lexsort((n, group))
+        group, n, reach = group[order], n[order], scheme.reach(n, place)[order]
+        to = nj.sweep(group, n, reach, cover)
+        ok = lambda x, y: group[x] == group[y] and n[x] <= reach[y] and n[y] <= reach[x]  # noqa: B023,E731
+        links = [(i, int(j)) for i, j in enumerate(to) if j >= 0]
+        assert all(ok(i, j) and i != j for i, j in links)
+        if cover:
+            left = np.flatnonzero(to < 0)
+            links += [(int(left[i]), int(left[j])) for i, j in enumerate(nj.sweep(group[left], n[left], reach[left])) if j >= 0]
+        node, root = graph.forest(*(np.array([x[i] for x in links], np.int64) for i in (0, 1)))
+        label = np.arange(m)
+        label[node] = root
+        for x in range(m):
+            for y in range(x):
+                assert not ok(x, y) or label[x] == label[y]
+
+
+def test_nul_is_a_character(spark):
+    rows = [(1, "a\x00b c d e f", "x", None), (2, "a\x01b c d e f", "x", None), (3, "a\x00b c d e f", "x", None)]
+    assert joined(nj.join(spark, spark.createDataFrame(rows, SCHEMA))) == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
 
 
 def test_join_odd_tables(spark):
@@ -96,6 +156,11 @@ def test_join_odd_tables(spark):
     rows = [(1, "a b c d e f g", "x", None), (1, "a b c d e f g", "x", None), (None, "a b c d e f g", "x", None), (2, None, None, None), (5, "a b c d e f g", "x", "y")]
     got = sorted(map(tuple, nj.join(spark, spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(1, 3, 1), (1, 3, 1), (None, 3, None), (2, 0, 2), (5, 3, 1)], key=str)
+    # an id with two texts is one document, and links the copies of either; a long text is read whole
+    long = " ".join(f"z{i}" for i in range(60_000))
+    two = [(9, "a b c d e f g", "x", None), (9, "p q r s t u v", "x", None), (3, "a b c d e f g", "x", None), (5, "p q r s t u v", "x", None), (11, long, "x", None), (12, long + " end", "x", None)]
+    for parts in (1, 4):
+        assert joined(nj.join(spark, spark.createDataFrame(two, SCHEMA).repartition(parts))) == {(9, 3, 3), (3, 3, 3), (5, 3, 3), (11, 59_996, 11), (12, 59_997, 11)}
     kept = nj.keep_one(spark, spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "n_shingles", "component_id"]
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2]

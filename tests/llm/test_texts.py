@@ -22,7 +22,7 @@ def alnum_words(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\t\n.,1ü日\x0b", max_size=40)), max_size=8))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\t\n.,1ü日\x0b\x00\x01\x7f", max_size=40)), max_size=8))
 def test_words_are_the_patterns(texts):
     data, offsets = tk.text_bytes(pa.array(texts, pa.string()))
     for table, pattern in ((tk.ALNUM_WORDS, ALNUM), (tk.SPACE_WORDS, re.compile(r"[^\x20\x09-\x0D]+"))):
