@@ -17,15 +17,13 @@ signature says more: the cheaper ones before it are in none of the documents tha
 in place p of a set of size n only counts for partners of up to ``reach`` = (1 + t) / t * (n - p) - n elements, and two documents of
 a list can be similar by it if each is within the other's reach.
 
-Pairs are never listed. Within a list the documents' [size, reach] are intervals, and one sweep by size links
-each document to one that it may be similar to, so that these links connect all that may be similar (``sweep``). The same sweep,
-in each map task, holds documents back whose partners another one of the task has as well; so a task sends on a few documents of
-a list that is very long. The links' connected components are groups: every similar pair lies in one.
-
-Each document's first link is verified exactly on the texts, which joins most of a group. In groups that still have several
-components, documents outside of the largest one are compared with the rest of the group, by bit maps of their sets, in blocks; the bits in which two maps
-differ are a lower bound of the elements in which their sets do. The pairs that pass are verified on the texts. So no link between different texts
-is lost, but for those that join what is joined already.
+In each list a document is linked to one of the smallest ids that it may be similar to, and its smallest link of all is verified
+exactly on the texts; that joins most of a group. Then the lists are read again with the components that the documents are in by now, and in a
+list the documents outside of its largest component are held against the others: a pair of two components within each other's reach that
+wasn't verified yet is verified now, on the texts, unless bit maps of the two sets rule it out; the bits in which two maps
+differ are a lower bound of the elements in which their sets do. So no link between different texts is lost, but for those that join what is joined already,
+and pairs inside a component are never listed. A list of more than ``LIST_MOST`` documents is dealt into blocks, and each
+two blocks are a list.
 
 Exact copies are one set: a task signs a set once, for the first document that it meets, and its other copies are linked to that one;
 tasks' first documents of a set are linked by the hash (128 bits) of the whole set.
@@ -60,6 +58,10 @@ SMALL_MOST = 5
 #: Signatures that a task counts or packs at once, and those that a bucket holds on average at most.
 HELD = 1 << 21
 BUCKET_KEYS = 1 << 21
+#: Documents of a list, as counted in the first pass, that are held against one another in one task.
+LIST_MOST = 1 << 18
+#: Smallest ids of a list to which its documents are linked.
+LEADERS = 8
 #: Heavy hitters: counted from this many in a task's share on; listed from HOT_LEAST in all; HOT_MOST are kept for ordering.
 LOCAL_LEAST, HOT_LEAST, HOT_MOST = 3, 16, 1 << 18
 _COLD = 0
@@ -69,12 +71,12 @@ _SPAN = 1 << 32
 
 @dataclass(frozen=True)
 class Scheme:
-    """The threshold, and the costs of hot signatures."""
+    """The threshold, and the hot signatures with their counts."""
 
     num: int = NUM
     den: int = DEN
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    hot_level: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def differ(self, r: np.ndarray, s: np.ndarray) -> np.ndarray:
         """The most elements in which similar sets of these sizes differ: U - I with den * I >= num * U."""
@@ -96,12 +98,17 @@ class Scheme:
         """The largest set that one of size n can be similar to if it shares nothing before this place."""
         return np.clip((self.num + self.den) * (n - place) // self.num - n, 0, _SPAN - 1)
 
-    def level(self, sig: np.ndarray) -> np.ndarray:
-        """0 for cold signatures, else 1 to 14 by their count."""
+    def counts(self, sig: np.ndarray) -> np.ndarray:
+        """0 for cold signatures, else the number of documents."""
         if not len(self.hot):
-            return np.zeros(len(sig), U64)
+            return np.zeros(len(sig), np.int64)
         at = np.minimum(np.searchsorted(self.hot, sig), len(self.hot) - 1)
-        return np.where(self.hot[at] == sig, self.hot_level[at], U64(_COLD))
+        return np.where(self.hot[at] == sig, self.hot_count[at], 0)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The cost of signatures in four bits: 0 for cold ones, else 1 to 14."""
+    return np.minimum(14, np.log2(np.maximum(counts, 1)).astype(np.int64) + (counts == 1)).astype(U64)
 
 
 def _expand(offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +134,30 @@ def allocate(sets: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.
         return doc, key, np.zeros(len(doc), np.int64)
     values, offs = _take(sets, offsets, large)
     sig = signatures(values)
-    keys = (scheme.level(sig) << U64(60)) | (sig >> U64(4))
+    counts = scheme.counts(sig)
+    keys = (levels(counts) << U64(60)) | (sig >> U64(4))
+    many = dict(zip(keys[counts > LIST_MOST].tolist(), counts[counts > LIST_MOST].tolist()))
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
         keys[a:b].sort()
     owner = np.repeat(np.arange(len(large)), np.diff(offs))
     place = np.arange(len(keys)) - offs[owner]
     chosen = place < scheme.needed(sizes[large])[owner]
-    return np.concatenate([doc, large[owner[chosen]]]), np.concatenate([key, keys[chosen]]), np.concatenate([np.zeros(len(doc), np.int64), place[chosen]])
+    doc, key, place = np.concatenate([doc, large[owner[chosen]]]), np.concatenate([key, keys[chosen]]), np.concatenate([np.zeros(len(doc), np.int64), place[chosen]])
+    return _split(doc, key, place, row_sums(mix(sets), offsets), many) if many else (doc, key, place)
+
+
+def _split(doc: np.ndarray, key: np.ndarray, place: np.ndarray, spread: np.ndarray, many: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of very long lists in place of which there is one for each two blocks of the list's documents, of which one is the document's own."""
+    blocks = np.array([-(-many.get(k, 0) // LIST_MOST) for k in key.tolist()], np.int64)
+    long = np.flatnonzero(blocks > 1)
+    index = np.repeat(long, blocks[long])
+    n = blocks[index].astype(U64)
+    other = (np.arange(len(index)) - np.repeat(np.cumsum(blocks[long]) - blocks[long], blocks[long])).astype(U64)
+    own = spread[doc[index]] % n
+    low = U64((1 << 20) - 1)  # the rest of a key stays, and with it the order of signatures
+    pair = (key[index] & ~low) | (mix(key[index] ^ mix(np.minimum(own, other) * n + np.maximum(own, other))) & low)
+    rest = blocks <= 1
+    return np.concatenate([doc[rest], doc[index]]), np.concatenate([key[rest], pair]), np.concatenate([place[rest], place[index]])
 
 
 def _whole_sets(sets: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,28 +173,20 @@ def _whole_sets(sets: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tupl
     return docs[who], mix(np.concatenate([sums, sums[owner[deep]] - hashed[deep]])) >> U64(4)
 
 
-def sweep(group: np.ndarray, n: np.ndarray, reach: np.ndarray, cover: bool = False) -> np.ndarray:
-    """For entries sorted by (list, size): one that each may be similar to and that comes before it, or -1.
+def have_partners(number: np.ndarray, n: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which entries of lists, sorted by (list, size), may be similar to another of their list; some others as well.
 
-    An entry that reaches its own size is the interval [n, reach]; two of these may be similar if they meet. One that
-    doesn't may be similar to intervals that hold [reach, n] and to nothing else; all of those meet one another. So a link
-    to the interval that reaches farthest, of those that begin early enough, connects all there are. With ``cover`` only a link to an
-    entry that has all the partners of this one counts: an interval that holds it, or any at all if it is no interval.
+    Of the entries that begin early enough the one that reaches farthest decides; a later entry may be similar to this one only if the
+    next one isn't too large.
     """
-    m = len(n)
-    if not m:
-        return np.zeros(0, np.int64)
-    own = np.arange(m)
-    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    number = np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))
+    m, own = len(n), np.arange(len(n))
     high = number * _SPAN + reach
     top = np.maximum.accumulate(high)
-    holder = np.maximum.accumulate(np.where(high == top, own, 0))
-    interval = reach >= n
-    last = np.where(interval, own - 1, np.searchsorted(number * _SPAN + n, high, side="right") - 1)
-    to = holder[np.maximum(last, 0)]
-    found = (last >= begin[number]) & (reach[to] >= (np.where(interval, reach, n) if cover else n))
-    return np.where(found, to, -1)
+    last = np.where(reach >= n, own - 1, np.searchsorted(number * _SPAN + n, high, side="right") - 1)
+    before = (last >= 0) & (top[np.maximum(last, 0)] >= number * _SPAN + n)
+    after = np.zeros(m, bool)
+    after[:-1] = (number[1:] == number[:-1]) & (n[1:] <= reach[:-1])
+    return before | after
 
 
 # ---- passes over the documents -----------------------------------------------------
@@ -249,7 +265,7 @@ def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
-PACKED = StructType([StructField("bucket", IntegerType())] + [StructField(c, BinaryType()) for c in ("keys", "ids", "sizes", "places", "a", "b")])
+PACKED = StructType([StructField("bucket", IntegerType())] + [StructField(c, BinaryType()) for c in ("keys", "ids", "sizes", "places")])
 
 
 def _thin(values: np.ndarray) -> bytes:
@@ -266,7 +282,7 @@ def _thick(raw: pa.Buffer) -> np.ndarray:
 
 
 def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """Signatures of each task by bucket (keys, documents, their set sizes, places), and links (a, b) found in the task."""
+    """Signatures of each task by bucket: keys, documents, their set sizes, places."""
     arrow = to_arrow_schema(PACKED)
 
     def run(batches):
@@ -276,26 +292,13 @@ def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
 
         def flush():
             keys, ids, sizes, places = (np.concatenate(x) for x in held)
-            hot = np.flatnonzero(keys >> U64(60))
-            hot = hot[np.lexsort((sizes[hot], keys[hot]))]
-            to = sweep(keys[hot], sizes[hot], scheme.reach(sizes[hot], places[hot]), cover=True)
-            a, b = ids[hot[to >= 0]], ids[hot[to[to >= 0]]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-            send = np.ones(len(keys), bool)
-            send[hot[to >= 0]] = False
-            keys, ids, sizes, places = keys[send], ids[send], sizes[send], places[send]
             bucket = ((keys & U64(0xFFFFFFFF)) * U64(buckets) >> U64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             names, begin = np.unique(bucket[order], return_index=True)
             ends = np.append(begin[1:], len(order)).tolist()
             cuts = [order[s:e] for s, e in zip(begin.tolist(), ends)]
-            n = len(cuts)
             cut = [pa.array([keys[c].tobytes() for c in cuts], pa.binary())] + [pa.array([_thin(x[c]) for c in cuts], pa.binary()) for x in (ids, sizes, places)]
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(names), *cut, none, none], schema=arrow)
-            if len(pairs):
-                none = pa.nulls(1, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([int(pairs[0, 0] % buckets)], pa.int32()), none, none, none, none, *(pa.array([pairs[:, i].tobytes()], pa.binary()) for i in (0, 1))], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(names), *cut], schema=arrow)
 
         for batch in batches:
             valid = np.asarray(batch.column(0).is_valid())
@@ -310,67 +313,134 @@ def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
                     to.append(x)
                 size += len(key)
                 if size >= HELD:
-                    yield from flush()
+                    yield flush()
                     held, size = [[], [], [], []], 0
         if size:
-            yield from flush()
+            yield flush()
 
     return docs.mapInArrow(run, PACKED)
 
 
 PAIR = "a long, b long"
+MET = StructType([StructField(c, LongType()) for c in ("key", "a", "b", "size", "reach")])
+
 
+def links_of(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs (smaller id, larger id) that may be similar, one for each document of a list with one of its smallest ids; and the lists of three or more documents: key, id, size, reach.
 
-def links_of(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Pairs (smaller id, larger id) that connect all documents that may be similar by these signatures, and each list's documents to its smallest where they may be similar to that."""
+    Of lists with the same documents that of the smallest key is returned, where all reach farthest.
+    """
     order = np.lexsort((ids, sizes, keys))
-    keys = keys[order]
+    keys, ids, n, places = keys[order], ids[order], sizes[order], places[order]
+    reach = scheme.reach(n, places)
+    for _ in range(2):  # entries without partners go, then lists of one entry
+        number = np.cumsum(np.concatenate((np.zeros(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        count = np.bincount(number)[number] if len(keys) else number
+        keep = (count > 1) & have_partners(number, n, reach)
+        keys, ids, n, reach = keys[keep], ids[keep], n[keep], reach[keep]
+    if not len(keys):
+        return np.zeros((0, 2), np.int64), [x[:0] for x in (keys, ids, n, reach)]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     count = np.diff(np.append(begin, len(keys)))
-    order, keys = order[np.repeat(count > 1, count)], keys[np.repeat(count > 1, count)]
-    if not len(keys):
-        return np.zeros((0, 2), np.int64)
-    ids, n, reach = ids[order], sizes[order], scheme.reach(sizes[order], places[order])
-    to = sweep(keys, n, reach)
-    linked = np.flatnonzero(to >= 0)
-    count = count[count > 1]
     number = np.repeat(np.arange(len(count)), count)
     by_id = np.lexsort((ids, number))
-    leader = by_id[np.cumsum(count) - count][number]
-    near = np.flatnonzero((n <= reach[leader]) & (n[leader] <= reach))
-    x, y = np.concatenate([ids[linked], ids[near]]), np.concatenate([ids[to[linked]], ids[leader[near]]])
-    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+    to = np.full(len(keys), -1)
+    for i in range(LEADERS):
+        leader = by_id[(begin + np.minimum(i, count - 1))][number]
+        near = (to < 0) & (n <= reach[leader]) & (n[leader] <= reach) & (ids != ids[leader])
+        to[near] = leader[near]
+    linked = np.flatnonzero(to >= 0)
+    x, y = ids[linked], ids[to[linked]]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    name = np.add.reduceat(mix(ids.astype(U64)), begin)
+    _, once = np.unique(np.where(count > 2, name, U64(0)), return_index=True)  # keys ascend, so the first is the smallest
+    kept = np.zeros(len(count), bool)
+    kept[once] = True
+    member = (kept & (count > 2))[number]
+    return pairs, [x[member] for x in (keys, ids, n, reach)]
 
 
 def _met(packed: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
-    """The links of each bucket."""
+    """The links of each bucket (key null), and its lists (b null)."""
+    arrow = to_arrow_schema(MET)
 
     def meet(rows):
-        lists = [r for r in rows if r[1].is_valid]
-        pairs = [np.stack([np.frombuffer(r[5].as_buffer(), np.int64), np.frombuffer(r[6].as_buffer(), np.int64)], axis=1) for r in rows if r[5].is_valid]
-        if lists:
-            columns = [np.concatenate([np.frombuffer(r[1].as_buffer(), U64) for r in lists])] + [np.concatenate([_thick(r[i].as_buffer()) for r in lists]) for i in (2, 3, 4)]
-            pairs.append(links_of(*columns, scheme))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        columns = [np.concatenate([np.frombuffer(r[0], U64) for r in rows])] + [np.concatenate([_thick(r[i]) for r in rows]) for i in (1, 2, 3)]
+        pairs, (keys, ids, n, reach) = links_of(*columns, scheme)
+        p, m = len(pairs), len(keys)
+        none = lambda k: pa.nulls(k, pa.int64())
+        body = [(none(p), keys.view(np.int64)), (pairs[:, 0], ids), (pairs[:, 1], none(m)), (none(p), n), (none(p), reach)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in c]) for c in body], schema=arrow)
 
     def run(batches):
         bucket, rows = None, []
         for batch in batches:
-            for r in zip(*(batch.column(i) for i in range(7))):
+            for r in zip(*(batch.column(i) for i in range(5))):
                 if rows and r[0].as_py() != bucket:
                     yield meet(rows)
                     rows = []
                 bucket = r[0].as_py()
-                rows.append(r)
+                rows.append([x.as_buffer() for x in r[1:]])
         if rows:
             yield meet(rows)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PAIR)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+
+
+def pairs_across(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Pairs (smaller id, larger id) of one list that are of different components and within each other's reach."""
+    names, of, count = np.unique(labels, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(n, kind="stable")
+    ids, n, reach, of = ids[order], n[order], reach[order], of[order]
+    asks = np.flatnonzero(of != count.argmax())
+    out, step = [], max(1, (1 << 21) // len(ids))
+    for at in range(0, len(asks), step):
+        y = asks[at : at + step, None]
+        end = int(np.searchsorted(n, reach[y].max(), side="right"))
+        near = (n[None, :end] <= reach[y]) & (reach[None, :end] >= n[y]) & (of[None, :end] != of[y]) & (ids[None, :end] != ids[y])
+        i, j = np.nonzero(near)
+        out.append(np.stack([ids[y[i, 0]], ids[j]], axis=1))
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+
+
+def _across(marked: DataFrame, parts: int) -> DataFrame:
+    """``pairs_across`` of every list of ``marked`` (key, id, size, reach, label)."""
+
+    def run(batches):
+        key, held, found, size = None, [], [], 0
+
+        def flush():
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+
+        def close():
+            found.append(pairs_across(*(np.concatenate(x) for x in zip(*held))))
+            return len(found[-1])
+
+        for batch in batches:
+            keys, *columns = (np.asarray(batch.column(i)) for i in range(5))
+            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist() if len(keys) else []
+            for s, e in zip(cuts, [*cuts[1:], len(keys)]):
+                if held and keys[s] != key:
+                    size += close()
+                    held = []
+                    if size >= HELD:
+                        yield flush()
+                        found, size = [], 0
+                key = keys[s]
+                held.append([c[s:e] for c in columns])
+        if held:
+            close()
+        if found:
+            yield flush()
+
+    return marked.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, PAIR).distinct()
 
 
 #: Bits for each shingle of a set's bit map, of a power of two in all.
-SIEVE_BITS = 8
+SIEVE_BITS = 4
 
 
 def _set_maps(texts: DataFrame, k: int) -> DataFrame:
@@ -392,102 +462,14 @@ def _set_maps(texts: DataFrame, k: int) -> DataFrame:
     return map_text(texts, "packed", make, StructType([StructField("payload", BinaryType())]), ["doc_id"])
 
 
-#: Documents that are looked up at once in a group, and those that pass by.
-BLOCK_QUERIES, CHUNK_DOCS = 1024, 8192
-
-
-def _compared(nodes: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs (a, b) of different components in one group whose sets may be similar by their bit maps.
-
-    ``nodes`` has node, component (the group) and label (the component so far). In each group the documents outside of its largest
-    component are queries, dealt into blocks; the whole group passes by each block, in chunks. Of two queries the one of the
-    earlier block, and in a block the smaller, looks for the other.
-    """
-    by_label = nodes.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = by_label.groupBy("component").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    sized = main.select("component", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK_QUERIES).alias("blocks"), F.ceil(F.col("all") / CHUNK_DOCS).alias("chunks"))
-    mixed = nodes.join(sized, "component").join(maps.withColumnRenamed("doc_id", "node"), "node")
-    asks = F.col("label") != F.col("main")
-    block = F.when(asks, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.col("blocks") - 1)
-    chunk = F.pmod(F.xxhash64("label", "node"), "chunks")
-    common = ["node", "label", "payload"]
-    row = lambda df, role, b, c: df.select(F.xxhash64("component", b, c).alias("key"), F.lit(role).alias("role"), *common)
-    queries = mixed.filter(asks).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    passing = mixed.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), block)))
-    same = asks & (F.col("b") == block)
-    rows = row(queries, 0, block, "c").union(passing.select(F.xxhash64("component", "b", chunk).alias("key"), F.when(same, 2).otherwise(1).alias("role"), *common))
-    dealt = rows.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "role")
-
-    def run(batches):
-        now, queries = None, None
-        for batch in batches:
-            u, v = [], []
-            keys, roles, ids, labels = (batch.column(i).to_pylist() for i in range(4))
-            for key, role, node, label, raw in zip(keys, roles, ids, labels, batch.column(4)):
-                if key != now:
-                    now, queries = key, _Queries(scheme)
-                size, bits = _read_map(raw.as_buffer())
-                if role == 0:
-                    queries.add(node, label, size, bits)
-                    continue
-                for other in queries.near(node, label, size, bits, role == 2):
-                    u.append(min(node, other))
-                    v.append(max(node, other))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, PAIR).distinct()
-
-
-def _read_map(raw: pa.Buffer) -> tuple[int, np.ndarray]:
-    return int(np.frombuffer(raw, np.int64, 1)[0]), np.frombuffer(raw, U64, -1, 8)
-
-
-def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A map, or rows of maps, as one of this width: bits that fall together are joined."""
-    while bits.shape[-1] > width:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
-    return bits
-
-
-class _Queries:
-    """Documents of a block by the width of their maps, sorted by size once they are looked up."""
-
-    def __init__(self, scheme: Scheme):
-        self.scheme, self.rows, self.tables = scheme, [], None
-
-    def add(self, node: int, label: int, size: int, bits: np.ndarray) -> None:
-        self.rows.append((size, node, label, bits.copy()))
-
-    def _build(self) -> None:
-        by_width: dict[int, list] = {}
-        for r in self.rows:
-            by_width.setdefault(len(r[3]), []).append(r)
-        self.tables = []
-        for width, rows in sorted(by_width.items()):
-            rows.sort(key=lambda r: r[:2])
-            self.tables.append((width, *(np.array([r[i] for r in rows], np.int64) for i in range(3)), np.stack([r[3] for r in rows]), {}))
-
-    def near(self, node: int, label: int, size: int, bits: np.ndarray, ordered: bool) -> list[int]:
-        """Queries of other labels that may be similar to this set; with ``ordered`` those of smaller ids alone."""
-        if self.tables is None:
-            self._build()
-        low, high = int(self.scheme.shortest(size)), int(self.scheme.longest(size))
-        out: list[int] = []
-        for width, sizes, nodes, labels, maps, narrow in self.tables:
-            a, b = np.searchsorted(sizes, low), np.searchsorted(sizes, high, side="right")
-            if a == b:
-                continue
-            pick = np.flatnonzero((labels[a:b] != label) & ((nodes[a:b] < node) if ordered else True)) + a
-            if not len(pick):
-                continue
-            if len(bits) < width:
-                if len(bits) not in narrow:
-                    narrow[len(bits)] = _folded(maps, len(bits))
-                maps = narrow[len(bits)]
-            apart = np.bitwise_count(maps[pick] ^ _folded(bits, width)).sum(axis=1, dtype=np.int64)
-            out += nodes[pick[apart <= self.scheme.differ(sizes[pick], size)]].tolist()
-        return out
+def _may_be_similar(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], scheme: Scheme) -> bool:
+    """Every bit in which two maps differ is an element in which the sets do. The larger map is folded to the smaller."""
+    (n, a), (m, b) = x, y
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= int(scheme.differ(np.int64(n), np.int64(m)))
 
 
 #: Documents of one block of a group of pairs.
@@ -496,8 +478,8 @@ BLOCK_DOCS = 64
 READ_ROWS = 64
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar, compared element by element.
+def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
+    """The pairs (a, b) for which ``holds`` of what ``read`` makes of their payloads.
 
     Pairs that met crowd in groups: most documents of a list have the list's smallest one as their smallest
     partner. Documents of one smallest partner are dealt into blocks, and a payload
@@ -509,8 +491,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     blocks = docs.join(sizes, "group").select("doc_id", F.xxhash64("group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))).alias("block"))
     side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}"))
     keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
-    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(texts.select(F.col("doc_id").alias("a"), "packed"), "a")
-    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "packed").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
+    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
+    rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "payload").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
     dealt = rows.repartition(partitions(pairs.sparkSession), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -519,12 +501,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             for at in range(0, whole.num_rows, READ_ROWS):
                 batch = whole.slice(at, READ_ROWS)
                 u, v = [], []
-                for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _read_sets(batch.column(3), k)):
+                for key, a, b, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), read(batch.column(3))):
                     if key != now:
                         now, held = key, {}
                     if b is None:  # an id may have two texts
                         held.setdefault(a, []).append(own)
-                    elif any(_similar(x, y, num, den) for x in held.get(a, ()) for y in held.get(b, ())):
+                    elif any(holds(x, y) for x in held.get(a, ()) for y in held.get(b, ())):
                         u.append(a)
                         v.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
@@ -532,6 +514,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return dealt.mapInArrow(run, PAIR).distinct()
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """The pairs whose texts' sets are similar, compared element by element."""
+    return _in_blocks(pairs, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, scheme.num, scheme.den))
+
+
+def _read_maps(column: pa.Array) -> list:
+    return [None if r is None else (int(np.frombuffer(r, np.int64, 1)[0]), np.frombuffer(r, np.uint8, -1, 8)) for r in column.to_pylist()]
+
+
 def _read_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [s[o[i] : o[i + 1]] for f, t, s, o in _sets(unpack_texts(column), k) for i in range(t - f)]
 
@@ -555,7 +546,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     hot = counted.filter(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "sig").limit(HOT_MOST).toArrow()  # a fixed bound
     sig, n = np.asarray(hot["sig"]).view(U64), np.asarray(hot["n"])
     order = np.argsort(sig)
-    scheme = Scheme(num, den, sig[order], np.minimum(14, np.log2(np.maximum(n, 2)).astype(np.int64)).astype(U64)[order])
+    scheme = Scheme(num, den, sig[order], n[order])
     emitted = profile.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), -(-emitted // (4 * BUCKET_KEYS)))
     met = store.settle(_met(_packed(rows, k, scheme, 4 * parts), scheme, parts), "met")
@@ -566,27 +557,29 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     equal = firsts.groupBy("high", "low", "n_shingles").agg(F.min("rep").alias("least"), F.max("rep").alias("last")).filter("least < last")
     stand_in = store.save(firsts.join(equal, ["high", "low", "n_shingles"]).filter("rep <> least").select(F.col("rep").alias("doc_id"), "least").distinct(), "equal")
     standing = lambda df, c: df.join(stand_in.select(F.col("doc_id").alias(c), "least"), c, "left").withColumn(c, F.coalesce("least", c)).drop("least")
-    links = standing(standing(met, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = standing(standing(met.filter("key IS NULL").select("a", "b"), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = store.save(links, "links")
+    lists = store.save(standing(met.filter("key IS NOT NULL").select("key", F.col("a").alias("doc_id"), "size", "reach"), "doc_id").distinct(), "lists")
     store.drop("met")
-    groups = components(spark, links)
-    nodes = groups.union(groups.select("component", "component").distinct())
-    texts = pack_texts(rows).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"])
-    texts = store.settle(texts, "texts")
+    involved = links.select("a").union(links.select("b")).union(lists.select("doc_id")).distinct().toDF("doc_id")
+    texts = store.settle(pack_texts(rows).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"]), "texts")
     first = links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    similar = store.settle(_verified(first, texts, k, num, den), "similar")
+    similar = store.settle(_verified(first, texts, k, plain), "similar")
 
-    # what a group's first links left apart
+    # what these left apart: pairs of different components, by the components so far
     labels = components(spark, similar)
-    labelled = store.save(nodes.join(labels.select("node", F.col("component").alias("label")), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "labelled")
-    open_ = labelled.groupBy("component").agg(F.min("label").alias("c1"), F.max("label").alias("c2")).filter("c1 <> c2").select("component")
-    apart = labelled.join(open_, "component", "left_semi").select(F.col("node").alias("doc_id"))
-    more = store.settle(_compared(labelled, _set_maps(texts.join(apart, "doc_id", "left_semi"), k), plain).join(first, ["a", "b"], "left_anti"), "more")
-    late = store.settle(_verified(more, texts, k, num, den), "late")
+    label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    rest = label(label(links, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    across = _across(label(lists, "doc_id", "label").select("key", "doc_id", "size", "reach", "label"), parts)
+    apart = store.settle(rest.union(across).distinct().join(first, ["a", "b"], "left_anti"), "apart")
+    asked = apart.select("a").union(apart.select("b")).distinct().toDF("doc_id")
+    maps = _set_maps(texts.join(asked, "doc_id", "left_semi"), k)
+    more = store.settle(_in_blocks(apart, maps, _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
+    late = store.settle(_verified(more, texts, k, plain), "late")
 
     copies = meta.filter("doc_id <> rep AND n_shingles > 0").select("doc_id", "rep")
     final = components(spark, similar.union(late).union(stand_in).union(copies))
-    store.drop("links", "texts", "labelled", "more")
+    store.drop("links", "lists", "texts", "apart", "more")
     return meta.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

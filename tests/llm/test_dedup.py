@@ -67,8 +67,8 @@ def test_join_equals_brute_force(spark):
 
 
 def test_join_with_hot_signatures_and_small_blocks(spark, monkeypatch):
-    """Lowered limits make every signature hot, so that tasks hold documents back, and deal groups out in many blocks and chunks."""
-    for name, value in {"LOCAL_LEAST": 1, "HOT_LEAST": 1, "HELD": 500, "BLOCK_QUERIES": 2, "CHUNK_DOCS": 5, "BLOCK_DOCS": 3, "READ_ROWS": 2}.items():
+    """Lowered limits make every signature hot, and deal lists and pairs out in many blocks."""
+    for name, value in {"LOCAL_LEAST": 1, "HOT_LEAST": 1, "HELD": 500, "LIST_MOST": 7, "LEADERS": 1, "BLOCK_DOCS": 3, "READ_ROWS": 2}.items():
         monkeypatch.setattr(nj, name, value)
     rows = corpus()
     assert joined(nj.join(spark, spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)
@@ -89,7 +89,7 @@ def near_copies(n, seed):
 @pytest.mark.parametrize("parts", [1, 6])
 def test_join_of_a_large_group(spark, monkeypatch, parts):
     """A hot group, most of whose pairs aren't similar, and documents that share two thirds of their words."""
-    monkeypatch.setattr(nj, "BLOCK_QUERIES", 50)
+    monkeypatch.setattr(nj, "LIST_MOST", 100)
     rng = random.Random(12)
     passage = words(rng, 100)
     rows = near_copies(300, 5) + [(2000 + i, " ".join(passage + words(rng, rng.randrange(20, 55))), "x", None) for i in range(200)]
@@ -113,36 +113,29 @@ def test_signatures_meet_for_every_similar_pair():
             if not similar:
                 continue
             known = np.unique(nj.signatures(a)[:hot])
-            scheme = nj.Scheme(hot=known, hot_level=np.full(len(known), 5, np.uint64))
+            scheme = nj.Scheme(hot=known, hot_count=np.full(len(known), 50))
             doc, key, place = nj.allocate(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), scheme)
             one, two = ({k: p for k, p in zip(key[doc == d].tolist(), place[doc == d].tolist())} for d in (0, 1))
             first = min(set(one) & set(two))
             assert scheme.reach(np.int64(len(a)), one[first]) >= len(b) and scheme.reach(np.int64(len(b)), two[first]) >= len(a)
 
 
-@pytest.mark.parametrize("cover", [False, True])
-def test_sweep_connects_what_may_be_similar(cover):
-    """Links are pairs within each other's reach and connect all such pairs; without the held back entries as well."""
+def test_lists_keep_all_that_may_be_similar():
+    """Pairs within each other's reach are links, or in a list that is handed on, and are found there if their components differ."""
     rng, scheme = np.random.default_rng(3), nj.Scheme()
-    for _ in range(400):
-        m = int(rng.integers(1, 40))
-        group, n = rng.integers(0, 3, m), rng.integers(20, 80, m)
+    for _ in range(300):
+        m = int(rng.integers(1, 50))
+        keys, n, ids = rng.integers(0, 4, m).astype(np.uint64), rng.integers(20, 80, m), rng.permutation(1000)[:m]
         place = (n * rng.random(m) * 0.4).astype(np.int64)
-        order = np.lexsort((n, group))
-        group, n, reach = group[order], n[order], scheme.reach(n, place)[order]
-        to = nj.sweep(group, n, reach, cover)
-        ok = lambda x, y: group[x] == group[y] and n[x] <= reach[y] and n[y] <= reach[x]  # noqa: B023,E731
-        links = [(i, int(j)) for i, j in enumerate(to) if j >= 0]
-        assert all(ok(i, j) and i != j for i, j in links)
-        if cover:
-            left = np.flatnonzero(to < 0)
-            links += [(int(left[i]), int(left[j])) for i, j in enumerate(nj.sweep(group[left], n[left], reach[left])) if j >= 0]
-        node, root = graph.forest(*(np.array([x[i] for x in links], np.int64) for i in (0, 1)))
-        label = np.arange(m)
-        label[node] = root
-        for x in range(m):
-            for y in range(x):
-                assert not ok(x, y) or label[x] == label[y]
+        pairs, (key, doc, size, reach) = nj.links_of(keys, ids, n, place, scheme)
+        found = set(map(tuple, pairs.tolist()))
+        label = rng.integers(0, 5, 1000)
+        for k in np.unique(key):
+            at = key == k
+            found |= set(map(tuple, nj.pairs_across(doc[at], size[at], reach[at], label[doc[at]]).tolist()))
+        far = scheme.reach(n, place)
+        want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i in range(m) for j in range(i) if keys[i] == keys[j] and n[i] <= far[j] and n[j] <= far[i]}
+        assert set(map(tuple, pairs.tolist())) <= want and {p for p in want if label[p[0]] != label[p[1]]} <= found <= want
 
 
 def test_nul_is_a_character(spark):
