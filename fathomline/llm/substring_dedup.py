@@ -205,6 +205,37 @@ def _seeded(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
+#: Seeds or anchors of one bucket, on average at most.
+BUCKET_MOST = 1 << 21
+
+
+def _buckets_for(seeded: DataFrame, buckets: int) -> int:
+    """As many buckets as the seeds ask for: the given ones, each cut into equally many where they hold too much."""
+    held = seeded.filter("kind < 2").agg(F.sum(F.octet_length("a"))).first()[0] or 0
+    return buckets * max(1, -(-held // (8 * BUCKET_MOST * buckets)))
+
+
+def _dealt(table: DataFrame, buckets: int, many: int) -> DataFrame:
+    """Rows of one kind in ``many`` buckets, a multiple of those that they are in, a bucket in one task."""
+    parts = max(partitions(table.sparkSession), many // 4)
+    if many == buckets:
+        return table.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    arrow = to_arrow_schema(PACKED)
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(6))):
+                kind = row[0].as_py()
+                arrays = [np.frombuffer(x.as_buffer(), t) for x, t in zip(row[2:], _TYPES[kind])]
+                bucket = (arrays[2] % U64(many)).astype(np.int32) if kind == 0 else _doc_bucket(arrays[0], many)
+                yield _rows_by_bucket(kind, bucket, arrays, arrow)
+
+    return table.mapInArrow(run, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+_TYPES = {0: (np.int64, np.int32, U64), 1: (np.int64, np.int32, np.int64, np.int32)}
+
+
 def _by_bucket(batches, work):
     """Calls ``work`` with the concatenated arrays of each bucket; rows come sorted by bucket."""
     types, bucket, held = None, None, []
@@ -215,7 +246,7 @@ def _by_bucket(batches, work):
 
     for batch in batches:
         for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
-            types = types or ((np.int64, np.int32, U64) if row[0].as_py() == 0 else (np.int64, np.int32, np.int64, np.int32))
+            types = types or _TYPES[row[0].as_py()]
             if held and row[1].as_py() != bucket:
                 yield from done()
                 held = []
@@ -225,8 +256,8 @@ def _by_bucket(batches, work):
         yield from done()
 
 
-def _anchored(seeded: DataFrame, buckets: int) -> DataFrame:
-    """Anchors of every seed's occurrences to its first document, by bucket of document."""
+def _anchored(seeded: DataFrame, buckets: int, many: int) -> DataFrame:
+    """Anchors of every seed's occurrences to its first document, by bucket of document, of which there are ``many``."""
     arrow = to_arrow_schema(PACKED)
 
     def work(arrays):
@@ -235,12 +266,11 @@ def _anchored(seeded: DataFrame, buckets: int) -> DataFrame:
         doc, pos = doc[order], pos[order]
         first = begin[group]
         keep = doc != doc[first]
-        out = _rows_by_bucket(1, _doc_bucket(doc[keep], buckets), [doc[keep], pos[keep], doc[first[keep]], pos[first[keep]]], arrow)
+        out = _rows_by_bucket(1, _doc_bucket(doc[keep], many), [doc[keep], pos[keep], doc[first[keep]], pos[first[keep]]], arrow)
         if out is not None:
             yield out
 
-    seeds_ = seeded.filter("kind = 0").repartition(partitions(seeded.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return seeds_.mapInArrow(lambda batches: _by_bucket(batches, work), PACKED)
+    return _dealt(seeded.filter("kind = 0"), buckets, many).mapInArrow(lambda batches: _by_bucket(batches, work), PACKED)
 
 
 # ---- chaining -----------------------------------------------------------------------
@@ -326,7 +356,7 @@ def _count_until(ends: list[int], y: int) -> int:
 CHAIN = StructType([StructField(c, LongType()) for c in ("doc_id", "partner")] + [StructField(c, ArrayType(ArrayType(IntegerType()))) for c in ("xs", "ys", "ns")])
 
 
-def _chained(anchors: DataFrame) -> DataFrame:
+def _chained(anchors: DataFrame, many: int) -> DataFrame:
     """A row for each document and partner with the chains in stretches that, with what seeding leaves out at the ends, are long enough for a passage."""
     arrow = to_arrow_schema(CHAIN)
     margin = 2 * (WINDOW - 1)
@@ -366,8 +396,7 @@ def _chained(anchors: DataFrame) -> DataFrame:
             columns = list(zip(*rows[i : i + 5000]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    dealt = anchors.repartition(partitions(anchors.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda batches: _by_bucket(batches, work), CHAIN)
+    return _dealt(anchors, many, many).mapInArrow(lambda batches: _by_bucket(batches, work), CHAIN)
 
 
 # ---- alignment -------------------------------------------------------------------------
@@ -438,27 +467,49 @@ def _words(column) -> list[np.ndarray]:
     return out
 
 
+#: Documents that are aligned with one partner in one group, and rows of texts that are unpacked at once.
+PARTNER_DOCS, READ_ROWS = 256, 64
+
+
 def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
+    """Aligned stretches of each document and partner.
+
+    A partner's text goes before the documents that are aligned with it, once for each group of them, so
+    it is neither repeated in rows nor unpacked again, and a partner of very many documents is spread over tasks.
+    """
     arrow = to_arrow_schema(STRETCHES)
-    own = texts.select("doc_id", F.col("packed").alias("own"))
-    other = texts.select(F.col("doc_id").alias("partner"), F.col("packed").alias("other"))
-    joined = chained.filter("doc_id <> partner").join(own, "doc_id").join(other, "partner").select("doc_id", "partner", "xs", "ys", "ns", "own", "other")
+    pairs = chained.filter("doc_id <> partner")
+    groups = pairs.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / PARTNER_DOCS).alias("groups"))
+    salted = pairs.join(groups, "partner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "groups")).drop("groups")
+    own = salted.join(texts, "doc_id").select("partner", "salt", "doc_id", "xs", "ys", "ns", "packed")
+    lead = groups.join(texts.withColumnRenamed("doc_id", "partner"), "partner").select("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), "packed")
+    rows = own.unionByName(lead, allowMissingColumns=True)
+    dealt = rows.repartition(partitions(chained.sparkSession), "partner", "salt").sortWithinPartitions("partner", "salt", F.col("doc_id").asc_nulls_first())
 
     def run(batches):
-        for batch in batches:
-            found = []
-            a, b = _words(unpack_texts(batch.column(5))), _words(unpack_texts(batch.column(6)))
-            for i, (partner, xs, ys, ns) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)))):
-                own_words, other_words = a[i].tolist(), b[i].tolist()
-                mine = []
-                for chain in zip(xs, ys, ns):
-                    runs = list(zip(*chain))
-                    if runs[-1][0] + runs[-1][2] <= len(own_words) and runs[-1][1] + runs[-1][2] <= len(other_words):  # else an id with another text
-                        mine += [dict(zip(_FIELDS, (start, end, partner, at, matches, columns))) for start, end, at, matches, columns in align(own_words, other_words, runs)]
-                found.append(mine)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow.field(1).type)], schema=arrow)
-
-    return joined.mapInArrow(run, STRETCHES)
+        now, held = None, []
+        for whole in batches:
+            for at in range(0, whole.num_rows, READ_ROWS):
+                batch = whole.slice(at, READ_ROWS)
+                partners, salts, docs, xs, ys, ns = (batch.column(i).to_pylist() for i in range(6))
+                ids, found = [], []
+                for i, text in enumerate(_words(unpack_texts(batch.column(6)))):
+                    if (partners[i], salts[i]) != now:
+                        now, held = (partners[i], salts[i]), []
+                    if docs[i] is None:  # an id may have two texts
+                        held.append(text.tolist())
+                        continue
+                    own_words, mine = text.tolist(), []
+                    for chain in zip(xs[i], ys[i], ns[i]):
+                        runs = list(zip(*chain))
+                        for other_words in held:
+                            if runs[-1][0] + runs[-1][2] <= len(own_words) and runs[-1][1] + runs[-1][2] <= len(other_words):
+                                mine += [dict(zip(_FIELDS, (start, end, partners[i], to, matches, columns))) for start, end, to, matches, columns in align(own_words, other_words, runs)]
+                    ids.append(docs[i])
+                    found.append(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, arrow.field(1).type)], schema=arrow)
+
+    return dealt.mapInArrow(run, STRETCHES)
 
 
 _FIELDS = ("start", "end", "partner", "partner_start", "matches", "columns")
@@ -506,8 +557,10 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     buckets = 4 * partitions(spark)
     seeded = store.settle(_seeded(rows, buckets), "seeded")
-    anchors = _anchored(seeded, buckets).union(seeded.filter("kind = 1"))
-    chained = store.settle(_chained(anchors), "chained")
+    many = _buckets_for(seeded, buckets)
+    held_back = seeded.filter("kind = 1")  # anchored inside of tasks, in the first buckets
+    anchors = _anchored(seeded, buckets, many).union(held_back if many == buckets else _dealt(held_back, buckets, many))
+    chained = store.settle(_chained(anchors, many), "chained")
     copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCHES)
     needed = chained.select("doc_id").union(chained.select("partner")).distinct()
     texts = store.settle(pack_texts(rows).join(needed, "doc_id", "left_semi"), "texts")

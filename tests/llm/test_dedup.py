@@ -205,7 +205,11 @@ def documents_with_repeats():
     return [(i, " ".join(t)) for i, t in rows], passage
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats(spark, monkeypatch, small):
+    if small:
+        for name, value in {"BUCKET_MOST": 1, "PARTNER_DOCS": 1, "READ_ROWS": 1}.items():
+            monkeypatch.setattr(sd, name, value)
     rows, passage = documents_with_repeats()
     rows += [(None, rows[0][1]), (20, None), (21, ""), (2, rows[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
