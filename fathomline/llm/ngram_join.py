@@ -387,13 +387,61 @@ def _met(packed: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
 
 
-def pairs_across(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Pairs (smaller id, larger id) of one list that are of different components and within each other's reach."""
+#: Bits for each shingle of a set's bit map, of a power of two in all.
+SIEVE_BITS = 4
+#: The most 64-bit words of a map that goes with each entry of a list; those of larger sets are fuller there and rule out less.
+MAP_WORDS = 32
+
+
+def _set_maps(texts: DataFrame, k: int, most: int = 1 << 40) -> DataFrame:
+    """doc_id and payload: the size of the set and a bit map in which each shingle is hashed to one bit."""
+
+    def make():
+        def apply(column):
+            out = []
+            for _, _, sets, offsets in _sets(unpack_texts(column), k):
+                spread = mix(sets)
+                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    bits = np.zeros(min(64 * most, 1 << max(6, (SIEVE_BITS * int(e - s) - 1).bit_length())), np.uint8)
+                    bits[(spread[s:e] & U64(len(bits) - 1)).astype(np.int64)] = 1
+                    out.append(np.int64(e - s).tobytes() + np.packbits(bits).tobytes())
+            return [pa.array(out, pa.binary())]
+
+        return apply
+
+    return map_text(texts, "packed", make, StructType([StructField("payload", BinaryType())]), ["doc_id"])
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A map as one of fewer words: bits that fall together are joined."""
+    while len(bits) > width:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def may_be_similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, maps: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    """Which pairs (i, j) of sets their maps don't rule out: every bit in which two maps differ is an element in which the sets do."""
+    width = np.array([len(m) for m in maps])
+    common = np.minimum(width[i], width[j])
+    ok = np.zeros(len(i), bool)
+    for w in np.unique(common).tolist():
+        pairs = np.flatnonzero(common == w)
+        members = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        table = np.stack([_folded(maps[m], w) for m in members.tolist()])
+        for at in range(0, len(pairs), 1 << 15):
+            p = pairs[at : at + (1 << 15)]
+            x, y = np.searchsorted(members, i[p]), np.searchsorted(members, j[p])
+            ok[p] = np.bitwise_count(table[x] ^ table[y]).sum(axis=1, dtype=np.int64) <= scheme.differ(n[i[p]], n[j[p]])
+    return ok
+
+
+def pairs_across(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, labels: np.ndarray, maps: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    """Pairs (smaller id, larger id) of one list that are of different components, within each other's reach and not ruled out by their maps."""
     names, of, count = np.unique(labels, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.zeros((0, 2), np.int64)
     order = np.argsort(n, kind="stable")
-    ids, n, reach, of = ids[order], n[order], reach[order], of[order]
+    ids, n, reach, of, maps = ids[order], n[order], reach[order], of[order], [maps[i] for i in order.tolist()]
     asks = np.flatnonzero(of != count.argmax())
     out, step = [], max(1, (1 << 21) // len(ids))
     for at in range(0, len(asks), step):
@@ -401,12 +449,14 @@ def pairs_across(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, labels: np.n
         end = int(np.searchsorted(n, reach[y].max(), side="right"))
         near = (n[None, :end] <= reach[y]) & (reach[None, :end] >= n[y]) & (of[None, :end] != of[y]) & (ids[None, :end] != ids[y])
         i, j = np.nonzero(near)
-        out.append(np.stack([ids[y[i, 0]], ids[j]], axis=1))
+        i = y[i, 0]
+        ok = may_be_similar(i, j, n, maps, scheme)
+        out.append(np.stack([ids[i[ok]], ids[j[ok]]], axis=1))
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def _across(marked: DataFrame, parts: int) -> DataFrame:
-    """``pairs_across`` of every list of ``marked`` (key, id, size, reach, label)."""
+def _across(marked: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
+    """``pairs_across`` of every list of ``marked`` (key, id, size, reach, label, map)."""
 
     def run(batches):
         key, held, found, size = None, [], [], 0
@@ -416,11 +466,13 @@ def _across(marked: DataFrame, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
 
         def close():
-            found.append(pairs_across(*(np.concatenate(x) for x in zip(*held))))
+            *columns, maps = zip(*held)
+            found.append(pairs_across(*(np.concatenate(x) for x in columns), [m for part in maps for m in part], scheme))
             return len(found[-1])
 
         for batch in batches:
             keys, *columns = (np.asarray(batch.column(i)) for i in range(5))
+            maps = [_read_map(raw)[1] for raw in batch.column(5)]
             cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).tolist() if len(keys) else []
             for s, e in zip(cuts, [*cuts[1:], len(keys)]):
                 if held and keys[s] != key:
@@ -430,7 +482,7 @@ def _across(marked: DataFrame, parts: int) -> DataFrame:
                         yield flush()
                         found, size = [], 0
                 key = keys[s]
-                held.append([c[s:e] for c in columns])
+                held.append([*(c[s:e] for c in columns), maps[s:e]])
         if held:
             close()
         if found:
@@ -439,37 +491,8 @@ def _across(marked: DataFrame, parts: int) -> DataFrame:
     return marked.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, PAIR).distinct()
 
 
-#: Bits for each shingle of a set's bit map, of a power of two in all.
-SIEVE_BITS = 4
-
-
-def _set_maps(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id and payload: the size of the set and a bit map in which each shingle is hashed to one bit."""
-
-    def make():
-        def apply(column):
-            out = []
-            for _, _, sets, offsets in _sets(unpack_texts(column), k):
-                spread = mix(sets)
-                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    bits = np.zeros(1 << max(6, (SIEVE_BITS * int(e - s) - 1).bit_length()), np.uint8)
-                    bits[(spread[s:e] & U64(len(bits) - 1)).astype(np.int64)] = 1
-                    out.append(np.int64(e - s).tobytes() + np.packbits(bits).tobytes())
-            return [pa.array(out, pa.binary())]
-
-        return apply
-
-    return map_text(texts, "packed", make, StructType([StructField("payload", BinaryType())]), ["doc_id"])
-
-
-def _may_be_similar(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], scheme: Scheme) -> bool:
-    """Every bit in which two maps differ is an element in which the sets do. The larger map is folded to the smaller."""
-    (n, a), (m, b) = x, y
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum()) <= int(scheme.differ(np.int64(n), np.int64(m)))
+def _read_map(raw: pa.Scalar) -> tuple[int, np.ndarray]:
+    return int(np.frombuffer(raw.as_buffer(), np.int64, 1)[0]), np.frombuffer(raw.as_buffer(), U64, -1, 8)
 
 
 #: Documents of one block of a group of pairs.
@@ -519,8 +542,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, scheme: Scheme) -> Dat
     return _in_blocks(pairs, texts.withColumnRenamed("packed", "payload"), lambda c: _read_sets(c, k), lambda x, y: _similar(x, y, scheme.num, scheme.den))
 
 
-def _read_maps(column: pa.Array) -> list:
-    return [None if r is None else (int(np.frombuffer(r, np.int64, 1)[0]), np.frombuffer(r, np.uint8, -1, 8)) for r in column.to_pylist()]
+def _sieved(pairs: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs whose maps don't rule them out."""
+    read = lambda column: [_read_map(raw) if raw.is_valid else None for raw in column]
+    zero, one = np.array([0]), np.array([1])
+    return _in_blocks(pairs, maps, read, lambda x, y: bool(may_be_similar(zero, one, np.array([x[0], y[0]]), [x[1], y[1]], scheme)[0]))
 
 
 def _read_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -570,16 +596,18 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     labels = components(spark, similar)
     label = lambda df, c, to: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
     rest = label(label(links, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    across = _across(label(lists, "doc_id", "label").select("key", "doc_id", "size", "reach", "label"), parts)
-    apart = store.settle(rest.union(across).distinct().join(first, ["a", "b"], "left_anti"), "apart")
+    marked = store.save(label(lists, "doc_id", "label").select("key", "doc_id", "size", "reach", "label"), "marked")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("c1"), F.max("label").alias("c2")).filter("c1 <> c2").select("key")
+    open_ = marked.join(mixed, "key", "left_semi").join(_set_maps(texts, k, MAP_WORDS), "doc_id").select("key", "doc_id", "size", "reach", "label", "payload")
+    across = store.settle(_across(open_, plain, parts), "across")
+    apart = store.save(rest.union(across).distinct().join(first, ["a", "b"], "left_anti"), "apart")
     asked = apart.select("a").union(apart.select("b")).distinct().toDF("doc_id")
-    maps = _set_maps(texts.join(asked, "doc_id", "left_semi"), k)
-    more = store.settle(_in_blocks(apart, maps, _read_maps, lambda x, y: _may_be_similar(x, y, plain)), "more")
+    more = store.settle(_sieved(apart, _set_maps(texts.join(asked, "doc_id", "left_semi"), k), plain), "more")
     late = store.settle(_verified(more, texts, k, plain), "late")
 
     copies = meta.filter("doc_id <> rep AND n_shingles > 0").select("doc_id", "rep")
     final = components(spark, similar.union(late).union(stand_in).union(copies))
-    store.drop("links", "lists", "texts", "apart", "more")
+    store.drop("links", "lists", "texts", "marked", "across", "apart", "more")
     return meta.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
