@@ -111,9 +111,18 @@ def canonical_hash(documents: pd.Series) -> pd.Series:
     return documents.map(one)
 
 
+#: Fixed value: bytes at either end of a content that its sample takes.
+SAMPLE_BYTES = 1 << 20
+
+
 @F.pandas_udf(StringType())
 def content_sample_hash(content: pd.Series) -> pd.Series:
-    """BLAKE2b-128 of a content's size and its first and last MiB."""
-    mib = 1 << 20
-    one = lambda b: None if b is None else hashlib.blake2b(str(len(b)).encode() + bytes(b[:mib]) + bytes(b[-mib:] if len(b) > mib else b""), digest_size=16).hexdigest()
+    """BLAKE2b-128 of a content's size (16 bytes, the highest first) and its first and last MiB; of all of it where these would meet. Null for null."""
+
+    def one(body: bytes | None) -> str | None:
+        if body is None:
+            return None
+        ends = (body,) if len(body) <= 2 * SAMPLE_BYTES else (body[:SAMPLE_BYTES], body[-SAMPLE_BYTES:])
+        return hashlib.blake2b(b"".join((len(body).to_bytes(16), *ends)), digest_size=16).hexdigest()
+
     return content.map(one)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -44,40 +46,52 @@ def ranges(starts: DataFrame, clip: str, start: str, total: str) -> DataFrame:
     return starts.withColumn("end", F.lead(start).over(Window.partitionBy(clip).orderBy(start))).withColumn("end", F.coalesce("end", total))
 
 
+@dataclass(frozen=True)
+class _Pool:
+    """Segments taken together: their names, and their finite samples in order."""
+
+    names: tuple
+    sample: np.ndarray
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.percentile(self.sample, [2, 98]) if self.sample.size else np.zeros(2)
+
+    def __add__(self, other: "_Pool") -> "_Pool":
+        return _Pool(self.names + other.names, np.sort(np.concatenate([self.sample, other.sample]), kind="stable"))
+
+    def takes(self, other: "_Pool", share: float) -> bool:
+        """Whether the ends lie within a share of what both cover; of a sample and none they don't."""
+        if not (self.sample.size and other.sample.size):
+            return self.sample.size == other.sample.size
+        both = np.stack([self.ends, other.ends])
+        return bool(np.ptp(both, axis=0).max() <= share * np.ptp(both))
+
+
 def merge_segments(samples: DataFrame, clip: str, segment: str, value: str, share: float = MERGE_SHARE) -> DataFrame:
     """Merges neighbouring segments of alike 2nd and 98th percentiles until none is left to merge.
 
-    Returns clip, segment, merged_id, low, high, n. A merge pools samples and the sweep stays where it is, so this
-    is a stateful loop: one clip is one group.
+    Returns clip, segment, merged_id, low, high and n, the number of finite samples. The samples of a segment are gathered in order by
+    Spark; a segment should come with a bounded sample (see ``even_indexes``), as one clip's pools are folded in one group: a pool takes the
+    next segment or the next one begins a pool, and pools are folded again until their number stays.
     """
 
-    def bounds(v: np.ndarray) -> tuple[float, float]:
-        v = v[np.isfinite(v)]
-        return (float(np.percentile(v, 2)), float(np.percentile(v, 98))) if len(v) else (0.0, 0.0)
-
-    def alike(a: dict, b: dict) -> bool:
-        if not len(a["v"]) or not len(b["v"]):
-            return len(a["v"]) == len(b["v"])
-        span = max(a["b"][1], b["b"][1]) - min(a["b"][0], b["b"][0])
-        return max(abs(a["b"][0] - b["b"][0]), abs(a["b"][1] - b["b"][1])) <= share * span
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [{"ids": [k], "v": (v := g["v"].to_numpy(float, na_value=np.nan)), "b": bounds(v)} for k, g in pdf.groupby("s", sort=True)]
-        settled = False
-        while not settled and len(parts) > 1:
-            settled, i = True, 0
-            while i + 1 < len(parts):
-                if alike(parts[i], parts[i + 1]):
-                    pooled = np.concatenate([parts[i]["v"], parts[i + 1]["v"]])
-                    parts[i : i + 2] = [{"ids": parts[i]["ids"] + parts[i + 1]["ids"], "v": pooled, "b": bounds(pooled)}]
-                    settled = False
-                else:
-                    i += 1
-        return pd.DataFrame([(pdf["c"].iloc[0], k, i, *p["b"], len(p["v"])) for i, p in enumerate(parts) for k in p["ids"]], columns=["c", "s", "merged_id", "low", "high", "n"])
-
-    kinds = dict(samples.dtypes)
-    plain = samples.select(F.col(clip).alias("c"), F.col(segment).alias("s"), F.col(value).cast("double").alias("v"))
-    out = plain.groupBy("c").applyInPandas(merge, f"c {kinds[clip]}, s {kinds[segment]}, merged_id int, low double, high double, n long")
+    def fold(pools: list[_Pool]) -> list[_Pool]:
+        def add(done: list[_Pool], pool: _Pool) -> list[_Pool]:
+            return [*done[:-1], done[-1] + pool] if done and done[-1].takes(pool, share) else [*done, pool]
+
+        once = reduce(add, pools, [])
+        return once if len(once) == len(pools) else fold(once)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pools = fold([_Pool((name,), np.asarray(v, float)) for name, v in pdf.sort_values("s")[["s", "v"]].itertuples(index=False)])
+        rows = [(pdf["c"].iloc[0], name, i, *pool.ends, pool.sample.size) for i, pool in enumerate(pools) for name in pool.names]
+        return pd.DataFrame(rows, columns=["c", "s", "merged_id", "low", "high", "n"])
+
+    kinds, v = dict(samples.dtypes), F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    gathered = samples.groupBy(F.col(clip).alias("c"), F.col(segment).alias("s")).agg(F.array_sort(F.collect_list(F.when(finite, v))).alias("v"))
+    out = gathered.groupBy("c").applyInPandas(settle, f"c {kinds[clip]}, s {kinds[segment]}, merged_id int, low double, high double, n long")
     return out.withColumnsRenamed({"c": clip, "s": segment})
 
 
@@ -128,8 +142,8 @@ def fill_gaps(df: DataFrame, row: list[str], index: str, valid: str, value: str,
 
 
 def align_windows(frames: DataFrame, clip: str, index: str, value: str, size: int, keep: int) -> DataFrame:
-    """Windows of a clip's frames chained by least squares: each is scaled and shifted (scale >= 0) so that its first
-    ``keep`` frames fit the last ``keep`` of what came before. Returns clip, index, window_id, aligned.
+    """Windows of a clip's frames chained by least squares: each is scaled and shifted so that its first
+    ``keep`` frames fit the last ``keep`` of what came before, and values of later windows that come out below 0 are 0. Returns clip, index, window_id, aligned.
 
     Every window depends on the one before, so one clip is one group.
     """
@@ -144,9 +158,9 @@ def align_windows(frames: DataFrame, clip: str, index: str, value: str, size: in
             if start:
                 x, y, fresh = v[start : start + keep], out[start : start + keep], start + keep
                 spread = ((x - x.mean()) ** 2).sum()
-                scale = max(0.0, ((x - x.mean()) * (y - y.mean())).sum() / spread) if spread > 0 else 1.0
+                scale = ((x - x.mean()) * (y - y.mean())).sum() / spread if spread > 0 else 1.0
                 shift = y.mean() - scale * x.mean()
-            out[fresh:end] = v[fresh:end] * scale + shift
+            out[fresh:end] = np.maximum(0.0, v[fresh:end] * scale + shift) if start else v[fresh:end]
             windows[fresh:end] = number
             if end == len(v):
                 return pd.DataFrame({"c": pdf["c"], "i": pdf["i"], "window_id": windows, "aligned": out})

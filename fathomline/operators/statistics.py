@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Gates of a calibration, in the order in which they are tried.
@@ -11,7 +13,6 @@ CORRELATION_LEAST = 0.50
 CONTRAST_LEAST = 0.50
 DRIFT_MOST = 0.01
 OUTSIDE_MOST = 0.01
-GATES = ("source_no_range", "too_few_pairs", "nonfinite_statistics", "source_variance", "raw_variance", "nonfinite_fit", "scale_below_minimum", "correlation", "contrast", "mean_drift", "preclip_out_of_range")
 
 
 def tile_moments(df: DataFrame, by: list[str], tile: str, x: str, eligible: Column) -> DataFrame:
@@ -21,9 +22,11 @@ def tile_moments(df: DataFrame, by: list[str], tile: str, x: str, eligible: Colu
 
 
 def merge_moments(tiles: DataFrame, by: list[str]) -> DataFrame:
-    """Tiles' moments as one: the sum of squares inside tiles and between their means. One aggregate, whatever the order."""
-    total = tiles.groupBy(*by).agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"), F.sum("m2").alias("__in"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("__sq"))
-    return total.withColumn("m2", F.col("__in") + F.col("__sq") - F.col("n") * F.col("mean") * F.col("mean")).select(*by, "n", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("m2", F.lit(0.0)).alias("m2"))
+    """Tiles' moments as one: the squares inside of tiles, and those of their means' deviations from the pooled mean, so that large means cancel nothing."""
+    pooled = tiles.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")), F.lit(0.0)).alias("__pooled")).withColumnsRenamed({c: f"__{c}" for c in by})
+    alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    apart = F.col("mean") - F.col("__pooled")
+    return tiles.join(pooled, alike).groupBy(*by).agg(F.sum("n").alias("n"), F.first("__pooled").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"))
 
 
 def pair_statistics(df: DataFrame, by: list[str], raw: str, source: str, eligible: Column) -> DataFrame:

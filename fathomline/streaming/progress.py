@@ -12,8 +12,11 @@ def encoder_frame(line: Column, total: Column) -> Column:
 
 
 def event_counts(events: DataFrame, time: str, by: list[str], window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts and means by tumbling window; with a watermark, so that on a stream old windows are closed and their state is dropped."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    """Counts and means by tumbling window; with a watermark, so that on a stream old windows are closed and their state is dropped.
+
+    A watermark wants a time with zone: on a stream one without is taken in the session's.
+    """
+    marked = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return marked.groupBy(F.window(time, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("window_start"), *by, "n", "mean_value")
 
 

@@ -84,3 +84,15 @@ def test_plan_and_progress(spark):
     assert left(50.0, 10.0, 5, 10, 5.0, True) == pytest.approx(5.0 * 0.8 + 10.0 * 0.2)
     assert left(50.0, 10.0, 0, 10, 5.0, False) == pytest.approx(10.0)
     assert one(spark, progress.encoder_frame(s("frame= 12 fps=3"), F.lit(10)), progress.encoder_frame(s("x"), F.lit(10))) == (10, None)
+
+
+def test_content_samples(spark):
+    """Sizes on either side of one and two MiB: all of a content up to two, its ends beyond."""
+    import hashlib
+
+    mib = 1 << 20
+    sizes = [0, 1, mib, mib + 1, 2 * mib, 2 * mib + 1]
+    bodies = [bytes(range(256)) * (n // 256) + b"x" * (n % 256) for n in sizes]
+    got = spark.createDataFrame(list(enumerate([*bodies, None])), "i int, b binary").coalesce(1).select("i", text.content_sample_hash("b").alias("h")).orderBy("i").collect()
+    want = [hashlib.blake2b(n.to_bytes(16, "big") + (b if n <= 2 * mib else b[:mib] + b[-mib:]), digest_size=16).hexdigest() for n, b in zip(sizes, bodies)]
+    assert [r.h for r in got] == [*want, None]

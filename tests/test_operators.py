@@ -32,6 +32,10 @@ def test_merged_segments(spark):
     assert sorted(out[out["clip"] == "d"].merged_id) == [0, 1]
     assert set(out[out["clip"] == "e"].merged_id) == {0}
     assert out[out["clip"] == "f"].n.tolist() == [0]
+    # segments without finite samples merge with one another and with no others
+    odd = [("g", 0, None), ("g", 1, float("nan")), ("g", 2, 5.0), ("g", 2, float("inf")), ("g", 3, None)]
+    got = seq.merge_segments(spark.createDataFrame(odd, "clip string, seg int, v double"), "clip", "seg", "v").orderBy("seg").collect()
+    assert [(r.merged_id, r.n, r.low) for r in got] == [(0, 0, 0.0), (0, 0, 0.0), (1, 1, 5.0), (2, 0, 0.0)]
 
 
 def test_even_indexes(spark):
@@ -42,12 +46,20 @@ def test_even_indexes(spark):
 
 
 def test_aligned_windows_join(spark):
-    rows = [("c", i, float(np.sin(i / 5))) for i in range(70)]
+    rows = [("c", i, float(2 + np.sin(i / 5))) for i in range(70)]
     out = seq.align_windows(spark.createDataFrame(rows, "clip string, i int, v double"), "clip", "i", "v", 32, 4).orderBy("i").toPandas()
     assert np.allclose(out.aligned, [v for *_, v in rows])  # a signal on one scale stays as it is
     assert sorted(set(out.window_id)) == [0, 1, 2]
 
 
+def test_aligned_windows_fall_and_end_at_zero(spark):
+    """A window whose first frames run against the last ones is turned over; what comes out below zero is zero."""
+    v = [float(i) for i in range(8)] + [float(20 - 3 * i) for i in range(4)]
+    v[6:8] = [3.0, 1.0]
+    out = seq.align_windows(spark.createDataFrame([("c", i, x) for i, x in enumerate(v)], "clip string, i int, v double"), "clip", "i", "v", 8, 2).orderBy("i").toPandas()
+    assert out.aligned.tolist()[:8] == v[:8] and out.aligned.min() >= 0 and out.aligned.tolist()[8:] == v[8:]
+
+
 def test_splat_rules(spark):
     def run(rows):
         df = spark.createDataFrame(rows, "row int, col int, near double, off int, ok boolean")
@@ -70,6 +82,14 @@ def test_moments_merge(spark):
     assert r.n == len(use) and r["mean"] == pytest.approx(use.mean()) and r.m2 == pytest.approx(((use - use.mean()) ** 2).sum())
 
 
+def test_moments_of_large_means(spark):
+    x = 1e8 + np.random.default_rng(1).normal(0, 1, 6400)
+    df = spark.createDataFrame([(i % 64, float(v), "a" if i % 2 else None) for i, v in enumerate(x)], "tile int, v double, g string")
+    got = {r.g: (r.n, r.m2) for r in st.merge_moments(st.tile_moments(df, ["g"], "tile", "v", F.lit(True)), ["g"]).collect()}
+    for g, use in (("a", x[1::2]), (None, x[::2])):
+        assert got[g] == (3200, pytest.approx(((use - use.mean()) ** 2).sum(), rel=1e-6))
+
+
 def test_quality_literals(spark):
     rows = [("a", 0, 0, 1.0, 1.0), ("a", 0, 1, 2.0, 2.0), ("a", 1, 0, 2.0, 2.0), ("a", 1, 1, 3.0, 4.0)]
     df = spark.createDataFrame(rows, "clip string, frame int, px int, p double, t double")
