@@ -20,7 +20,6 @@ rows get the same answer; the language, source and id columns are never inputs.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +45,13 @@ REJECT_QUANTILE = 0.0005
 UNKNOWN = "und"
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Letters are of a Unicode category L: superscripts, fractions and Roman numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -146,7 +151,7 @@ def calibrate(languages: tuple[str, ...], table: np.ndarray, means: np.ndarray,
 def _drawer():
     def apply(column):
         hashes, texts = column.field(0).to_pylist(), column.field(1).to_pylist()
-        return [pa.array([_passages(t, h) if _LETTER.search(t) else [] for h, t in zip(hashes, texts)], pa.list_(pa.binary()))]
+        return [pa.array([_passages(t, h) if has_letter(t) else [] for h, t in zip(hashes, texts)], pa.list_(pa.binary()))]
 
     return apply
 
@@ -207,7 +212,7 @@ def _namer(model: Model | None):
                     best = p.argmax(axis=1)
                     for i in range(b - a):
                         raw = part[offs[i] : offs[i + 1]]
-                        if (((raw[:4096] | 32) - 97) < 26).any() or _LETTER.search(bytes(raw).decode("utf-8", "replace")):
+                        if (((raw[:4096] | 32) - 97) < 26).any() or has_letter(bytes(raw).decode("utf-8", "replace")):
                             names[a + i] = model.languages[best[i]]
                             scores[a + i] = p[i, best[i]]
                             rejected[a + i] = p[i, best[i]] < model.threshold

@@ -29,8 +29,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held_out = fold("doc_id", 4) == 2
-    model = language_id.train(docs, learn=F.coalesce(~held_out, F.lit(True)))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = language_id.train(docs, learn=~held_out)
     named = language_id.predict(docs, model)
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -54,7 +54,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = read_table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    docs, held_out = read_table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = quality.train(docs, read_table(spark, sf_dir, "labels"), learn=~held_out)
     return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

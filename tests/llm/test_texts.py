@@ -213,3 +213,12 @@ def test_language_id_learns_from_whole_texts(spark):
     model = li.train(df)
     got = li.predict(df, model, keep=("doc_id", "lang")).collect()
     assert all(r.lang_pred == r.lang and r.score > 0.9 and not r.rejected for r in got)
+
+
+def test_numerals_are_no_letters(spark):
+    """Superscripts, fractions and Roman numerals are no letters; an ideograph and a letter that joins a number are."""
+    assert [li.has_letter(t) for t in ("½ ² 3", "Ⅳ", "_ 12 ٣", "", "日", "12a", "é")] == [False, False, False, False, True, True, True]
+    rows = [(i, t * 20, g) for i, (t, g) in enumerate([("the cat sat on that mat ", "en"), ("der hund und die katze ", "de")] * 12)]
+    df = spark.createDataFrame([*rows, (90, "½ ² 3", None), (91, "Ⅳ", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(df, li.train(df)).collect()}
+    assert got[90] == got[91] == ("und", 0.0)
