@@ -1,7 +1,7 @@
 """Tables written to the shared folder of the cluster, to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (a
-local test session) a temporary folder is set once. Everything goes through
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+local session gets a temporary folder once; on a cluster it is an error. Everything goes through
 Spark's own writers, so any store Spark can write to will do.
 """
 
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
