@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from fathomline.llm.arrowmap import map_text, pack_texts, unpack_texts
-from fathomline.llm.frames import partitions
+from fathomline.llm.frames import fits_broadcast, partitions
 from fathomline.llm.graph import components
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, shingle_sets, slices, text_bytes
 from fathomline.scratch import Scratch
@@ -496,11 +496,20 @@ def _read_map(raw: pa.Scalar) -> tuple[int, np.ndarray]:
 
 
 #: Documents of one block of a group of pairs.
-BLOCK_DOCS = 64
+BLOCK_DOCS = 256
 #: Rows of texts that are unpacked at once.
 READ_ROWS = 64
 
 
+#: Ids of up to so many bytes are sent to the texts, which then stay where they are.
+BROADCAST_BYTES = 8 << 20
+
+
+def _small(ids: DataFrame, row_bytes: int) -> DataFrame:
+    """``ids``, to be broadcast if a count says that they fit."""
+    return F.broadcast(ids) if fits_broadcast(ids, BROADCAST_BYTES, row_bytes) else ids
+
+
 def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
     """The pairs (a, b) for which ``holds`` of what ``read`` makes of their payloads.
 
@@ -514,7 +523,7 @@ def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
     blocks = docs.join(sizes, "group").select("doc_id", F.xxhash64("group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))).alias("block"))
     side = lambda c: blocks.select(F.col("doc_id").alias(c), F.col("block").alias(f"b{c}"))
     keyed = pairs.join(side("b"), "b").join(side("a"), "a").select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("key"), "a", "b")
-    members = keyed.select("key", "a").union(keyed.select("key", "b")).distinct().join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
+    members = _small(keyed.select("key", "a").union(keyed.select("key", "b")).distinct(), 24).join(payloads.select(F.col("doc_id").alias("a"), "payload"), "a")
     rows = members.select("key", "a", F.lit(None).cast("long").alias("b"), "payload").union(keyed.select("key", "a", "b", F.lit(None).cast("binary")))
     dealt = rows.repartition(partitions(pairs.sparkSession), "key").sortWithinPartitions("key", F.col("b").asc_nulls_first())
 
@@ -602,7 +611,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, num: int = NUM,
     across = store.settle(_across(open_, plain, parts), "across")
     apart = store.save(rest.union(across).distinct().join(first, ["a", "b"], "left_anti"), "apart")
     asked = apart.select("a").union(apart.select("b")).distinct().toDF("doc_id")
-    more = store.settle(_sieved(apart, _set_maps(texts.join(asked, "doc_id", "left_semi"), k), plain), "more")
+    more = store.settle(_sieved(apart, _set_maps(texts.join(_small(asked, 8), "doc_id", "left_semi"), k), plain), "more")
     late = store.settle(_verified(more, texts, k, plain), "late")
 
     copies = meta.filter("doc_id <> rep AND n_shingles > 0").select("doc_id", "rep")
