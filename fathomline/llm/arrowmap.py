@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -14,6 +15,23 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 TextFunction = Callable[[pa.Array], list]
 
 
+def tidy(run):
+    """``run`` over batches, after which the worker gives freed memory back to the system.
+
+    Workers are reused, and both Arrow's pool and the C library keep what was freed; an executor
+    would hold the peaks of all earlier steps beside the present one's.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def map_text(df: DataFrame, text: str, make: Callable[[], TextFunction], result: StructType, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``df`` and, beside them, the columns that a text function gives.
 
@@ -32,7 +50,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], TextFunction], result:
             columns = [*batch.columns[:width], *made]
             yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def add_struct(df: DataFrame, text: str, make: Callable[[], TextFunction], result: StructType) -> tuple[DataFrame, str]:

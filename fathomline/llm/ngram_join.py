@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from fathomline.llm.arrowmap import map_text, pack_texts, unpack_texts
+from fathomline.llm.arrowmap import map_text, pack_texts, tidy, unpack_texts
 from fathomline.llm.frames import fits_broadcast, partitions
 from fathomline.llm.graph import components
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, shingle_sets, slices, text_bytes
@@ -262,7 +262,7 @@ def _profile(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
             yield flush()
         yield batch_of(2, [total], None)
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(tidy(run), PROFILE)
 
 
 PACKED = StructType([StructField("bucket", IntegerType())] + [StructField(c, BinaryType()) for c in ("keys", "ids", "sizes", "places")])
@@ -318,7 +318,7 @@ def _packed(docs: DataFrame, k: int, scheme: Scheme, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(tidy(run), PACKED)
 
 
 PAIR = "a long, b long"
@@ -384,7 +384,7 @@ def _met(packed: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
         if rows:
             yield meet(rows)
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), MET)
 
 
 #: Bits for each shingle of a set's bit map, of a power of two in all.
@@ -488,7 +488,7 @@ def _across(marked: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
         if found:
             yield flush()
 
-    return marked.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, PAIR).distinct()
+    return marked.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(run), PAIR).distinct()
 
 
 def _read_map(raw: pa.Scalar) -> tuple[int, np.ndarray]:
@@ -543,7 +543,7 @@ def _in_blocks(pairs: DataFrame, payloads: DataFrame, read, holds) -> DataFrame:
                         v.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, PAIR).distinct()
+    return dealt.mapInArrow(tidy(run), PAIR).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, scheme: Scheme) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from fathomline.llm.arrowmap import add_struct, pack_texts, unpack_texts
+from fathomline.llm.arrowmap import add_struct, pack_texts, tidy, unpack_texts
 from fathomline.llm.frames import partitions
 from fathomline.llm.textkit import SPACE_WORDS, U64, Words, mix, row_sums, slices, text_bytes, window_hashes
 from fathomline.scratch import Scratch
@@ -202,7 +202,7 @@ def _seeded(rows: DataFrame, buckets: int) -> DataFrame:
             table[:, 1] = np.array(smallest, np.int64)[table[:, 1]]
             yield _rows_by_bucket(2, np.zeros(len(table), np.int32), [table[:, 0], table[:, 1], table[:, 2]], arrow)
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(tidy(run), PACKED)
 
 
 #: Seeds or anchors of one bucket, on average at most.
@@ -230,7 +230,7 @@ def _dealt(table: DataFrame, buckets: int, many: int) -> DataFrame:
                 bucket = (arrays[2] % U64(many)).astype(np.int32) if kind == 0 else _doc_bucket(arrays[0], many)
                 yield _rows_by_bucket(kind, bucket, arrays, arrow)
 
-    return table.mapInArrow(run, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return table.mapInArrow(tidy(run), PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
 _TYPES = {0: (np.int64, np.int32, U64), 1: (np.int64, np.int32, np.int64, np.int32)}
@@ -509,7 +509,7 @@ def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, arrow.field(1).type)], schema=arrow)
 
-    return dealt.mapInArrow(run, STRETCHES)
+    return dealt.mapInArrow(tidy(run), STRETCHES)
 
 
 _FIELDS = ("start", "end", "partner", "partner_start", "matches", "columns")
@@ -561,7 +561,7 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     held_back = seeded.filter("kind = 1")  # anchored inside of tasks, in the first buckets
     anchors = _anchored(seeded, buckets, many).union(held_back if many == buckets else _dealt(held_back, buckets, many))
     chained = store.settle(_chained(anchors, many), "chained")
-    copies = seeded.filter("kind = 2").mapInArrow(_copies, STRETCHES)
+    copies = seeded.filter("kind = 2").mapInArrow(tidy(_copies), STRETCHES)
     needed = chained.select("doc_id").union(chained.select("partner")).distinct()
     texts = store.settle(pack_texts(rows).join(needed, "doc_id", "left_semi"), "texts")
     stretches = _aligned(chained, texts).union(copies)
