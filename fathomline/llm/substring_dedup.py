@@ -468,7 +468,7 @@ def _words(column) -> list[np.ndarray]:
 
 
 #: Documents that are aligned with one partner in one group, and rows of texts that are unpacked at once.
-PARTNER_DOCS, READ_ROWS = 256, 64
+PARTNER_DOCS, READ_ROWS = 256, 16
 
 
 def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
