@@ -126,3 +126,33 @@ def content_sample_hash(content: pd.Series) -> pd.Series:
         return hashlib.blake2b(b"".join((len(body).to_bytes(16), *ends)), digest_size=16).hexdigest()
 
     return content.map(one)
+
+
+def array_payload_hash(arrays: Column) -> Column:
+    """SHA-256 of named arrays, an array of structs (name, dtype, shape, body): in order of the names, each one's name, type, shape as a JSON list, and bytes."""
+    ordered = F.array_sort(arrays, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    head = lambda x: F.concat(x["name"], x["dtype"], F.lit("["), F.array_join(F.transform(x["shape"], lambda n: n.cast("string")), ", "), F.lit("]"))
+    return F.sha2(F.aggregate(ordered, F.lit(b"").cast("binary"), lambda done, x: F.concat(done, F.encode(head(x), "UTF-8"), x["body"])), 256)
+
+
+#: The settings that a cached result hangs on.
+CACHE_SETTINGS = (
+    "depth_model_version", "model_path", "model_size", "depth_resolution", "use_metric_depth", "device", "start_time", "end_time", "super_sample",
+    "temporal_window_size", "temporal_window_overlap", "denoising_steps", "seed", "scene_detection", "scene_cut_threshold", "min_scene_frames",
+    "raw_storage_dtype", "model_fingerprint",
+)
+
+
+@F.pandas_udf(StringType())
+def cache_key(fingerprint: pd.Series, settings: pd.Series) -> pd.Series:
+    """BLAKE2b-128 of a content's fingerprint and the settings that count (a JSON object; missing ones are null), as spaced JSON in order of the names; null where either is missing or no object."""
+
+    def one(mark, document):
+        try:
+            given = json.loads(document)
+            body = json.dumps({k: given.get(k) for k in CACHE_SETTINGS}, sort_keys=True)
+            return hashlib.blake2b(mark.encode() + body.encode(), digest_size=16).hexdigest()
+        except (TypeError, ValueError, AttributeError):
+            return None
+
+    return pd.Series([one(m, d) for m, d in zip(fingerprint, settings)], dtype=object)

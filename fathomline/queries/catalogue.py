@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.operators.sequences import runs_where
 from fathomline.plans import catalogue as cat
 from fathomline.queries import FRAMES_SQL, frames, query, table
-from fathomline.sources import frames as src
+from fathomline.sources import frames as src, payloads
 from fathomline.streaming import progress
 
 
@@ -154,6 +154,30 @@ def s09(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json(t, "k INT", {"mode": "PERMISSIVE"})["k"].alias("k"))
 
 
+@query("s02_probe_records", "SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN p_size * 16 END AS width, CASE WHEN p_partkey % 9 > 0 THEN p_size * 9 END AS height, CASE WHEN p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size * 1000 / 1001.0::DOUBLE END END AS fps, CASE WHEN p_partkey % 9 > 0 THEN p_partkey END AS frame_count, CASE WHEN p_partkey % 9 > 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE round(p_partkey / (p_size * 1000 / 1001.0::DOUBLE), 6) END END AS duration FROM part")
+def s02(spark, sf):
+    """Reports of a probe, built from parts: some without a video stream, some with a rate of 0/0."""
+    doc = F.expr("""concat('{"streams": [{"codec_type": "audio"}', if(p_partkey % 9 > 0, concat(', {"codec_type": "video", "width": ', p_size * 16, ', "height": ', p_size * 9, ', "avg_frame_rate": "', if(p_partkey % 4 = 0, '0/0', concat(p_size * 1000, '/1001')), '", "nb_frames": "', p_partkey, '"}'), ''), ']}')""")
+    r = table(spark, sf, "part").select("p_partkey", payloads.probe_record(doc).alias("r"))
+    return r.select("p_partkey", "r.width", "r.height", "r.fps", "r.frame_count", F.round("r.duration", 6).alias("duration"))
+
+
+@query("s05_s07_checked_maps", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'shape' WHEN vec_id % 7 = 0 THEN 'length' WHEN vec_id % 6 = 0 THEN 'type' END AS problem FROM embeddings")
+def s05(spark, sf):
+    """Vectors as 8 x 8 maps, some of them spoiled, held to the native shape and stored type."""
+    i = F.col("vec_id")
+    shape = F.array(F.lit(8), F.when(i % 10 == 0, 9).otherwise(8))
+    values = F.when(i % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.slice("embedding", 1, 64))
+    return table(spark, sf, "embeddings").select("vec_id", payloads.map_problem(shape, values, F.when(i % 6 == 0, "<f2").otherwise("<f4"), (8, 8), "<f4").alias("problem"))
+
+
+@query("s18_removable_files", "SELECT page_id FROM pages WHERE NOT regexp_matches(url || '/frames/f_' || page_id || '.png', '(^|/)f_[^/]*[05]\\.png$')")
+def s18(spark, sf):
+    """Files of an intermediate folder that no pattern keeps."""
+    files = table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("/frames/f_"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    return payloads.removable(files, "path", ["frames"], ["f_*[05].png"]).select("page_id")
+
+
 @query("s17_cache_lookup", "SELECT o_orderkey, c.c_custkey IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON o_custkey = c.c_custkey")
 def s17(spark, sf):
     cached = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("hit"))

@@ -25,6 +25,12 @@ def p14(spark, sf):
     return px.side_by_side(left, left.withColumn("v", -F.col("v")), SIDE, SIDE)
 
 
+@query("p14_stacked_views", f"WITH {PIXELS_SQL} SELECT frame, \"row\", col, v FROM p UNION ALL SELECT frame, \"row\" + 8, col, -v FROM p")
+def p14_over_under(spark, sf):
+    left = pixels(spark, sf).select("frame", "row", "col", "v")
+    return px.side_by_side(left, left.withColumn("v", -F.col("v")), SIDE, SIDE, "over_under")
+
+
 _TAPS = """g AS (SELECT CAST(i // {n} AS INTEGER) AS out_row, CAST(i % {n} AS INTEGER) AS out_col FROM range({n} * {n}) AS r(i)),
 c AS (SELECT out_row, out_col, {x} AS x, {y} AS y FROM g),
 t AS (SELECT out_row, out_col, {place_x} AS tx, {place_y} AS ty, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS wt FROM c, range(2) AS a(dx), range(2) AS b(dy))"""

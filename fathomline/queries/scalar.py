@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.functions import depth, geometry, text
-from fathomline.queries import FRAMES_SQL, frames, pixels, PIXELS_SQL, query, table
+from fathomline.plans import settings
+from fathomline.queries import FRAMES_SQL, PIXELS_SQL, SIDE, frames, pixels, query, table
 
 _KIND = "CASE event_type WHEN 'click' THEN 'metric_depth' WHEN 'view' THEN 'inverse_depth' ELSE 'relative_depth' END"
 
@@ -24,11 +25,11 @@ def p03(spark, sf):
 
 @query("p04_frame_min_max", f"WITH {PIXELS_SQL} SELECT frame, \"row\", col, round(coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0), 9) AS scaled FROM p WINDOW w AS (PARTITION BY frame)")
 def p04(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("frame")
-    low, high = F.min("v").over(w), F.max("v").over(w)
-    return pixels(spark, sf).select("frame", "row", "col", F.round(F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)), 9).alias("scaled"))
+    """Each image is one array, so its bounds need no shuffle."""
+    low, high = F.array_min("v"), F.array_max("v")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.transform(F.slice("embedding", 1, SIDE * SIDE), lambda x: x.cast("double")).alias("v"))
+    scaled = F.transform("v", lambda x: F.round(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)), 9))
+    return e.select("frame", F.posexplode(scaled).alias("i", "scaled")).select("frame", F.floor(F.col("i") / SIDE).cast("int").alias("row"), (F.col("i") % SIDE).cast("int").alias("col"), "scaled")
 
 
 _CODE = "CASE WHEN event_id % 7 = 0 THEN 32768 ELSE event_id * 7919 % 65536 END"
@@ -133,6 +134,14 @@ def p23(spark, sf):
     return s.select("p_partkey", F.round(gb, 9).alias("frame_gb"), geometry.chunk_frames(usable, gb, 2, 24).alias("chunk"))
 
 
+@query("p23_window_model_chunk_frames", f"WITH s AS ({_SIZE}), g AS (SELECT *, (w::DOUBLE * h * 12 + 518.0 * 518 * 4) / 1073741824 + 0.15 AS gb FROM s) SELECT p_partkey, round(gb, 9) AS frame_gb, CASE WHEN p_partkey % 12 * 0.7 - 3.25 <= 0 THEN 4 ELSE greatest(4, least(32, CAST(trunc((p_partkey % 12 * 0.7::DOUBLE - 3.25) / gb) AS INTEGER))) END AS chunk FROM g")
+def p23_windows(spark, sf):
+    """The other model: 0.15 GB more a frame, a model larger by 0.3, and bounds of 4 and 32."""
+    s = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size * 97 + 3 AS INT) AS w", "CAST(p_partkey * 61 % 2400 + 1 AS INT) AS h")
+    gb = geometry.frame_gb(F.col("w"), F.col("h"), F.lit(518), 0.15)
+    return s.select("p_partkey", F.round(gb, 9).alias("frame_gb"), geometry.chunk_frames(F.col("p_partkey") % 12 * F.lit(0.7) - 3.25, gb, 4, 32).alias("chunk"))
+
+
 @query("p24_p25_sizes", f"WITH s AS ({_SIZE}) SELECT p_partkey, CAST(trunc(p_partkey * 2.0::DOUBLE * w * h * 0.1) AS BIGINT) AS video_bytes, CAST(trunc(p_partkey * 4000 / 60.0::DOUBLE) AS BIGINT) AS audio_bytes, CAST(trunc(p_partkey::DOUBLE * w * h * 4 * 1.25 + p_partkey::DOUBLE * w * h * 2 * 1.1) AS BIGINT) AS depth_bytes FROM s")
 def p24(spark, sf):
     s = table(spark, sf, "part").selectExpr("p_partkey", "CAST(p_size * 97 + 3 AS INT) AS w", "CAST(p_partkey * 61 % 2400 + 1 AS INT) AS h")
@@ -148,6 +157,32 @@ def p26(spark, sf):
     return s.select("event_id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
+_SETTINGS_DOC = """concat('{"convergence": ', format_string('%d.%d', k % 13 DIV 10, k % 13 % 10), ', "min_scene_frames": ', k % 5, ', "scene_detection": ', if(k % 7 = 0, '"yes"', 'true'), ', "stereo_geometry_mode": "', if(k % 3 = 0, 'metric_camera', 'relative'), '"', CASE k % 4 WHEN 0 THEN ', "temporal_postprocessor": "vdpp"' WHEN 1 THEN ', "temporal_postprocessor": "x"' WHEN 2 THEN ', "temporal_postprocessor": "off"' ELSE '' END, ', "target_fps": ', k % 200, if(k % 11 = 0, ', "surprise": 1', ''), if(k % 10 = 9, ', "baseline": 3', ''), if(k % 17 = 0, '', '}'))"""
+_LOOSE = "[CASE WHEN k % 13 > 10 THEN 'convergence' END, CASE WHEN k % 7 = 0 THEN 'scene_detection' END, CASE WHEN k % 5 = 0 THEN 'min_scene_frames' END, CASE WHEN k % 4 = 1 THEN 'temporal_postprocessor' END, CASE WHEN k % 200 NOT BETWEEN 1 AND 120 THEN 'target_fps' END, CASE WHEN k % 3 = 0 AND k % 4 = 0 THEN 'vdpp with metric_camera' END]"
+_STRICT = f"list_concat([CASE WHEN k % 10 = 9 THEN 'removed baseline' END, CASE WHEN k % 11 = 0 THEN 'unknown surprise' END], {_LOOSE})"
+
+
+def _settings_documents(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("k")).withColumn("doc", F.expr(_SETTINGS_DOC))
+
+
+@query("p26_validated_settings", f"WITH o AS (SELECT o_orderkey, o_orderkey AS k FROM orders) SELECT o_orderkey, array_to_string(CASE WHEN k % 17 = 0 THEN ['unreadable'] ELSE list_filter({_STRICT}, lambda x: x IS NOT NULL) END, '; ') AS violations FROM o")
+def p26_documents(spark, sf):
+    """Settings documents built from order keys, held to the rules of all settings."""
+    return settings.audit(_settings_documents(spark, sf), "doc").select("o_orderkey", F.array_join("violations", "; ").alias("violations"))
+
+
+@query("f17_settings_migration", f"""WITH o AS (SELECT o_orderkey, o_orderkey AS k, coalesce(nullif(o_custkey % 6, 5), 1) AS version FROM orders),
+v AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'unreadable' WHEN version = 4 THEN list_filter({_STRICT}, lambda x: x IS NOT NULL)[1] ELSE list_filter({_LOOSE}, lambda x: x IS NOT NULL)[1] END AS bad FROM o),
+p AS (SELECT *, CASE WHEN version < 1 THEN 'version below 1' ELSE coalesce(bad, CASE WHEN version = 4 AND k % 4 = 3 THEN 'temporal_postprocessor is missing' END) END AS problem FROM v)
+SELECT o_orderkey, version AS source_version, version < 4 AS migrated, problem, CASE WHEN problem IS NULL THEN CAST(k % 5 AS VARCHAR) END AS min_scene_frames, CASE WHEN problem IS NULL THEN '63.0' END AS virtual_baseline_mm, CASE WHEN version < 4 AND k % 17 <> 0 THEN concat_ws(',', CASE WHEN k % 10 = 9 THEN 'baseline' END, CASE WHEN k % 11 = 0 THEN 'surprise' END) ELSE '' END AS removed FROM p""")
+def f17_documents(spark, sf):
+    """The same documents with versions: older ones lose keys and gain defaults, those of the present version are held to every rule."""
+    d = _settings_documents(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 6 < 5, F.col("o_custkey") % 6).alias("version")), "o_orderkey")
+    m = settings.migrate(d, "doc", "version")
+    return m.select("o_orderkey", "source_version", "migrated", "problem", F.col("settings")["min_scene_frames"].alias("min_scene_frames"), F.col("settings")["virtual_baseline_mm"].alias("virtual_baseline_mm"), F.array_join("removed_settings", ",").alias("removed"))
+
+
 @query("p27_capable_requests", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW' AND o_custkey % 3 = 0")
 def p27(spark, sf):
     """Requests that a backend can serve: mode, format and aspect tested against a small table of capabilities."""
@@ -233,6 +268,21 @@ def f13(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(F.transform(every, lambda x: x["t"]), ""), 256).alias("sequence_hash"))
 
 
+@query("f14_array_hashes", "SELECT page_id, sha256('url<u1[' || octet_length(encode(url)) || ']' || url || 'values<u1[1, ' || octet_length(encode(html)) || ']' || html) AS payload_hash FROM pages")
+def f14(spark, sf):
+    """An address and a page's bytes as two named arrays."""
+    item = lambda name, c, *shape: F.struct(F.lit(name).alias("name"), F.lit("<u1").alias("dtype"), F.array(*shape).alias("shape"), F.encode(c, "UTF-8").alias("body"))
+    arrays = F.array(item("values", "html", F.lit(1), F.octet_length("html")), item("url", "url", F.octet_length("url")))
+    return table(spark, sf, "pages").select("page_id", text.array_payload_hash(arrays).alias("payload_hash"))
+
+
+@query("f15_cache_keys")
+def f15(spark, sf):
+    """Keys of BLAKE2b, which SQL lacks: each event's type as the content's fingerprint, and a document of two settings."""
+    doc = F.to_json(F.struct(F.col("user_id").alias("seed"), F.col("event_type").alias("device")))
+    return table(spark, sf, "events").select("event_id", text.cache_key(F.col("event_type"), doc).alias("cache_key"))
+
+
 @query("f16_summaries", "SELECT p_partkey, concat_ws(', ', CASE WHEN p_size > 10 THEN 'size ' || p_size END, CASE WHEN p_retailprice > 1000 THEN 'dear' END, p_type) AS summary, coalesce(TRY_CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER), 0) AS number FROM part")
 def f16(spark, sf):
     parts = F.concat_ws(", ", F.when(F.col("p_size") > 10, F.concat(F.lit("size "), F.col("p_size"))), F.when(F.col("p_retailprice") > 1000, "dear"), "p_type")

@@ -106,13 +106,20 @@ def w13(spark, sf):
 
 @query("l01_numeric_order", "SELECT page_id, url, CAST(coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER), 0) AS INTEGER) AS number, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER), 0), page_id) AS place FROM pages")
 def l01(spark, sf):
-    """Pages by the number in their address. A total order with places: ranges are sorted in parallel, and places are counted up from the ranges' sizes."""
+    """Pages by the number in their address. A total order with places.
+
+    Rows are placed inside (number, block of ids), so a number that many pages share is spread; blocks are counted up inside
+    chunks of numbers, and chunks, of which there are 2^21 at most, in one window.
+    """
     p = table(spark, sf, "pages").select("page_id", "url", F.coalesce(F.regexp_extract("url", "/([0-9]+)", 1).try_cast("int"), F.lit(0)).alias("number"))
-    chunk = F.floor(F.col("number") / 16)
-    inside = F.row_number().over(Window.partitionBy(chunk).orderBy("number", "page_id"))
-    sizes = p.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.chunk") < F.col("a.chunk"), "left").groupBy("a.chunk").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return p.withColumns({"chunk": chunk, "i": inside}).join(before, "chunk").select("page_id", "url", "number", (F.col("before") + F.col("i")).alias("place"))
+    p = p.withColumn("block", F.coalesce(F.floor(F.col("page_id") / 65536), F.lit(-1)))
+    chunk, earlier = F.floor(F.col("number") / 1024), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = p.groupBy("number", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", chunk)
+    chunks = counts.groupBy("chunk").agg(F.sum("n").alias("all")).select("chunk", F.coalesce(F.sum("all").over(earlier(Window.orderBy("chunk"))), F.lit(0)).alias("chunks_before"))
+    inside = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("chunk").orderBy("number", "block"))), F.lit(0))
+    before = counts.withColumn("blocks_before", inside).join(chunks, "chunk").select("number", "block", (F.col("blocks_before") + F.col("chunks_before")).alias("before"))
+    i = F.row_number().over(Window.partitionBy("number", "block").orderBy("page_id"))
+    return p.withColumn("i", i).join(before, ["number", "block"]).select("page_id", "url", "number", (F.col("before") + F.col("i")).alias("place"))
 
 
 @query("l02_ordered_map", "SELECT event_id, length(props) AS size, upper(event_type) AS kind FROM events")
@@ -129,7 +136,8 @@ def l02(spark, sf):
 
 @query("l05_halving_sizes", "WITH RECURSIVE s(p_partkey, size) AS (SELECT p_partkey, CAST(p_size * 97 AS INTEGER) FROM part UNION ALL SELECT p_partkey, size // 2 FROM s WHERE size // 2 >= 384) SELECT p_partkey, size FROM s")
 def l05(spark, sf):
-    """Sizes by halving down to 384. Twelve halvings take any side below 2^20 there, so no recursion is needed."""
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.floor(F.col("p_size") * 97 / F.pow(F.lit(2.0), k)).cast("int"))
+    """Sizes by halving down to 384, as many as a size's logarithm allows, so no recursion is needed."""
+    halvings = F.floor(F.log2(F.greatest(F.col("p_size") * 97, F.lit(1)))).cast("int")
+    sizes = F.transform(F.sequence(F.lit(0), halvings), lambda k: F.floor(F.col("p_size") * 97 / F.pow(F.lit(2.0), k)).cast("int"))
     some = F.filter(sizes, lambda s, i: (i == 0) | (s >= 384))
     return table(spark, sf, "part").select("p_partkey", F.explode(some).alias("size"))
