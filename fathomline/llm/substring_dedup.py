@@ -476,14 +476,15 @@ def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
 
     A partner's text goes before the documents that are aligned with it, once for each group of them, so
     it is neither repeated in rows nor unpacked again, and a partner of very many documents is spread over tasks.
+    All wishes for a text are joined with the texts at once, so those cross the network once to be found.
     """
     arrow = to_arrow_schema(STRETCHES)
     pairs = chained.filter("doc_id <> partner")
     groups = pairs.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / PARTNER_DOCS).alias("groups"))
-    salted = pairs.join(groups, "partner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "groups")).drop("groups")
-    own = salted.join(texts, "doc_id").select("partner", "salt", "doc_id", "xs", "ys", "ns", "packed")
-    lead = groups.join(texts.withColumnRenamed("doc_id", "partner"), "partner").select("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), "packed")
-    rows = own.unionByName(lead, allowMissingColumns=True)
+    own = pairs.join(groups, "partner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "groups")).drop("groups").withColumn("reads", F.col("doc_id"))
+    lead = groups.select("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.col("partner").alias("reads"))
+    wanted = own.unionByName(lead, allowMissingColumns=True)
+    rows = wanted.hint("merge").join(texts.withColumnRenamed("doc_id", "reads"), "reads").select("partner", "salt", "doc_id", "xs", "ys", "ns", "packed")
     dealt = rows.repartition(partitions(chained.sparkSession), "partner", "salt").sortWithinPartitions("partner", "salt", F.col("doc_id").asc_nulls_first())
 
     def run(batches):
@@ -562,11 +563,9 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     anchors = _anchored(seeded, buckets, many).union(held_back if many == buckets else _dealt(held_back, buckets, many))
     chained = store.settle(_chained(anchors, many), "chained")
     copies = seeded.filter("kind = 2").mapInArrow(tidy(_copies), STRETCHES)
-    needed = chained.select("doc_id").union(chained.select("partner")).distinct()
-    texts = store.settle(pack_texts(rows).join(needed, "doc_id", "left_semi"), "texts")
-    stretches = _aligned(chained, texts).union(copies)
+    stretches = _aligned(chained, pack_texts(rows)).union(copies)
     found = store.save(_passages(stretches), "passages")
-    store.drop("seeded", "chained", "texts")
+    store.drop("seeded", "chained")
     return found
 
 
@@ -595,7 +594,7 @@ def remove(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     while name in docs.columns:
         name += "_"
     lists = spans.select(F.col("doc_id").alias(name + "id"), F.concat_ws(",", F.transform("s", lambda x: F.concat_ws("-", x["start_word"].cast("string"), x["end_word"].cast("string")))).alias(name))
-    marked = docs.join(lists, F.col(f"`{doc_id}`") == F.col(name + "id"), "left").drop(name + "id")
+    marked = docs.join(lists.hint("merge"), F.col(f"`{doc_id}`") == F.col(name + "id"), "left").drop(name + "id")
     body = F.concat(F.coalesce(name, F.lit("")), F.lit("\0"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
     made, out = add_struct(marked.withColumn(name + "body", body), name + "body", lambda: _cut_column, CUT)
     left = made.filter(F.col(name).isNull() | F.col(out)["text"].isNotNull())
