@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -179,8 +180,8 @@ EDITED = [
     StructField("near_edited", DoubleType()),
     StructField("near_next", DoubleType()),
 ]
-#: Ranges of ids at most; their cuts are literals of the plan. Beyond them ranges grow, and rows still stream through a task.
-RANGES_MOST = 2000
+#: Bytes of text in a range of ids, on average at most.
+RANGE_BYTES = 64 << 20
 #: Rows whose fingerprints are made together.
 GROUP_ROWS = 256
 
@@ -194,32 +195,29 @@ def edited(text: str, following: str) -> str:
 def with_edited(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Texts are dealt out once, by ranges of ids cut at quantiles, so that every document is
+    Texts are dealt out once, by ranges of ids cut at quantiles, a partition each, so that every document is
     beside the next but for each range's last; for that the first document of the range after it is
-    sent along, one for each range.
+    sent along. The cuts are ids of the table, so that document is known by its id alone.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # null ids come last
-    n = min(partitions(spark), RANGES_MOST)
-    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []))
-    chunk = F.lit(0)
-    for cut in cuts if len(cuts) < 64 else []:
-        chunk = chunk + (key < cut).cast("int")
-    if len(cuts) >= 64:
-        chunk = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > key))
-    placed = rows.withColumn("chunk", chunk)
-    # the first row of each range, for the end of the range before it
-    heads = placed.groupBy("chunk").agg(F.max("doc_id").alias("head")).collect()  # one row a range
-    heads = sorted((r["chunk"], r["head"]) for r in heads)
-    if not heads:
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long")  # null ids come last
+    whole = rows.agg(F.max(key).alias("most"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if whole["most"] is None:
         return spark.createDataFrame([], StructType([rows.schema[0], *EDITED]))
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    by_chunk = F.create_map(*[F.lit(x) for c, h in heads for x in (c, h)])
-    is_head = F.col("doc_id").eqNullSafe(by_chunk[F.col("chunk")])
-    halo = placed.filter(is_head).groupBy("chunk").agg(F.min("text").alias("text")).select(by_chunk[F.col("chunk")].alias("doc_id"), "text", to[F.col("chunk")].alias("chunk"), F.lit(1).alias("halo"))
-    dealt = placed.select("doc_id", "text", "chunk", F.lit(0).alias("halo")).unionByName(halo.select("doc_id", "text", "chunk", "halo"))
-    dealt = dealt.repartition(n, "chunk").sortWithinPartitions("chunk", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    n = max(partitions(spark), -(-whole["bytes"] // RANGE_BYTES))
+    shares = F.lit(np.arange(1, n + 1) / n)
+    found = rows.agg(F.percentile_approx(key, shares, max(10_000, 4 * n)).alias("q")).first()["q"]
+    cuts = np.array(sorted({*found, whole["most"]}), np.int64)
+
+    @F.pandas_udf("array<int>")
+    def ranges(keys: pd.Series) -> pd.Series:
+        """The range of each id and, of a range's greatest id, the one whose last document it follows."""
+        ids = keys.to_numpy(np.int64)
+        at = np.searchsorted(cuts, ids)
+        return pd.Series([[i, (i + 1) % len(cuts)] if lead else [i] for i, lead in zip(at.tolist(), (cuts[at] == ids).tolist())])
+
+    dealt = rows.select("doc_id", "text", F.posexplode(ranges(key)).alias("halo", "chunk")).select("doc_id", "text", "chunk", "halo")
+    dealt = dealt.repartitionById(len(cuts), "chunk").sortWithinPartitions("chunk", "halo", F.col("doc_id").desc_nulls_last(), "text")
     schema = StructType([rows.schema[0], *EDITED])
     arrow = to_arrow_schema(schema)
 

@@ -222,3 +222,16 @@ def test_numerals_are_no_letters(spark):
     df = spark.createDataFrame([*rows, (90, "½ ² 3", None), (91, "Ⅳ", "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(df, li.train(df)).collect()}
     assert got[90] == got[91] == ("und", 0.0)
+
+
+def test_many_ranges_of_ids(spark, monkeypatch):
+    """Ranges by bytes, more than there are rows, ids that repeat at their cuts, and every row in one place."""
+    monkeypatch.setattr(fp, "RANGE_BYTES", 20)
+    rows = [(i // 3, f"text {i} of some letters") for i in range(120)] + [(None, "x"), (None, None)]
+    got = fp.with_edited(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t = t or ""
+        want.append((i, hashlib.sha256((t[: len(t) - len(t) // 3] + (after or "")[: len(t) // 3]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
