@@ -17,7 +17,6 @@ table are ignored (``scan``) or passed on (``remove``).
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -97,6 +96,10 @@ RESULT = StructType(
 )
 
 
+#: What blocks of windows find in a text is put together.
+FOUND = ("hit_starts", "hit_ends", "items")
+
+
 def _scanner(windows: WindowSet):
     """Makes the text function: for each row its number of words, its hit spans in words and bytes, and the items."""
 
@@ -164,22 +167,19 @@ def _union_spans(starts, ends, n_words):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, items (sorted as strings), hit_starts, hit_ends (word spans)."""
-    parts = []
+    """One row for each document: doc_id, n_words, n_hit, items (sorted as strings), hit_starts, hit_ends (word spans).
+
+    Each block of windows reads a text as the block before passed it on, in one task: one scan of the documents and no shuffle.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sets = list(_blocks(benchmark, item_id, item_text, n, block_windows))
-    if len(sets) > 1:
-        rows = rows.withColumn("row_id", F.monotonically_increasing_id())
-    for windows in sets:
-        parts.append(map_text(rows, "text", _scanner(windows), RESULT, [c for c in rows.columns if c != "text"]))
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionAll(part)
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = every.groupBy("row_id", "doc_id", "n_words").agg(flat("hit_starts"), flat("hit_ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    sets = list(_blocks(benchmark, item_id, item_text, n, block_windows))  # as large as the benchmark
+    for i, windows in enumerate(sets):
+        text_on = ["text"] if i + 1 < len(sets) else []
+        made = map_text(rows, "text", _scanner(windows), RESULT, ["doc_id", *text_on, *[f"before_{c}" for c in FOUND if i]])
+        every = {c: F.concat(f"before_{c}", c) if i else F.col(c) for c in FOUND}
+        every["items"] = F.array_sort(F.array_distinct(every["items"])) if i else every["items"]
+        rows = made.select("doc_id", *text_on, "n_words", *[value.alias(f"before_{c}") for c, value in every.items()])
+    found = rows.select("doc_id", "n_words", *[F.col(f"before_{c}").alias(c) for c in FOUND])
     return found.select("doc_id", "n_words", _union_spans(F.col("hit_starts"), F.col("hit_ends"), F.col("n_words")).alias("n_hit"), "items", "hit_starts", "hit_ends")
 
 
@@ -213,8 +213,3 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text: str = "t
         left = F.array_join(F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")), "")
         kept = made.withColumn(text, F.when(hits, left).otherwise(F.col(f"`{text}`"))).drop(name)
     return kept
-
-
-def items_digest(items) -> str:
-    """What ``items_sha256`` holds for these item ids."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

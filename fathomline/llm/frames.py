@@ -24,8 +24,3 @@ def fits_broadcast(df: DataFrame, most_bytes: int, row_bytes: int) -> bool:
     """Whether the rows of ``df`` are few enough to send to every executor (counted, not guessed)."""
     most = math.ceil(most_bytes / row_bytes)
     return df.limit(most + 1).count() <= most
-
-
-def like_documents(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` in their order."""
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
