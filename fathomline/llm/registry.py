@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, substring_dedup, warc
+from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, substring_dedup, warc, wavelet_rank
 from fathomline.llm.frames import fold, read_table
 
 
@@ -59,6 +59,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = wavelet_rank.build(spark, read_table(spark, sf_dir, "documents"))
+    return wavelet_rank.search(spark, index, read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -70,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op2_benchmark_decontamination": sql.DECONTAMINATION,
     "op7_warc": sql.WARC,
+    "op13_ranked_lexical_search": sql.RANKED,
 }

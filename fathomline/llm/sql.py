@@ -43,3 +43,19 @@ c AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
 SELECT n.doc_id, CAST(len(n.s) AS BIGINT) AS n_shingles, coalesce(c.component, n.doc_id) AS component_id
 FROM n LEFT JOIN u ON n.s = u.s AND u.n > 0 LEFT JOIN c ON u.rep = c.x
 """
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT r, unnest(w) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM e GROUP BY ALL),
+dn AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+t AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM dn),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+it AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_ALNUM.format("coalesce(text, '')")}) AS term FROM i) GROUP BY ALL),
+w AS (SELECT item_id, term, q, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM it JOIN df USING (term), t),
+m AS (SELECT r, doc_id, CAST(25 + (75 * n * big_n) // big_l AS BIGINT) AS m FROM dn, t),
+s AS (SELECT item_id, r, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM w JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
