@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, ngram_join, packing, quality, sql, substring_dedup, warc, wavelet_rank
+from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, multi_index, ngram_join, packing, quality, sql, substring_dedup, warc, wavelet_rank
 from fathomline.llm.frames import fold, read_table
 
 
@@ -59,6 +59,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark, read_table(spark, sf_dir, "embeddings"), asks=F.col("id") % 100 == 0)
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = wavelet_rank.build(spark, read_table(spark, sf_dir, "documents"))
     return wavelet_rank.search(spark, index, read_table(spark, sf_dir, "benchmark"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
