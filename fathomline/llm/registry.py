@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm import decontaminate, fingerprint, html_text, language_id, licenses, multi_index, ngram_join, packing, quality, sql, substring_dedup, warc, wavelet_rank
+from fathomline.llm import conversation_repair, decontaminate, fingerprint, html_text, language_id, licenses, multi_index, ngram_join, packing, quality, sql, substring_dedup, warc, wavelet_rank
 from fathomline.llm.frames import fold, read_table
 
 
@@ -63,6 +63,11 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(spark, read_table(spark, sf_dir, "embeddings"), asks=F.col("id") % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(rows, conversation_repair.audit(rows))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = wavelet_rank.build(spark, read_table(spark, sf_dir, "documents"))
     return wavelet_rank.search(spark, index, read_table(spark, sf_dir, "benchmark"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
