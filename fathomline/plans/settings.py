@@ -66,6 +66,17 @@ RULES = {
     "start_time": Rule(text=".*", null=True),
     "end_time": Rule(text=".*", null=True),
     "model_size": Rule(text=".*", null=True),
+    "model_path": Rule(text=".*", null=True),
+    "video_path": Rule(text=".*", null=True),
+    "per_eye_width": Rule(whole=(0, 1_000_000)),
+    "per_eye_height": Rule(whole=(0, 1_000_000)),
+    "vr_output_width": Rule(whole=(0, 1_000_000)),
+    "vr_output_height": Rule(whole=(0, 1_000_000)),
+    "source_width": Rule(whole=(0, 1_000_000)),
+    "source_height": Rule(whole=(0, 1_000_000)),
+    "enable_live_preview": Rule(flag=True),
+    "preview_update_interval": Rule(number=(0.0, 1_000_000.0)),
+    "verbose": Rule(flag=True),
 }
 
 

@@ -25,6 +25,18 @@ def test_rules_hold_types_and_bounds(spark):
     assert got == cases | {None: ["unreadable"]}
 
 
+def test_optional_settings_have_rules(spark):
+    sizes = ["per_eye_width", "per_eye_height", "vr_output_width", "vr_output_height", "source_width", "source_height"]
+    good = {**{k: 1920 for k in sizes}, "enable_live_preview": True, "verbose": False, "preview_update_interval": 2, "model_path": None, "video_path": "a.mp4", "temporal_postprocessor": "off"}
+    bad = {**{k: None for k in sizes}, "enable_live_preview": 1, "verbose": "no", "preview_update_interval": -0.5, "model_path": 1, "video_path": True}
+    rows = [(json.dumps(good), 4)] + [(json.dumps({**good, k: v}), 4) for k, v in bad.items()]
+    got = {r.doc: r for r in settings.migrate(spark.createDataFrame(rows, "doc string, version int"), "doc", "version").collect()}
+    assert got[rows[0][0]].problem is None and got[rows[0][0]].settings["per_eye_width"] == "1920"
+    assert [got[doc].problem for doc, _ in rows[1:]] == list(bad)
+    older = settings.migrate(spark.createDataFrame([(json.dumps({"verbose": True, "zzz": 1}), 2)], "doc string, version int"), "doc", "version").first()
+    assert older.settings["verbose"] == "true" and older.removed_settings == ["zzz"]
+
+
 def test_migration_turns_newer_versions_away(spark):
     rows = [('{"zzz": 1}', None), ('{"zzz": 1}', 4), ("{}", 4), ('{"temporal_postprocessor": "off"}', 4), ("{}", 5), ("{}", 0)]
     out = settings.migrate(spark.createDataFrame(rows, "doc string, version int").coalesce(1), "doc", "version")
