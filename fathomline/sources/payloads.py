@@ -45,11 +45,6 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_DEPTH).parquet(path).select("clip_id", "frame_idx", "values")
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Metadata as JSON lines in the place of what was there; Spark's commit shows all of it or nothing."""
-    df.write.mode("overwrite").json(path)
-
-
 def probe_record(document: Column) -> Column:
     """width, height, fps, frame_count, duration, codec and sample aspect of the first video stream of a probe's report; null without one.
 

@@ -55,9 +55,6 @@ def test_raw_depth_scan(spark, tmp_path):
         payloads.read_raw_depth(spark, path, (1, 2), "<f4").collect()
     assert payloads.read_raw_depth(spark, path, (1, 2)).filter("frame_idx = 0").first()["values"] == [0.5, 1.0]
     assert payloads.read_maps(spark, path).columns == ["clip_id", "frame_idx", "values"]
-    df = spark.createDataFrame([("a",)], "k string")
-    payloads.write_documents(df, f"file://{tmp_path}/doc")
-    assert spark.read.json(f"file://{tmp_path}/doc").collect() == df.collect()
 
 
 def test_kept_patterns(spark):
