@@ -1,4 +1,4 @@
-"""Stage graphs, audits and manifests (B-01, B-05, B-06, B-09). Orders and customers stand in for jobs, line items for files."""
+"""Stage graphs, audits and manifests (B-01, B-05, B-06, B-09). Documents and conversations stand in for jobs, turns for files."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ _GRAPH_SQL = f"""
 WITH RECURSIVE o(i, stage) AS (VALUES {_STAGES_SQL}),
 e(n, i, up, accepted, reason, otherwise, mode) AS (VALUES {_EDGES_SQL}),
 es AS (SELECT i, list({{'up': up, 'accepted': accepted, 'reason': reason, 'otherwise': otherwise, 'mode': mode}} ORDER BY n) AS needs FROM e GROUP BY i),
-own AS (SELECT c_custkey AS job_id, o.i, needs, (c_custkey * 7 + o.i * 3) % 19 AS k FROM customer, o LEFT JOIN es ON es.i = o.i),
+own AS (SELECT doc_id AS job_id, o.i, needs, (doc_id * 7 + o.i * 3) % 19 AS k FROM documents, o LEFT JOIN es ON es.i = o.i),
 v AS (SELECT job_id, i, needs, CASE WHEN k < 3 THEN 'missing' WHEN k = 3 THEN 'invalidate' WHEN k < 6 THEN 'resume' ELSE 'preserve' END AS state, CASE WHEN k < 3 THEN 'absent' WHEN k < 6 THEN 'check ' || k ELSE 'reusable' END AS reason FROM own),
-r AS (SELECT c_custkey AS job_id, ['relative', 'metric', 'stabilized'][c_custkey % 3 + 1] AS mode, -1 AS i, CAST([] AS VARCHAR[]) AS states, '' AS reason FROM customer
+r AS (SELECT doc_id AS job_id, ['relative', 'metric', 'stabilized'][doc_id % 3 + 1] AS mode, -1 AS i, CAST([] AS VARCHAR[]) AS states, '' AS reason FROM documents
   UNION ALL SELECT job_id, mode, i, list_append(states, CASE WHEN state = 'missing' THEN state WHEN lost IS NOT NULL THEN lost.otherwise WHEN state = 'preserve' AND held IS NOT NULL THEN held.otherwise ELSE state END),
     CASE WHEN state = 'missing' THEN own_reason WHEN lost IS NOT NULL THEN lost.reason WHEN state = 'preserve' AND held IS NOT NULL THEN held.reason ELSE own_reason END
   FROM (SELECT r.job_id, r.mode, v.i, r.states, v.state, v.reason AS own_reason, {_UNMET.format('invalidate')} AS lost, {_UNMET.format('resume')} AS held FROM r JOIN v ON v.job_id = r.job_id AND v.i = r.i + 1))
@@ -31,8 +31,8 @@ SELECT job_id, o.stage, states[-1] AS state, reason FROM r JOIN o ON o.i = r.i
 @query("b01_stage_graph", _GRAPH_SQL)
 def b01_graph(spark, sf):
     """All stages of each job, from the frames on, by the table of edges; what stages say by themselves is made up from ids."""
-    job = F.col("c_custkey")
-    each = table(spark, sf, "customer").select(job.alias("job_id"), F.get(F.array(*map(F.lit, ("relative", "metric", "stabilized"))), (job % 3).cast("int")).alias("mode"), F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i).alias("i")) for s, i in _PLACE.items()])))
+    job = F.col("doc_id")
+    each = table(spark, sf, "documents").select(job.alias("job_id"), F.get(F.array(*map(F.lit, ("relative", "metric", "stabilized"))), (job % 3).cast("int")).alias("mode"), F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(i).alias("i")) for s, i in _PLACE.items()])))
     k = (F.col("job_id") * 7 + F.col("i") * 3) % 19
     checks = [stages.Check("check 3", k != 3), stages.Check("check 4", k != 4, stages.RESUME), stages.Check("check 5", k != 5, stages.RESUME)]
     own = each.select("job_id", "stage", "mode", stages.judged(k >= 3, checks).alias("verdict"))
@@ -42,42 +42,40 @@ def b01_graph(spark, sf):
 _CHECKED = [*stages.CANONICAL, "frame_names", "num_frames", "source_raw_fingerprint", "source_model_fingerprint", "scene_manifest_fingerprint", "depth_bounds_fingerprint", "fingerprint"]
 
 
-@query("b05_b06_canonical_audit", f"""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS fits FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN o_orderkey % 20 < 14 THEN 'invalidate' WHEN fits < n OR n < o_custkey % 3 + 3 THEN 'resume' WHEN n > o_custkey % 3 + 3 THEN 'resume' ELSE 'preserve' END AS state,
-CASE WHEN n IS NULL THEN 'absent' WHEN o_orderkey % 20 < 14 THEN {_CHECKED}[o_orderkey % 20 + 1] WHEN fits < n THEN 'payload will be regenerated' WHEN n <> o_custkey % 3 + 3 THEN 'partly complete' ELSE 'reusable' END AS reason
-FROM orders LEFT JOIN l ON k = o_orderkey""")
+@query("b05_b06_canonical_audit", f"""WITH l AS (SELECT conv_id, count(*) AS n, count(*) FILTER (len(text) >= 40) AS fits FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 20 < 14 THEN 'invalidate' WHEN fits < n OR n <> conv_id % 3 + 2 THEN 'resume' ELSE 'preserve' END AS state,
+CASE WHEN conv_id % 20 < 14 THEN {_CHECKED}[conv_id % 20 + 1] WHEN fits < n THEN 'payload will be regenerated' WHEN n <> conv_id % 3 + 2 THEN 'partly complete' ELSE 'reusable' END AS reason FROM l""")
 def b05_b06(spark, sf):
-    """Canonical documents of orders, one field of most of them spoiled, held to the 14 checks and to their files."""
-    k = F.col("o_orderkey") % 20
-    as_text = lambda c: F.col(c).cast("string")
-    value = {**{n: F.lit(v) for n, v in stages.CANONICAL.items()}, "frame_names": F.array(as_text("o_orderstatus"), as_text("o_orderpriority")), "num_frames": F.lit(2), "source_raw_fingerprint": as_text("o_custkey"), "source_model_fingerprint": as_text("o_totalprice"), "scene_manifest_fingerprint": as_text("o_orderkey"), "depth_bounds_fingerprint": as_text("o_orderdate")}
-    spoiled = {"num_frames": F.lit(3), "near_value": F.lit(0.25), "far_value": F.lit(0.25), "encoding_scale": F.lit(1.0), "schema_version": F.lit(7), "algorithm_version": F.lit(7), "frame_names": F.array(as_text("o_orderpriority"), as_text("o_orderstatus"))}
+    """Canonical documents of conversations, one field of most of them spoiled, held to the 14 checks and to their files (turns; short ones don't fit)."""
+    k = F.col("conv_id") % 20
+    mark = lambda kind: F.concat(F.lit(f"{kind} "), F.col("conv_id").cast("string"))
+    value = {**{n: F.lit(v) for n, v in stages.CANONICAL.items()}, "frame_names": F.array(mark("a"), mark("b")), "num_frames": F.lit(2), "source_raw_fingerprint": mark("raw"), "source_model_fingerprint": mark("model"), "scene_manifest_fingerprint": mark("scenes"), "depth_bounds_fingerprint": mark("bounds")}
+    spoiled = {"num_frames": F.lit(3), "near_value": F.lit(0.25), "far_value": F.lit(0.25), "encoding_scale": F.lit(1.0), "schema_version": F.lit(7), "algorithm_version": F.lit(7), "frame_names": F.array(mark("b"), mark("a"))}
     fields = [F.when(k == i, spoiled.get(n, F.lit("other"))).otherwise(v).alias(n) for i, (n, v) in enumerate(value.items())]
-    orders = table(spark, sf, "orders").withColumn("doc", manifests.sealed(F.to_json(F.struct(*fields))))
-    orders = orders.withColumn("doc", F.when(k == 13, F.concat(F.lit('{"note": 1, '), F.substring("doc", 2, 1 << 20))).otherwise(F.col("doc"))).withColumn("hash", manifests.self_hash(F.col("doc")))
-    files = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("fits"))
+    jobs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("text") >= 40, 1)).alias("fits"))
+    jobs = jobs.withColumn("doc", manifests.sealed(F.to_json(F.struct(*fields))))
+    jobs = jobs.withColumn("doc", F.when(k == 13, F.concat(F.lit('{"note": 1, '), F.substring("doc", 2, 1 << 20))).otherwise(F.col("doc"))).withColumn("hash", manifests.self_hash(F.col("doc")))
     schema = "schema_version int, algorithm_version int, representation string, near_value double, far_value double, encoding string, encoding_scale double, frame_names array<string>, num_frames int, source_raw_fingerprint string, source_model_fingerprint string, scene_manifest_fingerprint string, depth_bounds_fingerprint string, fingerprint string"
-    both = orders.join(files, "o_orderkey", "left").withColumn("d", F.from_json("doc", schema))
     checks = stages.canonical_checks(F.col("d"), F.col("hash"), value["frame_names"], value["source_raw_fingerprint"], value["source_model_fingerprint"], value["scene_manifest_fingerprint"], value["depth_bounds_fingerprint"])
-    checks += stages.payload_checks(F.col("o_custkey") % 3 + 3, F.col("n"), F.col("fits"))
-    return both.select("o_orderkey", stages.judged(F.col("n").isNotNull(), checks).alias("v")).select("o_orderkey", "v.state", "v.reason")
+    checks += stages.payload_checks(F.col("conv_id") % 3 + 2, F.col("n"), F.col("fits"))
+    return jobs.withColumn("d", F.from_json("doc", schema)).select("conv_id", stages.judged(F.col("n") > 0, checks).alias("v")).select("conv_id", "v.state", "v.reason")
 
 
-@query("b09_manifests", """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linestatus AS h, sha256(CAST(l_linenumber AS VARCHAR) || chr(0) || 'frame_' || lpad(CAST(l_linenumber AS VARCHAR), 6, '0') || '.png') AS d FROM lineitem),
-a AS (SELECT k, count(*) AS n, count(DISTINCT i) AS dn, min(i) AS lo, max(i) AS hi, min(h) = max(h) AS even FROM s GROUP BY k),
-b AS (SELECT k, count(*) AS n, sha256(count(*) || ':' || sum(CAST('0x' || d[1:8] AS BIGINT)) || ':' || sum(CAST('0x' || d[9:16] AS BIGINT)) || ':' || sum(CAST('0x' || d[17:24] AS BIGINT)) || ':' || sum(CAST('0x' || d[25:32] AS BIGINT))) AS digest FROM s WHERE NOT (k % 7 = 0 AND i = 1) GROUP BY k),
-r AS (SELECT o_orderkey, digest, CASE WHEN b.k IS NULL THEN 'absent' WHEN NOT (a.n = o_custkey % 3 + 3 AND dn = a.n AND lo = 1 AND hi = a.n AND even) THEN 'manifest is missing' WHEN o_orderkey % 5 = 0 THEN 'identity changed' WHEN o_orderkey % 7 = 0 THEN 'files changed' ELSE 'reusable' END AS reason FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN b ON b.k = o_orderkey)
-SELECT o_orderkey, digest, CASE reason WHEN 'absent' THEN 'missing' WHEN 'reusable' THEN 'preserve' ELSE 'invalidate' END AS state, reason FROM r""")
+@query("b09_manifests", """WITH s AS (SELECT conv_id AS k, turn + 1 AS i, conv_id % 11 = 0 AND turn = 1 AS odd, sha256(CAST(turn + 1 AS VARCHAR) || chr(0) || 'frame_' || lpad(CAST(turn + 1 AS VARCHAR), 6, '0') || '.png') AS d FROM conversations),
+a AS (SELECT k, count(*) AS n, count(DISTINCT i) AS dn, min(i) AS lo, max(i) AS hi FROM s GROUP BY k),
+b AS (SELECT k, bool_or(odd) AND NOT bool_and(odd) AS uneven, sha256(count(*) || ':' || sum(CAST('0x' || d[1:8] AS BIGINT)) || ':' || sum(CAST('0x' || d[9:16] AS BIGINT)) || ':' || sum(CAST('0x' || d[17:24] AS BIGINT)) || ':' || sum(CAST('0x' || d[25:32] AS BIGINT))) AS digest FROM s WHERE NOT (k % 7 = 0 AND i = 1) GROUP BY k),
+r AS (SELECT a.k AS conv_id, digest, CASE WHEN b.k IS NULL THEN 'absent' WHEN NOT (dn = a.n AND lo = 1 AND hi = a.n AND a.n <> 5) THEN 'manifest is missing' WHEN a.k % 5 = 0 THEN 'identity changed' WHEN a.k % 7 = 0 THEN 'files changed' WHEN uneven THEN 'invalid output header' ELSE 'reusable' END AS reason FROM a LEFT JOIN b ON b.k = a.k)
+SELECT conv_id, digest, CASE reason WHEN 'absent' THEN 'missing' WHEN 'reusable' THEN 'preserve' ELSE 'invalidate' END AS state, reason FROM r""")
 def b09(spark, sf):
-    """Manifests of whole orders, held to files and settings some of which changed afterwards; and the digest of the files that there are."""
-    key = F.col("o_orderkey")
-    name = F.format_string("frame_%06d.png", F.col("l_linenumber"))
-    files = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("frame_idx"), name.alias("name"), F.struct(F.col("l_linestatus").alias("status")).alias("header"))
-    document = lambda clerk: F.to_json(F.struct(F.lit("crop").alias("stage"), clerk.alias("source")))
-    orders = table(spark, sf, "orders")
-    then = orders.select("o_orderkey", (F.col("o_custkey") % 3 + 3).alias("expected"), document(F.col("o_orderdate").cast("string")).alias("document"))
-    now = orders.select("o_orderkey", document(F.when(key % 5 == 0, "other").otherwise(F.col("o_orderdate").cast("string"))).alias("document"))
-    left = files.filter(~((key % 7 == 0) & (F.col("frame_idx") == 1)))
-    states = manifests.reusable(now, manifests.complete(files, then, ["o_orderkey"]), left, ["o_orderkey"])
-    digests = left.groupBy("o_orderkey").agg(manifests.file_digest(F.col("frame_idx"), [F.col("name")]).alias("digest"))
-    return states.join(digests, "o_orderkey", "left").select("o_orderkey", "digest", "state", "reason")
+    """Manifests of whole conversations, held to turns and settings some of which changed afterwards; and the digest of the turns that there are."""
+    key = F.col("conv_id")
+    turns = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("frame_idx"))
+    named = lambda height: turns.select("conv_id", "frame_idx", F.format_string("frame_%06d.png", F.col("frame_idx")).alias("name"), F.struct(F.lit(64).alias("width"), height.alias("height")).alias("header"))
+    document = lambda source: F.to_json(F.struct(F.lit("crop").alias("stage"), F.struct(F.lit(0.5).alias("factor")).alias("settings"), source.alias("source")))
+    jobs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    then = jobs.select("conv_id", F.when(F.col("n") == 5, 6).otherwise(F.col("n")).alias("expected"), document(key.cast("string")).alias("document"))
+    now = jobs.select("conv_id", document(F.when(key % 5 == 0, "other").otherwise(key.cast("string"))).alias("document"))
+    left = named(F.when((key % 11 == 0) & (F.col("frame_idx") == 2), 47).otherwise(48)).filter(~((key % 7 == 0) & (F.col("frame_idx") == 1)))
+    states = manifests.reusable(now, manifests.complete(named(F.lit(48)), then, ["conv_id"]), left, ["conv_id"])
+    digests = left.groupBy("conv_id").agg(manifests.file_digest(F.col("frame_idx"), [F.col("name")]).alias("digest"))
+    return states.join(digests, "conv_id", "left").select("conv_id", "digest", "state", "reason")
