@@ -133,6 +133,28 @@ def b14(spark, sf):
     return cat.overall_progress(s, "clip_id", "frame_idx", "w", "sh").select("clip_id", "frame_idx", F.round("progress", 6).alias("progress"))
 
 
+_EVERY = 150_000_000
+_THROTTLE_SQL = f"""
+WITH RECURSIVE e AS (SELECT doc_id // 50 AS job_id, (doc_id % 50 * 60 + n_chars % 97) * 1000000 AS t, n_chars % 100 / 100.0::DOUBLE AS p FROM documents WHERE n_chars IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, p) AS k FROM e),
+r AS (SELECT job_id, 0 AS k, CAST(NULL AS BIGINT) AS last, false AS held, 0.0::DOUBLE AS best, CAST([] AS STRUCT(t BIGINT, p DOUBLE)[]) AS said FROM (SELECT DISTINCT job_id FROM o)
+  UNION ALL SELECT job_id, k, CASE WHEN now IS NULL OR t >= now + {_EVERY} THEN t ELSE now END, now IS NOT NULL AND t < now + {_EVERY}, greatest(best, p),
+    list_concat(CASE WHEN fires THEN [{{'t': now, 'p': best}}] ELSE [] END, CASE WHEN now IS NULL OR t >= now + {_EVERY} THEN [{{'t': t, 'p': greatest(best, p)}}] ELSE [] END)
+  FROM (SELECT r.job_id, o.k, o.t, o.p, r.best, r.held AND r.last + {_EVERY} < o.t AS fires, CASE WHEN r.held AND r.last + {_EVERY} < o.t THEN r.last + {_EVERY} ELSE r.last END AS now FROM r JOIN o ON o.job_id = r.job_id AND o.k = r.k + 1)),
+z AS (SELECT job_id, last + {_EVERY} AS t, best AS p FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS b FROM r) WHERE b = 1 AND held)
+SELECT job_id, t // 1000000 AS second, p AS progress FROM (SELECT job_id, s.t AS t, s.p AS p FROM (SELECT job_id, unnest(said) AS s FROM r) UNION ALL SELECT * FROM z)
+"""
+
+
+@query("b14_throttled_progress", _THROTTLE_SQL)
+def b14_throttled(spark, sf):
+    """What is said of jobs of 50 documents: one event in 150 seconds at most, progress that never falls, and the last event always."""
+    at = F.timestamp_seconds(F.col("doc_id") % 50 * 60 + F.col("n_chars") % 97)
+    events = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 50).alias("job_id"), at.alias("at"), (F.col("n_chars") % 100 / 100.0).alias("p"))
+    said = progress.throttled(events, "job_id", "at", "p", F.lit(False), _EVERY)
+    return said.select("job_id", F.unix_seconds("said_at").alias("second"), "progress")
+
+
 @query("b11_b12_b16_resumable_jobs", "WITH f AS (SELECT o_custkey AS job_id, bool_or(o_orderkey % 3 = 0) AS frames, bool_or(o_orderkey % 13 = 0) AS fin FROM orders GROUP BY o_custkey) SELECT c_custkey AS job_id, c_acctbal AS modified FROM customer JOIN f ON c_custkey = job_id WHERE frames AND NOT fin")
 def b16(spark, sf):
     jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_acctbal").alias("modified"))
