@@ -24,6 +24,15 @@ def crop_square(df: DataFrame, width: int, height: int, factor: float) -> DataFr
     return df.filter(F.col("col").between(x0, x1 - 1) & F.col("row").between(y0, y1 - 1)).withColumns({"col": F.col("col") - x0, "row": F.col("row") - y0})
 
 
+def crop_square_to(df: DataFrame, width: int, height: int, factor: float, target_width: int, target_height: int, by: list[str], value: str) -> DataFrame:
+    """The square around the inscribed circle, brought to a size by bilinear means of places with aligned areas: by, out_row, out_col, out."""
+    x0, y0, x1, y1 = square_crop(width, height, factor)
+    size = (x1 - x0, y1 - y0) if x1 > x0 and y1 > y0 else (width, height)
+    grid = target_grid(df.sparkSession, target_width, target_height)
+    tapped = taps(grid, resize_coordinates(F.col("out_col"), size[0], target_width), resize_coordinates(F.col("out_row"), size[1], target_height), *size, "edge")
+    return sample(crop_square(df, width, height, factor), tapped, by, F.col(value))
+
+
 def side_by_side(left: DataFrame, right: DataFrame, width: int, height: int, layout: str = "side_by_side") -> DataFrame:
     """Both eyes in one frame; an unknown layout is side by side."""
     moved = right.withColumn("row", F.col("row") + height) if layout == "over_under" else right.withColumn("col", F.col("col") + width)

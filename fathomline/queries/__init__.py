@@ -42,4 +42,4 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(F.col("i") < SIDE * SIDE).select("frame", "label", F.floor(F.col("i") / SIDE).cast("int").alias("row"), (F.col("i") % SIDE).cast("int").alias("col"), F.col("x").cast("double").alias("v"))
 
 
-from fathomline.queries import catalogue, pixel_work, resume, scalar, scenes, sequence, statistic, stores  # noqa: E402, F401
+from fathomline.queries import catalogue, jobs, pixel_work, resume, scalar, scenes, sequence, statistic, stores  # noqa: E402, F401

@@ -19,6 +19,16 @@ def p13(spark, sf):
     return px.crop_square(pixels(spark, sf), SIDE, SIDE, 0.6).select("frame", "row", "col", "v")
 
 
+@query("p13_square_crop_resized", f"""WITH {PIXELS_SQL}, q AS (SELECT frame, "row" - 2 AS r, col - 2 AS c, v FROM p WHERE "row" BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5),
+g AS (SELECT i // 6 AS out_row, i % 6 AS out_col, greatest(0.0::DOUBLE, least(3.0::DOUBLE, (i // 6 + 0.5::DOUBLE) * (4 / 6.0::DOUBLE) - 0.5)) AS y, greatest(0.0::DOUBLE, least(3.0::DOUBLE, (i % 6 + 0.5::DOUBLE) * (4 / 6.0::DOUBLE) - 0.5)) AS x FROM range(36) AS r(i)),
+t AS (SELECT CAST(out_row AS INTEGER) AS out_row, CAST(out_col AS INTEGER) AS out_col, least(3, CAST(floor(y) AS INTEGER) + dy) AS ty, least(3, CAST(floor(x) AS INTEGER) + dx) AS tx, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS wt FROM g, range(2) AS a(dx), range(2) AS b(dy))
+SELECT frame, out_row, out_col, round(sum(wt * v), 8) AS v FROM q JOIN t ON r = ty AND c = tx WHERE wt > 0 GROUP BY ALL""")
+def p13_resized(spark, sf):
+    """The square around the inscribed circle, enlarged from 4 x 4 to 6 x 6."""
+    out = px.crop_square_to(pixels(spark, sf), SIDE, SIDE, 0.6, 6, 6, ["frame"], "v")
+    return out.select("frame", "out_row", "out_col", F.round("out", 8).alias("v"))
+
+
 @query("p14_assembled_views", f"WITH {PIXELS_SQL} SELECT frame, \"row\", col, v FROM p UNION ALL SELECT frame, \"row\", col + 8, -v FROM p")
 def p14(spark, sf):
     left = pixels(spark, sf).select("frame", "row", "col", "v")

@@ -10,6 +10,7 @@ for others there are ``frames.read_frames`` and ``frames.png_header`` on Spark's
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zipfile
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -205,8 +206,48 @@ class NpzMaps(DataSource):
         return NpzMapReader(self.options)
 
 
+class HashReader(_Reader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.extensions = tuple(options["extensions"].split(",")) if options.get("extensions") else ("",)
+        self.chunk = int(options.get("chunkBytes", 1 << 20))
+
+    def rows(self, store, path, size, changed):
+        sha = hashlib.sha256()
+        with store.open_input_file(path) as f:
+            while data := f.read(self.chunk):
+                sha.update(data)
+        yield path, path.rsplit("/", 1)[-1], size, changed, sha.hexdigest()
+
+
+class FileHashes(DataSource):
+    """path, name, length, modified and sha256 of the files under a path, read in chunks. Options: ``extensions`` (.png,.json), ``chunkBytes``, ``filesPerPartition``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_hashes"
+
+    def schema(self) -> str:
+        return "path string, name string, length long, modified timestamp, sha256 string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return HashReader(self.options)
+
+
+def verified_shots(records: DataFrame, files: DataFrame, by: list[str]) -> DataFrame:
+    """by, state, reason: shots whose recorded files (by, name, sha256) are all there (``files``: name, sha256) and are what was recorded.
+
+    One file of a shot that is absent makes it pending, one that differs makes it invalid. A shot's files are never gathered, only counted.
+    """
+    there = files.select("name", F.col("sha256").alias("__there"))
+    seen = records.join(there, "name", "left").groupBy(*by).agg(F.count(F.when(F.col("__there").isNull(), 1)).alias("absent"), F.count(F.when(F.col("__there") != F.col("sha256"), 1)).alias("other"), F.min(F.when(F.col("__there") != F.col("sha256"), F.col("name"))).alias("which"))
+    reason = F.when(F.col("other") > 0, F.concat(F.lit("hash mismatch: "), "which")).when(F.col("absent") > 0, "files are absent").otherwise("files match")
+    state = F.when(F.col("other") > 0, "invalid").when(F.col("absent") > 0, "pending").otherwise("reusable")
+    return seen.select(*by, state.alias("state"), reason.alias("reason"))
+
+
 def register(spark: SparkSession) -> None:
-    for source in (PngHeaders, NpzMaps):
+    for source in (PngHeaders, NpzMaps, FileHashes):
         spark.dataSource.register(source)
 
 
@@ -218,3 +259,8 @@ def read_png_headers(spark: SparkSession, folder: str, **options: str) -> DataFr
 def read_npz_maps(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     register(spark)
     return spark.read.format(NpzMaps.name()).options(**options).load(folder)
+
+
+def read_file_hashes(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    register(spark)
+    return spark.read.format(FileHashes.name()).options(**options).load(folder)

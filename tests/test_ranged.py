@@ -128,3 +128,17 @@ def test_only_the_member_asked_for_is_read(tmp_path):
     assert len(rows) == 1 and read < 20_000 < os.path.getsize(tmp_path / "d_1.npz")
     np.savez(tmp_path / "d_1.npz", values=np.ones((1000, 1000), "<f4"))
     assert counted(ranged.NpzMapReader({"path": str(tmp_path), "headers": "true"}), tmp_path)[1] < 20_000
+
+
+def test_shots_are_verified_by_the_hashes_of_their_files(spark, tmp_path):
+    import hashlib
+
+    for i in range(6):
+        (tmp_path / f"f_{i}.png").write_bytes(bytes([i]) * (i * 1000))
+    digest = lambda i: hashlib.sha256(bytes([i]) * (i * 1000)).hexdigest()
+    files = ranged.read_file_hashes(spark, f"file://{tmp_path}", extensions=".png", chunkBytes="700", filesPerPartition="2")
+    assert {r.name: r.sha256 for r in files.collect()} == {f"f_{i}.png": digest(i) for i in range(6)}
+    rows = [(i // 2, f"f_{i}.png", digest(i)) for i in range(6)] + [(3, "f_9.png", "x"), (3, "f_5.png", digest(5)), (4, "f_0.png", "x"), (4, "f_9.png", "x")]
+    (tmp_path / "f_3.png").write_bytes(b"other")
+    got = {r.shot: (r.state, r.reason) for r in ranged.verified_shots(spark.createDataFrame(rows, "shot int, name string, sha256 string"), files, ["shot"]).collect()}
+    assert got == {0: ("reusable", "files match"), 1: ("invalid", "hash mismatch: f_3.png"), 2: ("reusable", "files match"), 3: ("pending", "files are absent"), 4: ("invalid", "hash mismatch: f_0.png")}
