@@ -4,8 +4,9 @@
 are taken away by it. That row is one file, and Spark's commit moves it to its place in one step, so readers see all of
 a change or nothing. What a failed job left in ``data`` is named by no row and is never read; ``leftovers`` lists it.
 
-``Published`` keeps groups (shots, cache entries) with a sealed manifest each, one row of ``manifests``. The newest row of a group counts, or
-for a write-once store the first, so that of two jobs that add the same key at once one wins for all readers.
+``Published`` keeps groups (shots, cache entries) with a sealed manifest each. Manifests are a log of their own: the batch of a publication becomes
+visible by one row, however many groups it has. The newest manifest of a group counts, or for a write-once store the first, so that of two jobs that add the
+same key at once one wins for all readers.
 """
 
 from __future__ import annotations
@@ -157,8 +158,7 @@ class Published:
 
     def __init__(self, spark: SparkSession, root: str, by: list[str], index: str, write_once: bool = False):
         self.spark, self.by, self.index, self.write_once = spark, by, index, write_once
-        self.log = Log(spark, root)
-        self.path = f"{self.log.root}/manifests"
+        self.log, self.listed = Log(spark, root), Log(spark, f"{root.rstrip('/')}/manifests")
 
     def _digests(self, rows: DataFrame, *more: str) -> DataFrame:
         """Number, span and digest of each group; the digest is over places and all columns."""
@@ -168,7 +168,7 @@ class Published:
 
     def manifests(self) -> DataFrame | None:
         """The manifest that counts of each group: by, version, batch, n, digest, document."""
-        rows = _read(self.spark, self.path)
+        rows = self.listed.read()
         if rows is None:
             return None
         order = [F.col("version"), F.col("batch")] if self.write_once else [F.col("version").desc(), F.col("batch")]
@@ -197,8 +197,8 @@ class Published:
         made = seen.select(*self.by, "n", "digest")
         made = made.withColumn("own", F.lit("{}")) if documents is None else made.join(documents.select(*self.by, F.col("document").alias("own")), self.by, "left")
         body = F.to_json(F.struct("n", "digest", F.coalesce("own", F.lit("{}")).alias("about")))
-        rows = made.select(*self.by, F.lit(_next(_read(self.spark, self.path))).cast("long").alias("version"), F.lit(batch).alias("batch"), "n", "digest", sealed(body).alias("document"))
-        rows.coalesce(1).write.mode("append").parquet(self.path)
+        rows = made.select(*self.by, F.lit(_next(self.listed.read())).cast("long").alias("version"), F.lit(batch).alias("batch"), "n", "digest", sealed(body).alias("document"))
+        self.listed.commit(self.listed.write(rows))
 
     def read(self) -> DataFrame | None:
         """The rows of all published groups, each from the batch that counts."""
