@@ -1,6 +1,7 @@
 """The Jaccard join and substring dedup against brute force, and on odd tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -304,3 +305,33 @@ def test_a_very_common_passage_twice_in_a_document(spark, monkeypatch):
     rows += [(i, words(rng, 25) + passage + words(rng, 30) + passage) for i in (6, 7, 8)]
     got = {(d, s, e) for d, s, e, _ in found_in(spark, [(i, " ".join(t)) for i, t in rows], 2)}
     assert got == {(5, 20, 90), (5, 130, 200), (5, 240, 310)} | {(i, s, s + 70) for i in (6, 7, 8) for s in (25, 125)}
+
+
+@pytest.mark.parametrize("edits", [0, 5, 10, 15])
+def test_recall_of_edited_passages(spark, edits):
+    """Forty passages of 120 words, each in two documents, with so many of a hundred words replaced at random in the second."""
+    rng = np.random.default_rng(edits)
+    word = lambda: f"w{rng.integers(0, 20_000)}"
+    rows = []
+    for i in range(40):
+        passage = [word() for _ in range(120)]
+        other = [word() if rng.random() < edits / 100 else w for w in passage]
+        rows += [(i, " ".join([*(word() for _ in range(90)), *passage, *(word() for _ in range(80))])), (100 + i, " ".join([*(word() for _ in range(70)), *other, *(word() for _ in range(60))]))]
+    got = {r.doc_id for r in sd.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & {100 + i for i in range(40)}) >= {0: 40, 5: 40, 10: 38, 15: 32}[edits] and not got & set(range(40))
+
+
+def test_chains_of_many_runs_that_follow_no_other():
+    start = time.time()
+    assert len(sd.chains([(20 * i, 0, 10) for i in range(20_000)], 8)) == 20_000
+    one = sd.chains([(12 * i, 12 * i, 10) for i in range(20_000)], 8)
+    assert len(one) == 1 and len(one[0]) == 20_000 and time.time() - start < 5
+    assert sd.chains([(0, 0, 10), (20, 20, 10), (45, 40, 10), (20, 100, 8)], 8) == [[(0, 0, 10), (20, 20, 10), (45, 40, 10)], [(20, 100, 8)]]
+
+
+def test_a_line_repeated_all_over_in_two_documents(spark):
+    line = " ".join(f"l{i}" for i in range(12))
+    rows = [(1, " ".join([line] * 3200)), (2, " ".join([line] * 3100)), (3, "a b c")]
+    start = time.time()
+    got = [r for r in sd.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == 2]
+    assert got and time.time() - start < 60
