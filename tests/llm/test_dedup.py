@@ -227,7 +227,11 @@ def test_repeats_of_a_very_common_passage(spark, monkeypatch):
     passage = " ".join(words(rng, 70))
     rows = [(i, " ".join(words(rng, 25)) + " " + passage + " " + " ".join(words(rng, 25))) for i in range(60)]
     got = {r.doc_id: (r.start_word, r.end_word) for r in sd.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == {i: (25, 95) for i in range(1, 60)}
+    # The word before the passage is part of it where an earlier document happens to have the same one (document 24 has that of 5).
+    before = [t.split()[24] for _, t in rows]
+    chance = {i for i in range(60) if before[i] in before[:i]}
+    assert chance == {24} and got.pop(24) in ((24, 95), (25, 95))
+    assert got == {i: (25, 95) for i in range(1, 60) if i != 24}
 
 
 def test_removed_passages(spark):
