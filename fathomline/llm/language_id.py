@@ -3,8 +3,8 @@
 A text is the mean of the embeddings of its subwords, the byte n-grams of
 ``ORDERS`` over its lower-cased UTF-8 bytes, hashed into ``BUCKETS`` rows; a linear softmax
 reads that mean. Embeddings and softmax are trained together in numpy by
-stochastic gradient descent on passages of a bounded sample of labelled rows, drawn by hash from
-anywhere in their texts by the tasks that read them. A temperature and a rejection threshold are
+stochastic gradient descent on a bounded sample of labelled rows: on each whole text, as the counts of its subwords by bucket, of which there are
+no more than ``BUCKETS`` however long it is, and on passages, drawn anew for each epoch from all of the text by the task that reads it. A temperature and a rejection threshold are
 then fitted on the whole texts of sampled rows that training left out, so that the score is a
 calibrated probability.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from fathomline.llm.arrowmap import add_struct, map_text
-from fathomline.llm.textkit import slices, text_bytes
+from fathomline.llm.textkit import SLICE_BYTES, slices, text_bytes
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -36,7 +36,7 @@ DIM = 16
 #: The bounded sample of labelled rows that training and calibration read.
 SAMPLE_ROWS = 3000
 PASSAGE_BYTES = 300
-#: Passages of a sampled text that one epoch trains on.
+#: Passages of a sampled text that one epoch trains on beside the whole text.
 PASSAGES = 4
 EPOCHS = 3
 RATE = 0.5
@@ -102,37 +102,64 @@ class Model:
 
 
 def _passages(text: str, seed: int) -> list[bytes]:
-    """At most ``PASSAGES`` of the passages of a text, from anywhere in it."""
+    """``PASSAGES`` of the passages of a text for each epoch, drawn anew from anywhere in it; all of a text that has no more."""
     raw = text.encode("utf-8", "replace")
     n = -(-len(raw) // PASSAGE_BYTES)
-    drawn = np.random.Generator(np.random.PCG64(seed & (1 << 64) - 1)).choice(n, min(n, PASSAGES), replace=False)
+    rng = np.random.Generator(np.random.PCG64(seed & (1 << 64) - 1))
+    drawn = np.concatenate([rng.choice(n, min(n, PASSAGES), replace=False) for _ in range(EPOCHS)])
     return [raw[i * PASSAGE_BYTES : (i + 1) * PASSAGE_BYTES] for i in drawn.tolist()]
 
 
-def fit(rows: list[tuple[list[bytes], str]], languages: tuple[str, ...], seed: int = 5) -> np.ndarray:
-    """The table of bucket by language, trained on (passages, language) pairs."""
+def whole_text(text: str) -> tuple[bytes, bytes]:
+    """The buckets of a text's subwords and their shares, counted in slices."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    counts = np.zeros(BUCKETS)
+    for at in range(0, len(raw), SLICE_BYTES):
+        # a slice begins with the bytes that n-grams across its edge need; those that lie before the edge are counted once
+        for n, grams in zip(ORDERS, subwords(raw[max(0, at - n_before(at)) : at + SLICE_BYTES])):
+            counts += np.bincount(grams[max(0, n_before(at) - n + 1) :], minlength=BUCKETS)
+    buckets = np.flatnonzero(counts)
+    return buckets.astype(np.uint16).tobytes(), (counts[buckets] / max(counts.sum(), 1)).astype(np.float32).tobytes()
+
+
+def n_before(at: int) -> int:
+    return min(at, max(ORDERS) - 1)
+
+
+#: What a sampled row brings: its passages by epoch, and the buckets and shares of its whole text.
+Sampled = tuple[list[bytes], bytes, bytes]
+
+
+def fit(rows: list[tuple[Sampled, str]], languages: tuple[str, ...], seed: int = 5) -> np.ndarray:
+    """The table of bucket by language, trained on (passages and whole text, language) pairs."""
     rng = np.random.Generator(np.random.PCG64(seed))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(languages)), np.float32)
-    items = []
-    for pieces, g in rows:
-        for piece in pieces:
-            if grams := subwords(np.frombuffer(piece, np.uint8)):
-                items.append((np.concatenate(grams), languages.index(g)))
-    steps, step = max(1, EPOCHS * len(items)), 0
-    for _ in range(EPOCHS):
+    epochs: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in range(EPOCHS)]
+    for (pieces, buckets, shares), g in rows:
+        label, each = languages.index(g), len(pieces) // EPOCHS
+        whole = (np.frombuffer(buckets, np.uint16).astype(np.int64), np.frombuffer(shares, np.float32), label)
+        for e, items in enumerate(epochs):
+            if len(whole[0]):
+                items.append(whole)
+            for piece in pieces[e * each : (e + 1) * each]:
+                if grams := subwords(np.frombuffer(piece, np.uint8)):
+                    bucket, n = np.unique(np.concatenate(grams), return_counts=True)
+                    items.append((bucket, (n / n.sum()).astype(np.float32), label))
+    steps, step = max(1, sum(map(len, epochs))), 0
+    for items in epochs:
         for i in rng.permutation(len(items)):
-            grams, label = items[i]
+            buckets, shares, label = items[i]
             rate = RATE * (1 - step / steps)
             step += 1
-            mean = emb[grams].mean(axis=0)
+            mean = shares @ emb[buckets]
             logits = mean @ out
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[label] -= 1
             back = out @ p
             out -= rate * np.outer(mean, p)
-            np.subtract.at(emb, grams, (rate / len(grams)) * back)
+            emb[buckets] -= np.outer(rate * shares, back)
     return np.ascontiguousarray(emb @ out, np.float32)
 
 
@@ -151,7 +178,8 @@ def calibrate(languages: tuple[str, ...], table: np.ndarray, means: np.ndarray,
 def _drawer():
     def apply(column):
         hashes, texts = column.field(0).to_pylist(), column.field(1).to_pylist()
-        return [pa.array([_passages(t, h) if has_letter(t) else [] for h, t in zip(hashes, texts)], pa.list_(pa.binary()))]
+        made = [(_passages(t, h), *whole_text(t)) if has_letter(t) else ([], b"", b"") for h, t in zip(hashes, texts)]
+        return [pa.array([m[0] for m in made], pa.list_(pa.binary())), *(pa.array([m[i] for m in made], pa.binary()) for i in (1, 2))]
 
     return apply
 
@@ -183,8 +211,8 @@ def train(docs: DataFrame, learn=None, rows: int = SAMPLE_ROWS, text: str = "tex
     def of(hashes: list[int]) -> DataFrame:
         return every.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hashes], "h long")), "h")
 
-    drawn = map_text(of(picked).select("h", "g", F.struct("h", "t").alias("ht")), "ht", lambda: _drawer(), StructType([StructField("pieces", ArrayType(BinaryType()))]), ["h", "g"])
-    pieces = {(r["h"], r["g"]): [bytes(p) for p in r["pieces"]] for r in drawn.dropDuplicates(["h", "g"]).collect() if r["pieces"] and r["g"]}
+    drawn = map_text(of(picked).select("h", "g", F.struct("h", "t").alias("ht")), "ht", lambda: _drawer(), StructType([StructField("pieces", ArrayType(BinaryType())), StructField("buckets", BinaryType()), StructField("shares", BinaryType())]), ["h", "g"])
+    pieces = {(r["h"], r["g"]): ([bytes(p) for p in r["pieces"]], bytes(r["buckets"]), bytes(r["shares"])) for r in drawn.dropDuplicates(["h", "g"]).collect() if r["pieces"] and r["g"]}
     if not pieces:
         return None
     languages = tuple(sorted({g for _, g in pieces}))

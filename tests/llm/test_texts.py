@@ -215,6 +215,24 @@ def test_language_id_learns_from_whole_texts(spark):
     assert all(r.lang_pred == r.lang and r.score > 0.9 and not r.rejected for r in got)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 700, 5000])
+def test_whole_texts_are_counted_in_slices(monkeypatch, n):
+    """The counts of a text's subwords are those of the whole of it, however it is cut; and passages come anew for each epoch from all of it."""
+    rng = np.random.default_rng(n)
+    text = "".join(rng.choice(list("abé ñ."), n)) if n else ""
+    whole = li.whole_text(text)
+    counts = np.zeros(li.BUCKETS)
+    for grams in li.subwords(np.frombuffer(text.encode(), np.uint8)):
+        counts += np.bincount(grams, minlength=li.BUCKETS)
+    buckets = np.flatnonzero(counts)
+    assert np.array_equal(np.frombuffer(whole[0], np.uint16), buckets) and np.allclose(np.frombuffer(whole[1], np.float32), counts[buckets] / max(counts.sum(), 1))
+    monkeypatch.setattr(li, "SLICE_BYTES", 97)
+    assert li.whole_text(text) == whole
+    pieces = li._passages(text, 7)
+    assert len(pieces) == li.EPOCHS * min(-(-len(text.encode()) // li.PASSAGE_BYTES), li.PASSAGES) and all(p in text.encode() for p in pieces)
+    assert n < 5000 or len(set(pieces)) > li.PASSAGES
+
+
 def test_numerals_are_no_letters(spark):
     """Superscripts, fractions and Roman numerals are no letters; an ideograph and a letter that joins a number are."""
     assert [li.has_letter(t) for t in ("½ ² 3", "Ⅳ", "_ 12 ٣", "", "日", "12a", "é")] == [False, False, False, False, True, True, True]
