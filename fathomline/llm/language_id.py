@@ -130,28 +130,37 @@ def n_before(at: int) -> int:
 Sampled = tuple[list[bytes], bytes, bytes]
 
 
+def _learned(buckets: bytes, shares: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(buckets, np.uint16).astype(np.int64), np.frombuffer(shares, np.float32)
+
+
+def _counted(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a passage's subwords, and their shares."""
+    grams = subwords(np.frombuffer(piece, np.uint8))
+    buckets, n = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int32), return_counts=True)
+    return buckets, (n / max(n.sum(), 1)).astype(np.float32)
+
+
 def fit(rows: list[tuple[Sampled, str]], languages: tuple[str, ...], seed: int = 5) -> np.ndarray:
     """The table of bucket by language, trained on (passages and whole text, language) pairs."""
     rng = np.random.Generator(np.random.PCG64(seed))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(languages)), np.float32)
-    epochs: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in range(EPOCHS)]
-    for (pieces, buckets, shares), g in rows:
-        label, each = languages.index(g), len(pieces) // EPOCHS
-        whole = (np.frombuffer(buckets, np.uint16).astype(np.int64), np.frombuffer(shares, np.float32), label)
-        for e, items in enumerate(epochs):
-            if len(whole[0]):
-                items.append(whole)
-            for piece in pieces[e * each : (e + 1) * each]:
-                if grams := subwords(np.frombuffer(piece, np.uint8)):
-                    bucket, n = np.unique(np.concatenate(grams), return_counts=True)
-                    items.append((bucket, (n / n.sum()).astype(np.float32), label))
-    steps, step = max(1, sum(map(len, epochs))), 0
-    for items in epochs:
-        for i in rng.permutation(len(items)):
-            buckets, shares, label = items[i]
-            rate = RATE * (1 - step / steps)
+    # What is learned from is kept as it came, and taken apart when its turn comes: of each row its whole text (None), and an epoch's passages.
+    order: list[list[tuple[int, int | None]]] = [[] for _ in range(EPOCHS)]
+    for r, ((pieces, _, _), _) in enumerate(rows):
+        each = len(pieces) // EPOCHS
+        for e, items in enumerate(order):
+            items += [(r, None), *((r, i) for i in range(e * each, (e + 1) * each))]
+    steps, step = max(1, sum(map(len, order))), 0
+    for items in order:
+        for at in rng.permutation(len(items)):
+            (pieces, held, shared), g = rows[items[at][0]]
+            buckets, shares = _learned(held, shared) if items[at][1] is None else _counted(pieces[items[at][1]])
+            rate, label = RATE * (1 - step / steps), languages.index(g)
             step += 1
+            if not len(buckets):
+                continue
             mean = shares @ emb[buckets]
             logits = mean @ out
             p = np.exp(logits - logits.max())

@@ -580,10 +580,11 @@ def repeats(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text:
     held_back = seeded.filter("kind = 1")  # anchored inside of tasks, in the first buckets
     anchors = _anchored(seeded, buckets, many).union(held_back if many == buckets else _dealt(held_back, buckets, many))
     chained = store.settle(_chained(anchors, many), "chained")
-    copies = seeded.filter("kind = 2").mapInArrow(tidy(_copies), STRETCHES)
+    copies = store.save(seeded.filter("kind = 2").mapInArrow(tidy(_copies), STRETCHES), "copies")
+    store.drop("seeded")  # before texts take its place on the disks
     stretches = _aligned(chained, pack_texts(rows)).union(copies)
     found = store.save(_passages(stretches), "passages")
-    store.drop("seeded", "chained")
+    store.drop("chained", "copies")
     return found
 
 
