@@ -6,9 +6,10 @@ lists can be walked by document: a node is a range of documents, a term's part o
 the interval is the term's largest impact there. The sum of those firsts bounds the score of every document of the node, and
 at a leaf it is the score. Nodes are opened best bound first, until no bound reaches the k-th best score: the top k are exact.
 
-``build`` makes the index in two passes. The first counts terms and writes one row a shard; document and term counts of the whole
-corpus are sums over those rows. The second turns counts into impacts, sorts the lists and writes the tree's bits. Texts
-never cross the network. ``search`` reads the index once for each block of items, and sends only each shard's k best.
+``build`` makes the index in two passes over the texts. The first sums up documents and terms, which impacts hang on. The second
+counts terms shard by shard, sorts the lists by impact and writes the tree's bits. Texts never cross the network. A shard is some
+8 MB and a file of its own: Parquet counts a hundred rows before it looks at their size, and its readers take whole pages, so
+files of several shards would be held whole in a task. ``search`` reads the index once for each block of items, and sends only each shard's k best.
 
 Defined cases: a null text, or one without terms, is in no list and isn't counted; each row is a document of its own, and equal
 scores go by ascending id, null ids last; items without terms get no rows; equal rows of items count once, and
@@ -53,14 +54,20 @@ def count_terms(text: str | None) -> Counter[bytes]:
     return Counter(w for w in words if w)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The row of each word of some texts, and the words."""
-    low = ALNUM_WORDS[data]
-    inside = low != SEPARATOR
+def _begins(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin, of places that are inside of words; none goes on in the next text."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
+    return begins
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each word of some texts, and the words."""
+    low = ALNUM_WORDS[data]
+    inside = low != SEPARATOR
+    begins = _begins(inside, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[begins]
     letters = low[inside]
     starts = np.append(np.cumsum(inside)[begins] - 1, len(letters))
@@ -104,26 +111,32 @@ class _Lists:
             self.postings += len(key)
         self.ids += ids
 
-    def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
+    def full(self, docs: int, postings: int) -> bool:
+        return len(self.ids) >= docs or self.postings >= postings
 
-    def batch(self, arrow: pa.Schema) -> pa.RecordBatch | None:
-        """One row: ids and sizes of the documents with terms, terms, list ends, and by list the documents' places and term counts."""
+    def shard(self, n_docs: int, n_terms: int) -> list | None:
+        """The ids of the documents with terms in their order, terms, how many documents have each, and the postings by term, impact downwards and place."""
         doc, tf = np.concatenate(self.doc), np.concatenate(self.tf)
         if not len(doc):
             return None
         coded = pa.chunked_array(self.term).unify_dictionaries()
         terms, term = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
-        n = len(self.ids)
-        key = term * n + doc
+        rows = len(self.ids)
+        key = term * rows + doc
         order = np.argsort(key, kind="stable")  # a long text has a term in several pieces
         key, first = np.unique(key[order], return_index=True)
         tf = np.add.reduceat(tf[order], first)
-        doc, ends = key % n, np.cumsum(np.bincount(key // n, minlength=len(terms)))
-        sizes = np.bincount(doc, weights=tf, minlength=n).astype(np.int64)
-        place = np.cumsum(sizes > 0) - 1
-        ids = [i for i, size in zip(self.ids, sizes.tolist()) if size]
-        return _row([ids, sizes[sizes > 0], terms, ends, place[doc].astype(np.int32).tobytes(), tf.astype(np.int64).tobytes()], arrow)
+        term, doc = np.divmod(key, rows)
+        sizes = np.bincount(doc, weights=tf, minlength=rows).astype(np.int64)
+        order = sorted(np.flatnonzero(sizes).tolist(), key=lambda i: (self.ids[i] is None, self.ids[i] if self.ids[i] is not None else 0))
+        place, n = np.empty(rows, np.int64), len(order)
+        place[order] = np.arange(n)
+        impact = impacts(tf, sizes[doc], n_docs, n_terms)
+        # One number orders the postings.
+        most = SCALE // TF_SCALE
+        key, doc = np.divmod(np.sort((term * (most + 1) + most - impact) * n + place[doc]), n)
+        dfs = np.bincount(term, minlength=len(terms))
+        return [[self.ids[i] for i in order], terms, dfs, (most - key % (most + 1)).astype(np.int32).tobytes(), tree_bits(doc, depth(n)).tobytes()]
 
 
 def _row(values: list, arrow: pa.Schema) -> pa.RecordBatch:
@@ -138,22 +151,26 @@ def _row(values: list, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(arrow, columns)]))
 
 
-def _counts_schema(id_type) -> StructType:
-    return StructType(
-        [
-            StructField("ids", ArrayType(id_type)),
-            StructField("sizes", ArrayType(LongType())),
-            StructField("terms", ArrayType(StringType())),
-            StructField("ends", ArrayType(IntegerType())),
-            StructField("docs", BinaryType()),
-            StructField("tfs", BinaryType()),
-        ]
-    )
+def _sizes(texts: DataFrame) -> DataFrame:
+    """(docs, terms) of parts of the texts: how many have terms, and all their terms."""
+    schema = StructType([StructField("docs", LongType()), StructField("terms", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for a, piece, ends in _pieces(data, offsets):
+                words = np.append(0, np.cumsum(_begins(ALNUM_WORDS[piece] != SEPARATOR, ends)))
+                sizes[a : a + len(ends) - 1] += np.diff(words[ends])
+            yield pa.RecordBatch.from_pylist([{"docs": int((sizes > 0).sum()), "terms": int(sizes.sum())}], to_arrow_schema(schema))
+
+    return texts.mapInArrow(tidy(run), schema)
 
 
-def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
-    schema = _counts_schema(rows.schema["id"].dataType)
+def _shards(rows: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+    """One row a shard of ``rows`` (id, text): see ``_Lists.shard``."""
+    id_type = rows.schema["id"].dataType
+    schema = StructType([StructField("ids", ArrayType(id_type)), StructField("terms", ArrayType(StringType())), StructField("dfs", ArrayType(IntegerType())), StructField("impacts", BinaryType()), StructField("bits", BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -163,12 +180,12 @@ def _counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ids, ends = batch.column(0).to_pylist(), dict(slices(offsets, PIECE_BYTES))
             for a, pieces in groupby(_pieces(data, offsets), key=lambda p: p[0]):
                 lists.add(ids[a : ends[a]], pieces)
-                if lists.full():
-                    if (made := lists.batch(arrow)) is not None:
-                        yield made
+                if lists.full(SHARD_DOCS, SHARD_POSTINGS):
+                    if made := lists.shard(n_docs, n_terms):
+                        yield _row(made, arrow)
                     lists = _Lists()
-        if lists.ids and (made := lists.batch(arrow)) is not None:
-            yield made
+        if lists.ids and (made := lists.shard(n_docs, n_terms)):
+            yield _row(made, arrow)
 
     return rows.mapInArrow(tidy(run), schema)
 
@@ -257,26 +274,9 @@ class Index:
 def build(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Indexes every term of every text."""
     store = Scratch(spark, "wavelet")
-    counted = store.save(_counted(docs, doc_id, text), "counted")
-    n_docs, n_terms = counted.select(F.sum(F.size("sizes")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    fields = counted.schema.fields
-    schema = StructType([fields[0], fields[2], fields[3], StructField("impacts", BinaryType()), StructField("bits", BinaryType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        waiting: list[dict] = []
-        for batch in batches:
-            for row in _rows(batch):
-                if waiting and (sum(len(r["ids"]) for r in waiting) + len(row["ids"]) > SHARD_DOCS or sum(len(r["docs"]) for r in waiting) + len(row["docs"]) > 4 * SHARD_POSTINGS):
-                    yield _row(_sorted_shard(waiting, n_docs, n_terms), arrow)
-                    waiting = []
-                waiting.append(row)
-        if waiting:
-            yield _row(_sorted_shard(waiting, n_docs, n_terms), arrow)
-
-    shards = store.save(counted.mapInArrow(tidy(run), schema), "shards")
-    store.drop("counted")
-    return Index(shards, n_docs or 0, n_terms or 0)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
+    n_docs, n_terms = _sizes(rows.select("text")).agg(F.sum("docs"), F.sum("terms")).first()
+    return Index(store.save(_shards(rows, n_docs or 0, n_terms or 0), "shards", maxRecordsPerFile=1), n_docs or 0, n_terms or 0)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -285,27 +285,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {f.name: c[i].values if pa.types.is_list(f.type) else c[i].as_py() for f, c in zip(batch.schema, batch.columns)}
 
 
-def _sorted_shard(rows: list[dict], n_docs: int, n_terms: int) -> list:
-    """One shard of several rows of counts: documents by id, lists by impact."""
-    ids = [i for r in rows for i in r["ids"].to_pylist()]
-    every = pa.concat_arrays([r["terms"] for r in rows]).dictionary_encode()
-    names, terms = every.indices.to_numpy().astype(np.int64), every.dictionary
-    lengths = np.concatenate([np.diff(r["ends"].to_numpy(), prepend=0) for r in rows])
-    before = np.cumsum([0, *(len(r["ids"]) for r in rows)])
-    doc = np.concatenate([np.frombuffer(r["docs"], np.int32) + b for r, b in zip(rows, before)])
-    tf = np.concatenate([np.frombuffer(r["tfs"], np.int64) for r in rows])
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    impact = impacts(tf, np.concatenate([r["sizes"].to_numpy() for r in rows])[doc], n_docs, n_terms)
-    # One number orders the postings: by term, impact downwards, place.
-    most, n = SCALE // TF_SCALE, len(ids)
-    key = np.sort((np.repeat(names, lengths) * (most + 1) + most - impact) * n + place[doc])
-    ends = np.cumsum(np.bincount(names, weights=lengths, minlength=len(terms)).astype(np.int64))
-    key, doc = key // n, key % n
-    return [[ids[i] for i in order], terms, ends, (most - key % (most + 1)).astype(np.int32).tobytes(), tree_bits(doc, depth(n)).tobytes()]
-
-
 # --- search -------------------------------------------------------------------------------------------------------------
 
 
@@ -336,7 +315,7 @@ def search(spark: SparkSession, index: Index, items: DataFrame, k: int = 10, ite
 
 def _search_block(index: Index, terms: DataFrame, k: int) -> DataFrame:
     """Each shard's k best for the items of one block, whose terms are few enough to broadcast."""
-    lists = index.shards.select(F.arrays_zip("terms", F.transform("ends", lambda e, i: e - F.when(i > 0, F.element_at("ends", i)).otherwise(0)).alias("dfs")).alias("z")).select(F.inline("z"))
+    lists = index.shards.select(F.arrays_zip("terms", "dfs").alias("z")).select(F.inline("z"))
     df = lists.join(F.broadcast(terms.select(F.col("term").alias("terms")).distinct()), "terms").groupBy(F.col("terms").alias("term")).agg(F.sum("dfs").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(index.n_docs) + 2) / (2 * F.col("df") + 1)))
     weighted = terms.join(F.broadcast(df), "term").select("item_id", "term", (F.col("n") * weight).alias("w")).filter("w > 0").collect()
@@ -361,8 +340,8 @@ def _best(row: dict, by_item: dict, k: int) -> Iterator[tuple]:
     number = {w: i for w, i in zip(wanted.to_pylist(), at.to_pylist()) if i is not None}
     if not number:
         return
-    ids, ends = row["ids"], row["ends"].to_numpy()
-    starts = np.concatenate([[0], ends[:-1]])
+    ids, ends = row["ids"], np.cumsum(row["dfs"].to_numpy())
+    starts = ends - row["dfs"].to_numpy()
     tree = Tree(np.frombuffer(row["bits"], np.uint8).reshape(depth(len(ids)), -1), np.frombuffer(row["impacts"], np.int32), len(ids))
     for item, pairs in by_item.items():
         own = [(number[w], x) for w, x in pairs if w in number]

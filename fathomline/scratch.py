@@ -31,10 +31,10 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/fathomline/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the table that reads it back."""
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Write ``df`` as Parquet, by options of Spark's writer, and return the table that reads it back."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:

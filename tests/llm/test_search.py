@@ -203,3 +203,12 @@ def test_empty_tables_and_extra_columns(spark):
     docs = corpus(20, 4)
     wide = [(i, t, "x", [1], 7) for i, t in docs]
     assert searched(spark, wide, [(1, "w1 w2")], doc_schema="doc_id long, text string, term string, ids array<int>, score int") == ranked(docs, [(1, "w1 w2")])
+
+
+def test_a_task_holds_one_shard_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(wr, "SHARD_POSTINGS", 100)
+    docs, items = [(i, " ".join([*WORDS[i % 7 :], *["w1 w2"] * 30_000])) for i in range(30)], [(1, "w1 w2 x1"), (2, "w7")]
+    shards = wr.build(spark, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).shards
+    assert shards.count() > 3 and shards.agg(F.max(F.size("ids"))).first()[0] < 10
+    assert shards.groupBy(F.input_file_name()).count().filter("count > 1").isEmpty()
+    assert searched(spark, docs, items) == ranked(docs, items)
