@@ -66,15 +66,20 @@ def gate(df: DataFrame, source_range: Column) -> DataFrame:
     return df.withColumn("fallback_reason", reason).withColumn("mode", F.when(F.col("fallback_reason").isNull(), "ols").otherwise("base_fallback"))
 
 
-def depth_quality(df: DataFrame, by: list[str], pixel: list[str], frame: str, predicted: str, truth: str) -> DataFrame:
-    """tgse: mean squared error of frame-to-frame changes; abs_rel; delta1: share within a ratio of 1.25. Truth must be positive."""
+def depth_quality(df: DataFrame, by: list[str], pixel: list[str], frame: str, predicted: str, truth: str, valid: Column | None = None) -> DataFrame:
+    """tgse: mean squared error of frame-to-frame changes; abs_rel; delta1: share within a ratio of 1.25.
+
+    All are taken where the mask ``valid`` holds: unless it is given, where truth is positive. Shares of a truth of 0 are infinite, or no number.
+    """
     w = Window.partitionBy(*by, *pixel).orderBy(frame)
     p, t = F.col(predicted), F.col(truth)
-    ok = t > 0
-    step = df.withColumns({"__p": F.lag(predicted).over(w), "__t": F.lag(truth).over(w)})
-    change = F.when(ok & (F.col("__t") > 0), F.pow((p - F.col("__p")) - (t - F.col("__t")), F.lit(2.0)))
-    ratio = F.when(p > 0, F.greatest(p / t, t / p)).otherwise(float("inf"))
-    return step.groupBy(*by).agg(F.avg(change).alias("tgse"), F.avg(F.when(ok, F.abs(p - t) / t)).alias("abs_rel"), F.avg(F.when(ok, (ratio < 1.25).cast("double"))).alias("delta1"))
+    step = df.withColumn("__ok", t > 0 if valid is None else valid)
+    step = step.withColumns({"__p": F.lag(predicted).over(w), "__t": F.lag(truth).over(w), "__before": F.lag("__ok").over(w)})
+    ok = F.col("__ok")
+    change = F.when(ok & F.col("__before"), F.pow((p - F.col("__p")) - (t - F.col("__t")), F.lit(2.0)))
+    off = F.when(t != 0, F.abs(p - t) / t).when(p == 0, float("nan")).when(p != 0, float("inf"))
+    ratio = F.when(p * t > 0, F.greatest(p / t, t / p)).when(p.isNotNull() & t.isNotNull(), float("inf"))
+    return step.groupBy(*by).agg(F.avg(change).alias("tgse"), F.avg(F.when(ok, off)).alias("abs_rel"), F.avg(F.when(ok, (ratio < 1.25).cast("double"))).alias("delta1"))
 
 
 def run_gates(runs: DataFrame, seeds: list[int]) -> DataFrame:

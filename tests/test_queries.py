@@ -47,3 +47,7 @@ def equals_sql_on(spark, path, name, events):
 
 def test_a_code_that_is_the_midpoint_by_itself_counts(spark, tmp_path):
     assert equals_sql_on(spark, tmp_path, "a10_shot_scan", [(e, 1.0) for e in (32766, 32767, 32768, 32769, 32768 + 65536, 5, None)])
+
+
+def test_quality_of_a_truth_of_zero(spark, tmp_path):
+    assert equals_sql_on(spark, tmp_path, "a12_depth_quality", [(1, 10.0), (2, 0.0), (3, 30.0), (4, None), (5, 20.0)])
