@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from fathomline.functions import depth
-from fathomline.operators import sequences as seq
+from fathomline.operators import sequences as seq, statistics as st
 from fathomline.plans import catalogue as cat
 from fathomline.queries import FRAMES_SQL, frames, query, table
 
@@ -25,8 +25,7 @@ def flagship(spark, sf):
     Bounds come from an aggregate on the key that the window already dealt frames by, and join back on it, so frames are shuffled once.
     """
     s = _segments(spark, sf)
-    q = F.percentile("value", F.array(F.lit(0.02), F.lit(0.98)))
-    b = s.groupBy("clip_id", "segment_id").agg(q.alias("q")).select("clip_id", "segment_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    b = st.interpolated(s, ["clip_id", "segment_id"], "value", [0.02, 0.98]).select("clip_id", "segment_id", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return s.join(b, ["clip_id", "segment_id"]).select("clip_id", "frame_idx", "segment_id", depth.encode(depth.canonical(F.col("value"), F.col("low"), F.col("high"))).alias("code"))
 
 

@@ -51,3 +51,10 @@ def test_a_code_that_is_the_midpoint_by_itself_counts(spark, tmp_path):
 
 def test_quality_of_a_truth_of_zero(spark, tmp_path):
     assert equals_sql_on(spark, tmp_path, "a12_depth_quality", [(1, 10.0), (2, 0.0), (3, 30.0), (4, None), (5, 20.0)])
+
+
+def test_codes_right_between_two(spark, tmp_path):
+    halves = [23.83, 22.84, 26.58]
+    assert equals_sql_on(spark, tmp_path / "a", "flagship_segment_codes", list(enumerate(halves)))
+    assert equals_sql_on(spark, tmp_path / "b", "flagship_segment_codes", [(i, v) for i, v in enumerate([16.16, 61.16, 23.17, 103.06, 21.13, 30.05, 8.73, 62.17, 39.33, 42.13, 500.0, 900.0])])
+    assert equals_sql_on(spark, tmp_path / "c", "flagship_segment_codes", [(1, None), (2, None)])
