@@ -34,11 +34,14 @@ def stage_state(exists: Column, upstream_ok: Column, setting_changed: Column, ha
 def resume_report(stages: DataFrame, job: str = "job_id") -> DataFrame:
     """A row for each job: the state of every generated stage, in the order of their needs.
 
-    ``stages``: job, stage, exists, setting_changed, has_manifest, manifest_ok, and for stereo its state. One row of
-    stages a job is pivoted, and each stage is then an expression of earlier ones, so there is one shuffle.
+    ``stages``: job, stage, exists, setting_changed, has_manifest, manifest_ok, and for stereo its state. The rows of a job
+    become one, and each stage is then an expression of earlier ones, so there is one shuffle. It comes before anything is
+    sorted: aggregating first would save nothing and hold all rows that a task reads.
     """
     names = ["stereo", *STAGE_NEEDS]
-    wide = stages.groupBy(job).pivot("stage", names).agg(F.first(F.struct("exists", "setting_changed", "has_manifest", "manifest_ok", "state")).alias("s"))
+    dealt = stages.repartition(int(stages.sparkSession.conf.get("spark.sql.shuffle.partitions")), job)
+    of_stage = F.struct("exists", "setting_changed", "has_manifest", "manifest_ok", "state")
+    wide = dealt.groupBy(job).agg(*[F.first(F.when(F.col("stage") == n, of_stage), ignorenulls=True).alias(n) for n in names])
     state: dict[str, Column] = {"stereo": F.coalesce(F.col("stereo")["state"], F.lit("missing"))}
     out = wide.select(job, *[F.col(n) for n in names])
     columns = [state["stereo"].alias("stereo_state")]

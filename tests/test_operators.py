@@ -151,3 +151,12 @@ def test_resume_report_quirk(spark):
     stages = spark.createDataFrame(rows, "job_id string, stage string, exists boolean, setting_changed boolean, has_manifest boolean, manifest_ok boolean, state string")
     r = cat.resume_report(stages).first()
     assert (r.stereo_state, r.crop_state, r.upscale_state, r.assemble_state) == ("invalidate", "missing", "preserve", "missing")
+
+
+def test_resume_report_holds_no_rows_before_its_shuffle(spark):
+    stages = spark.range(1000).selectExpr("id AS job_id", "explode(array('stereo', 'crop')) AS stage").selectExpr("*", "true AS exists", "false AS setting_changed", "true AS has_manifest", "true AS manifest_ok", "'preserve' AS state")
+    report = cat.resume_report(stages)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(job_id") :]
+    assert "Aggregate" not in below and "Sort" not in below
+    assert report.count() == 1000 and report.filter("stereo_state = 'preserve' AND crop_state = 'preserve' AND upscale_state = 'missing'").count() == 1000
