@@ -17,8 +17,9 @@ until the text is the element's own or several slots share it: those are extract
 regions whose element or class says that they are menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments; inside an article a class has to say so as a whole.
 
-Where a page marks its article (the large ones, if there are several, or what is in ``main``) and that is no teaser, the extracted slot is held to it: if they differ, the
-mark decides, whatever of it other pages have as well.
+Where a page marks its article (the large ones, if there are several, or what is in ``main``) and that is no teaser, the marked element is a slot
+that the descent stops at, and one on the way to it is never passed over for a larger one. A check follows: of the extracted slots' blocks those outside of the mark go, and those
+inside stay, whatever of them other pages have as well.
 
 Defined cases: a null or empty html, or one without main text, gives an empty text
 (0 characters); a null url is a host of its own with an empty name; exact copies of a page on a host
@@ -112,12 +113,12 @@ def _says_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 class Block:
-    """A text block: its text, the path of tags and classes to it, the number of the article that holds it (0: none), whether ``main`` does, its characters in links, the number of tags before it, and the slot that it is in, by ordinals."""
+    """A text block: its text, the path of tags and classes to it, the number of the article that holds it (0: none), whether ``main`` does, its characters in links, the number of tags before it, the slot that it is in, by ordinals, and the slot of the outermost ``main`` or article that holds it (empty: none)."""
 
-    __slots__ = ("text", "path", "article", "main", "linked", "place", "slot")
+    __slots__ = ("text", "path", "article", "main", "linked", "place", "slot", "mark")
 
-    def __init__(self, text: str, path: str, article: int, main: bool, linked: int, place: int, slot: str):
-        self.text, self.path, self.article, self.main, self.linked, self.place, self.slot = text, path, article, main, linked, place, slot
+    def __init__(self, text: str, path: str, article: int, main: bool, linked: int, place: int, slot: str, mark: str):
+        self.text, self.path, self.article, self.main, self.linked, self.place, self.slot, self.mark = text, path, article, main, linked, place, slot, mark
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -142,6 +143,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     slots: list[str] = [""]  # of each element of the stack
     ordinals: dict[tuple[str, str], int] = {}
     parts: list[str] = []
+    mark = ""
     linked = out = articles = mains = links = at = number = 0
 
     def flush() -> None:
@@ -149,7 +151,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if parts:
             text = _SPACES.sub(" ", "".join(parts)).strip()
             if text:
-                blocks.append(Block(text, "/".join(names), number if articles else 0, mains > 0, linked, len(tokens), slots[-1]))
+                blocks.append(Block(text, "/".join(names), number if articles else 0, mains > 0, linked, len(tokens), slots[-1], mark if articles or mains else ""))
             parts.clear()
         linked = 0
 
@@ -230,6 +232,8 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if tag in HOLDERS:
             ordinals[slot, tag] = ordinals.get((slot, tag), 0) + 1
             slot = f"{slot}/{tag}{ordinals[slot, tag]}"
+        if (is_article or is_main) and not articles + mains:
+            mark = slot
         stack.append((tag, is_out, is_article, is_main))
         names.append(name)
         slots.append(slot)
@@ -417,8 +421,11 @@ class Template:
         return out
 
 
-    def slots(self, blocks: list[Block]) -> set[str]:
-        """The slots of a page that hold its host's main text; empty if the page isn't of the template."""
+    def slots(self, blocks: list[Block], marks: set[str]) -> set[str]:
+        """The slots of a page that hold its host's main text; empty if the page isn't of the template.
+
+        A slot that the page marks is taken whole, and one that holds a mark counts as a large one does.
+        """
         inside: dict[str, set[str]] = defaultdict(set)
         for slot in held_by_slots(blocks):
             if slot:
@@ -429,8 +436,8 @@ class Template:
             share = {slot: size(slot) for slot in inside[at]}
             own = size(at) - sum(share.values())
             most = max(own, *share.values()) if share else own
-            large = {slot for slot, n in share.items() if n >= BESIDE * most}
-            if own >= BESIDE * most or not large:
+            large = {slot for slot, n in share.items() if n >= BESIDE * most or any(f"{m}/".startswith(f"{slot}/") for m in marks)}
+            if at in marks or own >= BESIDE * most or not large:
                 return {at}
             if len(large) > 1:
                 return large
@@ -451,14 +458,14 @@ def marked(blocks: list[Block]) -> list[Block]:
 
 
 def main_text(page: str, template: Template) -> str:
-    """The text of the page's remaining slots."""
+    """The text of the page's remaining slots, without what lies beside its marked article there."""
     blocks, tokens = parse(page)
-    slots, by_mark = template.slots(blocks), marked(blocks)
+    by_mark = marked(blocks)
+    slots = template.slots(blocks, {b.mark for b in by_mark})
     inside = [b for b in blocks if any(b.slot == s or b.slot.startswith(s + "/") for s in slots)] if slots else blocks
-    if by_mark:
-        if [b.text for b in inside] != [b.text for b in by_mark]:
-            inside = by_mark
-        return "\n".join(b.text for b in inside)
+    own = {id(b) for b in by_mark}
+    if found := [b for b in inside if id(b) in own]:
+        return "\n".join(b.text for b in found)
     known = template.valid_tokens(blocks, tokens) if template.classes else set()
     return "\n".join(b.text for b in inside if _hash("text", b.path, b.text) not in known and _hash("slot", b.path, "") not in template.link_slots and b.linked <= LINK_SHARE * len(b.text))
 

@@ -130,3 +130,15 @@ def test_long_pages_in_slots(spark):
     own = "One sentence. " * 20_000
     rows = [(i, f"https://long.example/{i}", f"<body><div>Top {i}</div><div><p>{own}{i}</p><div>Small {i}</div></div><div>End {i}</div></body>") for i in range(6)]
     assert texts(spark, rows, 2)[4] == f"{own}4\nSmall 4"
+
+
+def test_slots_of_the_template_hold_the_marked_article():
+    page = "<body><div><p>Menu</p><article><p>Short news of the day.</p><div>More of it.</div></article></div><div>" + "<p>Talk of others on and on.</p>" * 3 + "</div></body>"
+    blocks, _ = ht.parse(page)
+    held = {ht._hash("held", slot, ""): n for slot, n in {"": 1100, "/body1": 1100, "/body1/div1": 100, "/body1/div1/article1": 90, "/body1/div1/article1/div1": 80, "/body1/div2": 1000}.items()}
+    by_mark = ht.marked(blocks)
+    slots = ht.Template(held=held).slots(blocks, {b.mark for b in by_mark})
+    assert by_mark and all(any(f"{b.slot}/".startswith(f"{s}/") for s in slots) for b in by_mark)
+    less = {**held, ht._hash("held", "", ""): 100, ht._hash("held", "/body1", ""): 100, ht._hash("held", "/body1/div2", ""): 0}
+    assert ht.Template(held=less).slots(blocks, {b.mark for b in by_mark}) == {"/body1/div1/article1"}
+    assert ht.main_text(page, ht.Template(held=held)) == "Short news of the day.\nMore of it."

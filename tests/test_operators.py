@@ -154,7 +154,7 @@ def test_resume_report_quirk(spark):
 
 
 def test_resume_report_holds_no_rows_before_its_shuffle(spark):
-    stages = spark.range(1000).selectExpr("id AS job_id", "explode(array('stereo', 'crop')) AS stage").selectExpr("*", "true AS exists", "false AS setting_changed", "true AS has_manifest", "true AS manifest_ok", "'preserve' AS state")
+    stages = spark.range(1000).repartition(3).selectExpr("id AS job_id", "explode(array('stereo', 'crop')) AS stage").selectExpr("*", "true AS exists", "false AS setting_changed", "true AS has_manifest", "true AS manifest_ok", "'preserve' AS state")
     report = cat.resume_report(stages)
     plan = report._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning(job_id") :]
