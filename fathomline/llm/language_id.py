@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its subwords, the byte n-grams of
 ``ORDERS`` over its lower-cased UTF-8 bytes, hashed into ``BUCKETS`` rows; a linear softmax
-reads that mean. Embeddings and softmax are trained together in numpy by
-stochastic gradient descent on a bounded sample of labelled rows: on each whole text, as the counts of its subwords by bucket, of which there are
+reads that mean. Embeddings and softmax are trained together in numpy, in one task, by
+stochastic gradient descent on a bounded sample of labelled rows (the driver gets their hashes and the model alone): on each whole text, as the counts of its subwords by bucket, of which there are
 no more than ``BUCKETS`` however long it is, and on passages, drawn anew for each epoch from all of the text by the task that reads it. A temperature and a rejection threshold are
 then fitted on the whole texts of sampled rows that training left out, so that the score is a
 calibrated probability.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
-from fathomline.llm.arrowmap import add_struct, map_text
+from fathomline.llm.arrowmap import add_struct, map_text, tidy
 from fathomline.llm.textkit import SLICE_BYTES, slices, text_bytes
 
 ORDERS = (2, 3, 4)
@@ -44,7 +44,8 @@ RATE = 0.5
 REJECT_QUANTILE = 0.0005
 UNKNOWN = "und"
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-
+_SAMPLED = StructType([StructField("pieces", ArrayType(BinaryType())), StructField("buckets", BinaryType()), StructField("shares", BinaryType())])
+_MODEL = "languages array<string>, table binary, temperature double, threshold double"
 
 
 def has_letter(text: str) -> bool:
@@ -193,46 +194,44 @@ def _drawer():
     return apply
 
 
-def _averager(model: Model):
-    def make():
-        def apply(column):
-            data, offsets = text_bytes(column)
-            out = []
-            for a, b in slices(offsets):
-                base = offsets[a]
-                out += model.means(data[base : offsets[b]], offsets[a : b + 1] - base).tolist()
-            return [pa.array(out, pa.list_(pa.float64()))]
+def _trainer(held: set[int]):
+    """The model of a sample's rows (hash, language, and what was drawn of the text), as one row; those of the hashes ``held`` are for calibration."""
 
-        return apply
+    def run(batches):
+        found: dict[tuple[int, str], Sampled] = {}
+        for batch in batches:
+            for h, g, *sampled in zip(*(c.to_pylist() for c in batch.columns)):
+                if sampled[0] and g:
+                    found[h, g] = tuple(sampled)
+        if not found:
+            return
+        rows = [(k[0] in held, sampled, k[1]) for k, sampled in sorted(found.items())]
+        languages = tuple(sorted({g for _, _, g in rows}))
+        table = fit([(p, g) for out, p, g in rows if not out] or [(p, g) for _, p, g in rows], languages)
+        kept = [(p, g) for out, p, g in rows if out] or [(p, g) for _, p, g in rows]
+        means = np.array([shares @ table[buckets] for (_, *whole), _ in kept for buckets, shares in [_learned(*whole)]])
+        model = calibrate(languages, table, means, np.array([languages.index(g) for _, g in kept]))
+        yield pa.RecordBatch.from_pydict({"languages": [list(languages)], "table": pa.array([table.tobytes()], pa.binary()), "temperature": [model.temperature], "threshold": [float(model.threshold)]})
 
-    return make
+    return run
 
 
 def train(docs: DataFrame, learn=None, rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """Learn from at most ``rows`` labelled rows for which ``learn`` holds, those of the smallest hash of id and text; every fifth is kept for calibration."""
     t, g = F.col(f"`{text}`"), F.col(f"`{lang}`")
     every = docs.filter((F.lit(True) if learn is None else learn) & t.isNotNull() & g.isNotNull()).select(F.xxhash64(F.col(f"`{doc_id}`"), t).alias("h"), t.alias("t"), g.alias("g"))
-    # hashes are ordered alone, so that no task sends texts that aren't picked
+    # hashes are ordered alone, so that no task sends texts that aren't picked; what is drawn of those that are goes to the one task that trains
     picked = [r["h"] for r in every.select("h").distinct().orderBy("h").limit(rows).collect()]
     if not picked:
         return None
 
-    def of(hashes: list[int]) -> DataFrame:
-        return every.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hashes], "h long")), "h")
-
-    drawn = map_text(of(picked).select("h", "g", F.struct("h", "t").alias("ht")), "ht", lambda: _drawer(), StructType([StructField("pieces", ArrayType(BinaryType())), StructField("buckets", BinaryType()), StructField("shares", BinaryType())]), ["h", "g"])
-    pieces = {(r["h"], r["g"]): ([bytes(p) for p in r["pieces"]], bytes(r["buckets"]), bytes(r["shares"])) for r in drawn.dropDuplicates(["h", "g"]).collect() if r["pieces"] and r["g"]}
-    if not pieces:
+    sample = every.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in picked], "h long")), "h")
+    drawn = map_text(sample.select("h", "g", F.struct("h", "t").alias("ht")), "ht", lambda: _drawer(), _SAMPLED, ["h", "g"])
+    model = drawn.dropDuplicates(["h", "g"]).coalesce(1).mapInArrow(tidy(_trainer(set(picked[4::5]))), _MODEL).first()
+    if model is None:
         return None
-    languages = tuple(sorted({g for _, g in pieces}))
-    held = set(picked[4::5])
-    if not any(h in held for h, _ in pieces):
-        held = set()
-    table = fit([(p, g) for (h, g), p in sorted(pieces.items()) if h not in held] or [(p, g) for (_, g), p in sorted(pieces.items())], languages)
-    kept = sorted(k for k in pieces if not held or k[0] in held)
-    whole = map_text(of(sorted({h for h, _ in kept})), "t", _averager(Model(languages, table, 1.0, 0.0)), StructType([StructField("means", ArrayType(DoubleType()))]), ["h", "g"])
-    means = {(r["h"], r["g"]): r["means"] for r in whole.dropDuplicates(["h", "g"]).collect()}
-    return calibrate(languages, table, np.array([means[k] for k in kept]), np.array([languages.index(g) for _, g in kept]))
+    languages = tuple(model["languages"])
+    return Model(languages, np.frombuffer(model["table"], np.float32).reshape(BUCKETS, len(languages)), model["temperature"], model["threshold"])
 
 
 def _namer(model: Model | None):

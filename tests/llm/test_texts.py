@@ -1,6 +1,7 @@
 """Decontamination, fingerprints, language ID, licences, quality: against brute force, held-out accuracy, and on odd tables."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -215,6 +216,22 @@ def test_language_id_learns_from_whole_texts(spark):
     assert all(r.lang_pred == r.lang and r.score > 0.9 and not r.rejected for r in got)
 
 
+def test_language_id_trains_in_a_task(spark, monkeypatch):
+    """The driver neither gathers the sample nor learns from it."""
+    rows = [(i, t * 20, g) for i, (t, g) in enumerate([("the cat sat on that mat ", "en"), ("der hund und die katze ", "de")] * 12)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    fit, driver = li.fit, os.getpid()
+
+    def away(*of):
+        assert os.getpid() != driver
+        return fit(*of)
+
+    monkeypatch.setattr(li, "fit", away)
+    model = li.train(df)
+    assert model.languages == ("de", "en") and model.table.shape == (li.BUCKETS, 2)
+    assert all(r.lang_pred == r.lang for r in li.predict(df, model, keep=("doc_id", "lang")).collect())
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 700, 5000])
 def test_whole_texts_are_counted_in_slices(monkeypatch, n):
     """The counts of a text's subwords are those of the whole of it, however it is cut; and passages come anew for each epoch from all of it."""
