@@ -39,6 +39,8 @@ PASSAGE_BYTES = 300
 #: Passages of a sampled text that one epoch trains on beside the whole text.
 PASSAGES = 4
 EPOCHS = 3
+#: A small sample's epochs are gone over again until so many steps are done.
+LEAST_STEPS = 12_000
 RATE = 0.5
 #: Share of the calibration rows, rightly named, that rejection may cost at most.
 REJECT_QUANTILE = 0.0005
@@ -153,7 +155,9 @@ def fit(rows: list[tuple[Sampled, str]], languages: tuple[str, ...], seed: int =
         each = len(pieces) // EPOCHS
         for e, items in enumerate(order):
             items += [(r, None), *((r, i) for i in range(e * each, (e + 1) * each))]
-    steps, step = max(1, sum(map(len, order))), 0
+    once = max(1, sum(map(len, order)))
+    order *= -(-LEAST_STEPS // once)
+    steps, step = once * len(order) // EPOCHS, 0
     for items in order:
         for at in rng.permutation(len(items)):
             (pieces, held, shared), g = rows[items[at][0]]

@@ -216,6 +216,13 @@ def test_language_id_learns_from_whole_texts(spark):
     assert all(r.lang_pred == r.lang and r.score > 0.9 and not r.rejected for r in got)
 
 
+def test_language_id_of_a_small_table(spark):
+    """Two hundred documents are enough to tell four languages apart, and none is turned away."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = li.predict(docs, li.train(docs), keep=("lang",)).toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.97 and not got.rejected.any()
+
+
 def test_language_id_trains_in_a_task(spark, monkeypatch):
     """The driver neither gathers the sample nor learns from it."""
     rows = [(i, t * 20, g) for i, (t, g) in enumerate([("the cat sat on that mat ", "en"), ("der hund und die katze ", "de")] * 12)]
