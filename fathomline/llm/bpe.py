@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 
 from fathomline.llm.textkit import SLICE_BYTES, U64, range_hashes, slices, text_bytes
 
-#: Bytes of text whose words are merged together.
-GROUP_BYTES = 8 << 20
+#: Bytes of text whose words are merged together; a worker holds 20 to 40 bytes for each of them.
+GROUP_BYTES = 2 << 20
 LONGEST = 48
 _NONE = np.int32(2**31 - 1)
 

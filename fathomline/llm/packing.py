@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from fathomline.llm.arrowmap import tidy
 from fathomline.scratch import Scratch
 
 CAPACITY = 2048
@@ -192,7 +193,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
                 columns = [batch.column(0).take(pa.array(owner, pa.int64())), number, starts, lengths, sums, np.full(len(length), part), rank]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,4 +218,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
             made = [pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], schema=arrow)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)

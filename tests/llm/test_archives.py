@@ -1,6 +1,7 @@
 """Packing, byte-pair encoding, WARC bundles, HTML text and the pipeline: round trips and odd tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -29,6 +30,25 @@ def test_encoder_gives_the_tokenizers_ids(encoder):
             assert ids[offs[i] : offs[i + 1]].tolist() == want, ODD[first + i]
 
 
+def test_encoder_holds_one_small_group(encoder):
+    draw = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in draw.integers(0, 26, n)) for n in draw.integers(2, 9, 3000)])
+    texts = [" ".join(draw.choice(words, 4000)) for _ in range(700)]
+    column = pa.array(texts)
+    assert column.nbytes > 14e6
+    tracemalloc.start()
+    try:
+        firsts, sizes = [], []
+        for first, ids, offsets in encoder.encode(column):
+            firsts.append(first)
+            sizes += np.diff(offsets).tolist()
+            assert ids[: offsets[1]].tolist() == encoder.tokenizer.encode(texts[first], add_special_tokens=False).ids
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(firsts) > 4 and len(sizes) == len(texts) and peak < 100e6, (len(firsts), peak)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="abcdeinorstTHE ÉéÿÀ×.,!#0129\n'日", max_size=60), min_size=1, max_size=5))
 def test_encoder_on_any_text(texts):
